@@ -10,12 +10,17 @@ from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .minhash import near_duplicates
 from .sharding import shard_rows
+from .suffix_dedup import remove_repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"), size=400).drop("kept_bytes")
+
+
 def op3_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(_table(spark, sf_dir, "documents"), 8)
 
@@ -33,7 +38,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_jump_shards, op7_minmax_neardup, op8_block_naming, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op3_jump_shards, op7_minmax_neardup, op8_block_naming, op10_decontaminate)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
