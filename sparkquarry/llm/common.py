@@ -13,7 +13,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 NULL_ID = -(2**63)
@@ -82,6 +82,15 @@ def group_totals(
     return df.join(totals, [*keys, "_salt"]).drop("_salt")
 
 
+def keep_rows(df: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text", once: bool = False) -> DataFrame:
+    """The rows of ``df``, all columns, whose id and text are among ``kept`` (rid, h); of repeated rows one, if ``once``."""
+    key = {"_rid": F.coalesce(col(df, id_col).cast("long"), F.lit(NULL_ID)), "_h": F.xxhash64(F.coalesce(col(df, text_col).cast("string"), F.lit("")))}
+    found = df.withColumns(key).join(kept.select(F.col("rid").alias("_rid"), F.col("h").alias("_h")).distinct(), ["_rid", "_h"], "left_semi")
+    if once:
+        found = found.withColumn("_nth", F.row_number().over(Window.partitionBy("_rid", "_h").orderBy(F.lit(1)))).filter("_nth = 1")
+    return found.select(*[f"`{c}`" for c in df.columns])
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components: (node, root) with the smallest node reachable, for nodes of ``edges`` (u, v).
 

@@ -101,6 +101,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
     have no window.  Repeated rows each get their result; a null id comes out
     null.  Empty tables give no rows, or no hits.
     """
+    found = hit_documents(docs, benchmark, window, id_col, text_col, item_col, item_text)
+    return found.select(id_out().alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def hit_documents(docs: DataFrame, benchmark: DataFrame, window: int, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """rid, h and what :func:`decontaminate` returns."""
     texts = keyed_texts(docs, id_col, text_col)
     win = written(windows(benchmark, window, item_col, item_text), "windows")
     ranked = written(index_terms(texts, win), "ranked")
@@ -115,6 +121,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
     per_doc = hits.select("rid", "h", F.explode("wids").alias("wid")).join(items, "wid").groupBy("rid", "h").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
     out = hits.join(per_doc, ["rid", "h"], "left").withColumn("item_ids", F.coalesce("item_ids", F.array().cast("array<string>")))
     return out.select(
-        id_out().alias("doc_id"), "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        "rid", "h", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )

@@ -108,14 +108,8 @@ def text_names(texts: DataFrame, block: int = BLOCK) -> DataFrame:
     return out
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256; one row per input row.
-
-    Of equal texts the row with the largest id stays.  Null text: empty text.
-    A null id sorts below all others and comes out null.  Of repeated rows
-    (same id and text) all are counted and one stays.  An empty table gives an
-    empty result.  ``docs`` must be a stable read, see :func:`text_names`.
-    """
+def equal_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """rid, h, keep_id, group_size, kept, text_sha256; see :func:`exact_dedup`."""
     texts = keyed(docs, id_col, text_col).select("rid", F.xxhash64("text").alias("h"), "text")
     named = text_names(texts, block)
     sums = texts.select("rid", "h", F.sha2("text", 256).alias("text_sha256"))
@@ -124,6 +118,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = group_totals(members, ["n_blocks", "name"], {"_k": F.max("rid"), "_n": F.sum("_rows")}, {"keep_id": F.max("_k"), "group_size": F.sum("_n")}, F.col("rid"))
     back = sums.join(groups.select("rid", "h", "keep_id", "group_size"), ["rid", "h"])
     nth = F.row_number().over(Window.partitionBy("rid", "h").orderBy("text_sha256"))
-    return back.select("rid", "keep_id", "group_size", ((F.col("rid") == F.col("keep_id")) & (nth == 1)).alias("kept"), "text_sha256").select(
-        id_out().alias("doc_id"), id_out("keep_id").alias("keep_id"), "group_size", "kept", "text_sha256"
-    )
+    return back.select("rid", "h", "keep_id", "group_size", ((F.col("rid") == F.col("keep_id")) & (nth == 1)).alias("kept"), "text_sha256")
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256; one row per input row.
+
+    Of equal texts the row with the largest id stays.  Null text: empty text.
+    A null id sorts below all others and comes out null.  Of repeated rows
+    (same id and text) all are counted and one stays.  An empty table gives an
+    empty result.  ``docs`` must be a stable read, see :func:`text_names`.
+    """
+    found = equal_groups(docs, id_col, text_col, block)
+    return found.select(id_out().alias("doc_id"), id_out("keep_id").alias("keep_id"), "group_size", "kept", "text_sha256")

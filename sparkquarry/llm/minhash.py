@@ -217,7 +217,13 @@ def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100,
     bands: int = BANDS, rows: int = ROWS, seed: int = 7, rounds: int = ROUNDS,
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept; one row per input row.
+    """doc_id, n_shingles, component_id, kept; one row per input row. See :func:`near_groups`."""
+    found = near_groups(docs, id_col, text_col, k, num, den, bands, rows, seed, rounds)
+    return found.select(id_out().alias("doc_id"), "n_shingles", id_out("root").alias("component_id"), "kept")
+
+
+def near_groups(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, bands: int = BANDS, rows: int = ROWS, seed: int = 7, rounds: int = ROUNDS) -> DataFrame:
+    """rid, h, n_shingles, root, kept; one row per input row.
 
     Documents are linked when ``den * intersection >= num * union`` of their
     sets of ``k``-word shingles.  Texts without words, null texts included,
@@ -271,5 +277,5 @@ def near_duplicates(
     roots = same.join(found.select(F.col("node").alias("rep"), "root"), "rep", "left").select("rid", "h", F.coalesce("root", "rep").alias("root")).distinct()
     out = signed.select("rid", "h", "n_shingles").join(roots, ["rid", "h"], "left")
     nth = F.row_number().over(Window.partitionBy("rid", "h").orderBy("n_shingles"))
-    out = out.select("rid", "n_shingles", F.coalesce("root", "rid").alias("root"), nth.alias("nth"))
-    return out.select(id_out().alias("doc_id"), "n_shingles", id_out("root").alias("component_id"), ((F.col("rid") == F.col("root")) & (F.col("nth") == 1)).alias("kept"))
+    out = out.select("rid", "h", "n_shingles", F.coalesce("root", "rid").alias("root"), nth.alias("nth"))
+    return out.select("rid", "h", "n_shingles", "root", ((F.col("rid") == F.col("root")) & (F.col("nth") == 1)).alias("kept"))

@@ -8,9 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .language import page_languages, train_language
 from .minhash import near_duplicates
+from .pii import find_pii
+from .piece_codec import encode_documents
+from .quotation import link_quotations
 from .sharding import shard_rows
 from .suffix_dedup import remove_repeats
+from .toxicity import toxicity
+
+#: Where the vocabulary lies; read on the driver alone.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +29,27 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), size=400).drop("kept_bytes")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.7)
+
+
 def op3_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(_table(spark, sf_dir, "documents"), 8)
 
 
+def op4_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_quotations(_table(spark, sf_dir, "conversations"))
+
+
+def op5_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(_table(spark, sf_dir, "documents"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all pages; the text model counts all documents."""
+    return page_languages(_table(spark, sf_dir, "pages"), train_language(_table(spark, sf_dir, "documents")))
+
+
 def op7_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=3, num=85, den=100)
 
@@ -33,12 +58,16 @@ def op8_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op9_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(_table(spark, sf_dir, "documents"), PIECE_MODEL, dropout=0.1, seed=1).drop("ids")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op3_jump_shards, op7_minmax_neardup, op8_block_naming, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_jump_shards, op4_quotation_links, op5_pii_boosting, op6_language, op7_minmax_neardup, op8_block_naming, op9_piece_dropout, op10_decontaminate)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
