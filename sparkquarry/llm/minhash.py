@@ -8,11 +8,18 @@ signature propose pairs, full shingle sets confirm them, and confirmed links
 make components.
 
 Scale.  Documents with equal sets collapse first.  In a bucket, members are
-compared with a centre, not with each other; the centres change from round to
-round, and only members whose components still differ are compared again.
-What rounds leave apart is compared in full, bucket by bucket, each bucket's
-largest component only against the rest.  Buckets and centres are dealt in
-salted sub-groups, so no task sees the whole of a hot one.
+compared with its centre, not with each other, so copies cost one comparison
+each.  For a pair of which one or both aren't linked with their centre c, let
+a document's delta be what it lacks of c and what it has beyond c.  Then
+
+    |x & y| = |c| - |lacks x| - |lacks y| + |delta x & delta y|,
+
+so a link asks for an overlap of the deltas that is known beforehand and is
+never below one.  Only deltas whose rarest-first prefixes meet (elements beyond
+c first) are compared in full.  This is exact: a pair that shares a bucket is
+compared, or is in one component already, or can't reach the threshold.
+Buckets and centres are dealt in salted sub-groups, so no task sees the whole
+of a hot one.
 """
 
 from __future__ import annotations
@@ -30,7 +37,6 @@ from .common import components, group_totals, id_out, keyed, written
 
 #: A pair at similarity 0.85 shares no band with probability (1 - 0.85^4)^24 = 2e-8, at 0.8 with 4e-6.
 BANDS, ROWS = 24, 4
-ROUNDS = 3
 _R = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xD6E8FEB86659FD93)
 
@@ -183,46 +189,95 @@ def set_writer(k: int):
     return run
 
 
-def _confirm(num: int, den: int):
-    """Rows sorted by (c, cell, side): the centre's set, then those compared with it; yields the links."""
+def _compare(num: int, den: int):
+    """Rows sorted by (c, cell, side): the centre's set, then those compared with it; yields what each lacks and adds, and whether they link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, centre = None, None
         for batch in batches:
-            us, vs = [], []
+            out = []
             for c, cell, side, x, raw in zip(*(batch.column(n).to_pylist() for n in ("c", "cell", "side", "x")), batch.column("shingles")):
                 s = np.frombuffer(raw.as_buffer(), np.uint64)
                 if side == 0:
                     key, centre = (c, cell), s.copy()
                 elif key == (c, cell):
                     both = len(np.intersect1d(centre, s, assume_unique=True))
-                    if den * both >= num * (len(centre) + len(s) - both):
-                        us.append(c)
-                        vs.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+                    out.append((c, x, den * both >= num * (len(centre) + len(s) - both), len(centre) - both, len(s) - both, len(s)))
+            cols = list(zip(*out)) or [[]] * 6
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, kinds)], ["c", "x", "linked", "lost", "added", "n"])
 
     return run
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The links among ``pairs`` (c, x): 100 * intersection >= 85 * union for 85 and 100.  A centre's set goes to the cells its partners have."""
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As :func:`_compare`; yields the first elements of each delta, beyond the centre's set first: px of them as role 0, py as role 1."""
+    key, centre = None, None
+    for batch in batches:
+        parts = []
+        for c, cell, side, x, px, py, root, raw in zip(*(batch.column(n).to_pylist() for n in ("c", "cell", "side", "x", "px", "py", "root")), batch.column("shingles")):
+            s = np.frombuffer(raw.as_buffer(), np.uint64)
+            if side == 0:
+                key, centre = (c, cell), s.copy()
+            elif key == (c, cell):
+                delta = np.concatenate([np.setdiff1d(s, centre, assume_unique=True), np.setdiff1d(centre, s, assume_unique=True)])
+                for role, p in ((0, px), (1, py)):
+                    if p > 0:
+                        parts.append((c, x, root, role, delta[:p].view(np.int64)))
+        sizes = [len(p[4]) for p in parts]
+        rep = lambda i, kind: pa.array(np.repeat(np.array([p[i] for p in parts], np.int64), sizes), kind)
+        d = np.concatenate([p[4] for p in parts]) if parts else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([rep(0, pa.int64()), pa.array(d), rep(1, pa.int64()), rep(2, pa.int64()), rep(3, pa.int32())], ["c", "d", "x", "root", "role"])
+
+
+def _beside_centres(pairs: DataFrame, sets: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """Sets of ``pairs`` (c, x, more) in cells of a centre, its own set first in each cell that it has partners in."""
     dealt = pairs.withColumn("cell", F.pmod(F.xxhash64("x"), F.lit(64)).cast("int"))
-    members = dealt.join(sets.withColumnRenamed("rid", "x"), "x").select("c", "cell", F.lit(1).alias("side"), "x", "shingles")
-    centres = dealt.select("c", "cell").distinct().join(sets.withColumnRenamed("rid", "c"), "c").select("c", "cell", F.lit(0).alias("side"), F.col("c").alias("x"), "shingles")
-    rows = members.unionByName(centres).repartition("c", "cell").sortWithinPartitions("c", "cell", "side")
-    return rows.mapInArrow(_confirm(num, den), "u long, v long")
+    members = dealt.join(sets.withColumnRenamed("rid", "x"), "x").select("c", "cell", F.lit(1).alias("side"), "x", *more, "shingles")
+    none = [F.lit(None).cast(dealt.schema[m].dataType).alias(m) for m in more]
+    centres = dealt.select("c", "cell").distinct().join(sets.withColumnRenamed("rid", "c"), "c").select("c", "cell", F.lit(0).alias("side"), F.col("c").alias("x"), *none, "shingles")
+    return members.unionByName(centres).repartition("c", "cell").sortWithinPartitions("c", "cell", "side")
+
+
+def compared(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """c, x, linked (den * intersection >= num * union), lost, added, n of each of ``pairs`` (c, x)."""
+    return _beside_centres(pairs, sets).mapInArrow(_compare(num, den), "c long, x long, linked boolean, lost long, added long, n long")
+
+
+def around_centres(tests: DataFrame, sets: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (c, x) that may link though not both link with the centre they share; ``found``: (node, root) so far.
+
+    With s = num + den, the overlap that deltas need is (u_x + u_y) / 2s for
+    u = 2 num n + 2 s lost - s |c|.  Each document's prefix leaves out one
+    element less than the least overlap it needs with any partner.
+    """
+    s = num + den
+    rows = tests.withColumn("u", 2 * num * F.col("n") + 2 * s * F.col("lost") - s * (F.col("n") - F.col("added") + F.col("lost")))
+    rows = rows.join(found.select(F.col("node").alias("x"), "root"), "x", "left").withColumn("root", F.coalesce("root", "x"))
+    apart = F.min(F.when(~F.col("linked"), F.col("u")))
+    totals = {"_n": F.count("*"), "_u": F.min("u"), "_a": apart, "_lo": F.min("root"), "_hi": F.max("root")}
+    final = {"members": F.sum("_n"), "least": F.min("_u"), "apart": F.min("_a"), "lo": F.min("_lo"), "hi": F.max("_hi")}
+    rows = group_totals(rows, ["c"], totals, final, F.col("x"), keep=(F.col("members") > 1) & F.col("apart").isNotNull() & (F.col("lo") != F.col("hi")))
+    size, need = F.col("lost") + F.col("added"), lambda w: F.greatest(F.ceil((F.col("u") + w) / F.lit(2.0 * s)), F.lit(1))
+    rows = rows.withColumn("px", F.when(F.col("linked"), 0).otherwise(F.greatest(size - need(F.col("least")) + 1, F.lit(0)))).withColumn("py", F.greatest(size - need(F.col("apart")) + 1, F.lit(0)))
+    rows = written(rows.filter("px > 0 or py > 0").select("c", "x", F.col("px").cast("long").alias("px"), F.col("py").cast("long").alias("py"), "root"), "around")
+    heads = written(_beside_centres(rows, sets, ("px", "py", "root")).mapInArrow(_prefixes, "c long, d long, x long, root long, role int"), "prefixes")
+    a = heads.filter("role = 0").select("c", "d", "x", "root")
+    b = heads.filter("role = 1").select("c", "d", F.col("x").alias("y"), F.col("root").alias("other"))
+    met = a.join(b, (a["c"] == b["c"]) & (a["d"] == b["d"]) & (a["root"] != b["other"])).select(F.least("x", "y").alias("c"), F.greatest("x", "y").alias("x"))
+    return met.distinct()
 
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100,
-    bands: int = BANDS, rows: int = ROWS, seed: int = 7, rounds: int = ROUNDS,
+    bands: int = BANDS, rows: int = ROWS, seed: int = 7,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row per input row. See :func:`near_groups`."""
-    found = near_groups(docs, id_col, text_col, k, num, den, bands, rows, seed, rounds)
+    found = near_groups(docs, id_col, text_col, k, num, den, bands, rows, seed)
     return found.select(id_out().alias("doc_id"), "n_shingles", id_out("root").alias("component_id"), "kept")
 
 
-def near_groups(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, bands: int = BANDS, rows: int = ROWS, seed: int = 7, rounds: int = ROUNDS) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, bands: int = BANDS, rows: int = ROWS, seed: int = 7) -> DataFrame:
     """rid, h, n_shingles, root, kept; one row per input row.
 
     Documents are linked when ``den * intersection >= num * union`` of their
@@ -240,40 +295,19 @@ def near_groups(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, d
     full = signed.filter("digest is not null")
     # equal sets: the smallest id stands for all
     same = written(group_totals(full.select("rid", "h", "digest"), ["digest"], {"_r": F.min("rid")}, {"rep": F.min("_r")}, F.col("rid")).select("rid", "h", "rep"), "same")
-    reps = full.groupBy("rid", "digest").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands")).join(same.select(F.col("rep").alias("rid")).distinct(), "rid", "left_semi")
-    buckets = reps.select("rid", "n", F.posexplode("bands").alias("band", "key")).select("rid", "n", F.xxhash64("band", "key").alias("bucket"))
-    shared = group_totals(buckets, ["bucket"], {"_n": F.count("*"), "_c": F.min(F.struct("rid", "n"))}, {"members": F.sum("_n"), "centre": F.min("_c")}, F.col("rid"), keep=F.col("members") > 1)
-    shared = written(shared.select("bucket", "rid", "n", "centre"), "buckets")
-
-    fits = (F.least("n", F.col("centre.n")) * den >= F.greatest("n", F.col("centre.n")) * num) & (F.col("rid") != F.col("centre.rid"))
-    pairs = written(shared.filter(fits).select(F.col("centre.rid").alias("c"), F.col("rid").alias("x")).distinct(), "pairs")
-    involved = shared.select("rid").distinct()
+    reps = full.groupBy("rid", "digest").agg(F.first("bands").alias("bands")).join(same.select(F.col("rep").alias("rid")).distinct(), "rid", "left_semi")
+    buckets = reps.select("rid", F.posexplode("bands").alias("band", "key")).select("rid", F.xxhash64("band", "key").alias("bucket"))
+    shared = group_totals(buckets, ["bucket"], {"_n": F.count("*"), "_c": F.min("rid")}, {"members": F.sum("_n"), "centre": F.min("_c")}, F.col("rid"), keep=F.col("members") > 1)
+    pairs = written(shared.filter("rid <> centre").select(F.col("centre").alias("c"), F.col("rid").alias("x")).distinct(), "pairs")
+    involved = pairs.select(F.explode(F.array("c", "x")).alias("rid")).distinct()
     sets = written(texts.join(involved, "rid").select("rid", "text").mapInArrow(set_writer(k), "rid long, shingles binary"), "sets")
-    links = written(confirmed(pairs, sets, num, den), "links")
+    tests = written(compared(pairs, sets, num, den), "tests")
+    links = tests.filter("linked").select(F.col("c").alias("u"), F.col("x").alias("v"))
     found = written(components(links), "components")
-    tested = pairs
-    for r in range(1, rounds + 2):
-        where = shared.select("bucket", "rid", "n").join(found.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-        parts = where.groupBy("bucket", "root").agg(F.count("*").alias("size"))
-        # buckets of several components, with their largest
-        several = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("size", "root")).alias("top")).filter("parts > 1").select("bucket", F.col("top.root").alias("main"))
-        split = group_totals(where.join(several.select("bucket"), "bucket", "left_semi"), ["bucket"], {"_c": F.min(F.struct(F.xxhash64("rid", F.lit(r)).alias("o"), "rid", "n", "root"))}, {"centre": F.min("_c")}, F.col("rid"))
-        if r <= rounds:
-            cand = split.filter("root <> centre.root").filter(fits).select(F.col("centre.rid").alias("c"), F.col("rid").alias("x"))
-        else:
-            rest = where.join(several, "bucket")
-            few = rest.filter("root <> main").select("bucket", F.col("rid").alias("c"), F.col("n").alias("cn"), F.col("root").alias("croot"))
-            ok = (F.least("n", "cn") * den >= F.greatest("n", "cn") * num) & (F.col("root") != F.col("croot"))
-            cand = few.join(rest, "bucket").filter(ok).select("c", F.col("rid").alias("x"))
-        ordered = lambda d: d.select(F.least("c", "x").alias("c"), F.greatest("c", "x").alias("x")).distinct()
-        cand = written(ordered(cand).join(ordered(tested), ["c", "x"], "left_anti"), "pairs")
-        if cand.isEmpty():
-            continue
-        tested = tested.unionByName(cand)
-        more = written(confirmed(cand, sets, num, den), "links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            found = written(components(links), "components")
+    rest = written(around_centres(tests, sets, found, num, den).join(pairs, ["c", "x"], "left_anti"), "pairs")
+    if not rest.isEmpty():
+        more = compared(rest, sets, num, den).filter("linked").select(F.col("c").alias("u"), F.col("x").alias("v"))
+        found = written(components(links.unionByName(more)), "components")
     roots = same.join(found.select(F.col("node").alias("rep"), "root"), "rep", "left").select("rid", "h", F.coalesce("root", "rep").alias("root")).distinct()
     out = signed.select("rid", "h", "n_shingles").join(roots, ["rid", "h"], "left")
     nth = F.row_number().over(Window.partitionBy("rid", "h").orderBy("n_shingles"))
