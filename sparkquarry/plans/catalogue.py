@@ -1,6 +1,14 @@
+"""All queries over the driver's tables; importing a module registers its queries."""
+
+from __future__ import annotations
+
+from . import registry
+from . import text_queries  # noqa: F401
+
+
 def queries():
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(registry.ORACLE)
