@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import registry
-from . import text_queries  # noqa: F401
+from . import metric_queries, text_queries  # noqa: F401
 
 
 def queries():
