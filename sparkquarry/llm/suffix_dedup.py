@@ -295,6 +295,11 @@ def _shard(size: int):
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (rid, h, first, last, d1, d2)], names)
 
     def work(rows: list, hash1: Grams, hash2: Grams) -> Iterator[pa.RecordBatch]:
+        # equal texts of one anchor, from several batches, are sorted once
+        alike: dict = {}
+        for win, starts, occ, split in rows:
+            alike.setdefault((win, starts, split), []).extend(occ)
+        rows = [(win, starts, occ, split) for (win, starts, split), occ in alike.items()]
         wins, occ = [r[0] for r in rows], [r[2] for r in rows]
         again, only, one, begins = repeated(wins, np.array([r[1] for r in rows]), np.array([len(o) for o in occ]), size)
         edge = np.diff(again.astype(np.int8), prepend=0, append=0)
@@ -319,7 +324,7 @@ def _shard(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hash1, hash2 = Grams(_R1), Grams(_R2)
-        rows, held, key = [], 0, None
+        rows, held, key, last = [], 0, None, None
         with np.errstate(over="ignore"):
             for batch in batches:
                 for anchor, sub, subs, win, starts, occ in zip(*(batch.column(c).to_pylist() for c in ("anchor", "sub", "subs", "win", "starts", "occ"))):
@@ -328,7 +333,8 @@ def _shard(size: int):
                         rows, held = [], 0
                     key = (anchor, sub)
                     rows.append((win, starts, occ, subs > 1))
-                    held += len(win)
+                    held += len(win) if win != last else 0
+                    last = win
             if rows:
                 yield from work(rows, hash1, hash2)
 
@@ -407,7 +413,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = K, id_col: str
     runs = texts.hint("shuffle_hash").join(known.hint("shuffle_hash"), ["rid", "h"]).mapInArrow(_run_rows(size, gram), _RUN)
     subs = F.ceil(F.col("n") / LIMIT).cast("int")
     dealt = runs.withColumn("subs", subs).withColumn("sub", F.pmod(F.xxhash64("win"), F.col("subs")).cast("int"))
-    shards = dealt.repartition("anchor", "sub").sortWithinPartitions("anchor", "sub")
+    shards = dealt.repartition("anchor", "sub").sortWithinPartitions("anchor", "sub", "win")
     out = written(shards.mapInArrow(_shard(size), "rid long, h long, first long, last long, d1 long, d2 long"), "shards")
     within = out.filter("d1 is null").select("rid", "h", "first", "last")
     digests = out.filter("d1 is not null").repartition("d1", "d2").sortWithinPartitions("d1", "d2")
