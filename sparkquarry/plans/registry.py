@@ -22,16 +22,16 @@ class Tables:
 
 
 def query(sql: str | None = None, floats: tuple[str, ...] = ()):
-    """Registers ``f(tables) -> DataFrame`` under its name. ``floats`` are rounded to 6 places on both sides, as sums of doubles depend on their order."""
+    """Registers ``f(tables) -> DataFrame`` under its name. ``floats`` are rounded to 6 places on both sides, as sums of doubles depend on their order; what is added first decides exact halves."""
 
     def add(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = f(Tables(spark, sf_dir))
-            return df.withColumns({c: F.round(F.col(c), 6) for c in floats}) if floats else df
+            return df.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in floats}) if floats else df
 
         QUERIES[f.__name__] = run
         if sql is not None:
-            replace = ", ".join(f"round({c}, 6) AS {c}" for c in floats)
+            replace = ", ".join(f"round({c} + 1e-9, 6) AS {c}" for c in floats)
             ORACLE[f.__name__] = f"SELECT * REPLACE ({replace}) FROM ({sql}) q" if floats else sql
         return f
 
