@@ -205,7 +205,7 @@ def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     new[1:] = word[sa[1:]] != word[sa[:-1]]
     head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     rank = np.empty(n, np.int64)
-    rank[sa] = head + 1  # 0: beyond the end
+    rank[sa] = head + 1
     h = 8
     while True:
         alone = new & np.append(new[1:], True)
@@ -214,8 +214,9 @@ def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             break
         p = sa[group]
         ahead = p + h
-        second = np.where(ahead < n, rank[np.minimum(ahead, n - 1)], 0)
-        both = rank[p] * (n + 1) + second
+        # behind the end nothing stands, which sorts before any byte, zeros too: the shorter suffix is the smaller
+        second = np.where(ahead < n, rank[np.minimum(ahead, n - 1)], np.maximum(n - ahead, -n - 8))
+        both = rank[p] * (2 * n + 18) + second + n + 9
         order = np.argsort(both)
         p, both = p[order], both[order]
         sa[group] = p
