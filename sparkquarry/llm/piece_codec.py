@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,6 +34,8 @@ from .common import id_out, keyed
 from .minhash import pieces
 
 SPACE = "▁"
+#: Spaces and what follows up to the next ones.
+WORDS = re.compile(f"{SPACE}+[^{SPACE}]*")
 #: Words up to this many symbols are encoded in step.
 STEP_LENGTH = 48
 _M = np.uint64(0xD6E8FEB86659FD93)
@@ -98,7 +101,8 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, dropout: float, seed: int) -> None:
         self.v, self.seed = vocabulary, seed
         self.limit = np.uint64(min(int(dropout * 2**64), 2**64 - 1))
-        self.bare: dict[int, int] = {}
+        self.table = np.full(0x110000, -1, np.int32)
+        self.table[[ord(c) for c in vocabulary.chars]] = list(vocabulary.chars.values())
 
     def _skipped(self, word: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Whether the candidate that would span symbols first..last of a word is skipped."""
@@ -120,7 +124,7 @@ class Encoder:
         it makes a new one.
         """
         n, m = symbols.shape
-        s = symbols.copy()
+        s = symbols.astype(np.int64)
         first = np.broadcast_to(np.arange(m), (n, m)).copy()
         last = first.copy()
         none = np.iinfo(np.int64).max
@@ -194,41 +198,58 @@ class Encoder:
         return out
 
     def words(self, words: list[str], variants: list[int]) -> list[list[int]]:
-        """Pieces of each word; a word's escaped spaces are U+2581, a U+2581 of the text is given as U+FFFF + itself by :func:`cut`."""
-        chars, out = self.v.chars, [None] * len(words)
-        by_length: dict[int, list[int]] = {}
-        symbols, spelt = [], []
-        for i, w in enumerate(words):
-            row, odd = [], {}
-            for c in w:
-                x = chars.get(c, -1)
-                if x < 0:
-                    odd[len(row)] = c
-                row.append(x)
-            symbols.append(row)
-            spelt.append(odd)
-            by_length.setdefault(len(row), []).append(i)
-        keys = _mixed(np.array([int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for w in words], np.uint64), np.array(variants, np.uint64)) if self.limit else np.zeros(len(words), np.uint64)
-        for m, which in by_length.items():
+        """Pieces of each word."""
+        flat, begins, lengths = self.flat(words, variants)
+        return [flat[b : b + n].tolist() for b, n in zip(begins, lengths)]
+
+    def flat(self, words: list[str], variants: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces of all words one after the other, and where each word's begin and how many they are.
+
+        A word's escaped spaces are U+2581; a U+2581 of the text comes as U+FFFF.
+        """
+        size = len(self.v.pieces)
+        sizes = np.array([len(w) for w in words], np.int64)
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        starts = np.cumsum(sizes) - sizes
+        symbols = self.table[points]
+        of = np.repeat(np.arange(len(words)), sizes)
+        # words with a letter that is no piece are spelt out one by one
+        odd = np.zeros(len(words), bool)
+        odd[of[(symbols < 0) | (symbols >= size)]] = True
+        keys = np.zeros(len(words), np.uint64)
+        if self.limit and len(words):
+            n = np.arange(len(points), dtype=np.uint64) - np.repeat(starts, sizes).astype(np.uint64)
+            each = _mixed(points, n)
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(each)])
+            keys = _mixed(total[starts + sizes] - total[starts], sizes, np.array(variants, np.uint64))
+        begins, lengths = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        parts, at = [], 0
+        for m in np.unique(sizes):
+            which = np.flatnonzero(sizes == m)
             if m <= STEP_LENGTH:
-                done = self.in_step(np.array([symbols[i] for i in which], np.int64).reshape(len(which), m), keys[which])
-                for i, row in zip(which, done.tolist()):
-                    out[i] = row
+                rows = symbols[starts[which][:, None] + np.arange(m)]
+                done = self.in_step(rows, keys[which])
+                plain = ~odd[which]
+                good, ids = done[plain], which[plain]
+                there = good >= 0
+                lengths[ids] = there.sum(axis=1)
+                begins[ids] = at + np.cumsum(lengths[ids]) - lengths[ids]
+                parts.append(good[there])
+                at += len(parts[-1])
+                slow = [(i, row) for i, row in zip(which[~plain], done[~plain].tolist())]
             else:
-                for i in which:
-                    out[i] = self.by_heap(symbols[i], int(keys[i]))
-        size = len(self.v.pieces)
-        for i, row in enumerate(out):
-            odd = spelt[i]
-            if -1 in row or odd or max(row, default=0) >= size:
-                out[i] = self._finished(row, words[i], bool(odd))
-        return out
-
-    def _finished(self, row: list[int], word: str, odd: bool) -> list[int]:
+                slow = [(i, self.by_heap(symbols[starts[i] : starts[i] + m].tolist(), int(keys[i]))) for i in which]
+            for i, row in slow:
+                out = self._finished(row, words[i])
+                begins[i], lengths[i] = at, len(out)
+                parts.append(np.array(out, np.int64))
+                at += len(out)
+        flat = np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)
+        return flat, begins, lengths
+
+    def _finished(self, row: list[int], word: str) -> list[int]:
         """Without the fill behind the last piece; symbols without a piece in bytes."""
         size, at, out = len(self.v.pieces), 0, []
-        inverse = self.bare or {i: c for c, i in self.v.chars.items()}
-        self.bare = inverse
         for x in row:
             if at >= len(word):
                 break
@@ -243,63 +264,54 @@ class Encoder:
 
 
 def cut(text: str) -> list[str]:
-    """Words with the spaces before them escaped. U+2581 and U+FFFF of the text come as U+FFFF and as themselves in parts of their own."""
-    parts, at = [], 0
-    spaced = SPACE + text.replace(SPACE, "￿").replace(" ", SPACE) if "￿" not in text else None
-    if spaced is None:
-        raise ValueError("U+FFFF is cut by the caller")
-    n = len(spaced)
-    while at < n:
-        end = at
-        while end < n and spaced[end] == SPACE:
-            end += 1
-        stop = spaced.find(SPACE, end)
-        stop = n if stop < 0 else stop
-        parts.append(spaced[at:stop])
-        at = stop
-    return parts
+    """Words with the spaces before them escaped; U+2581 of the text comes as U+FFFF, which the text may not hold itself."""
+    return WORDS.findall(SPACE + text.replace(SPACE, "\uffff").replace(" ", SPACE))
+
+
+class Numbers(dict):
+    """Numbers words as they are first asked for."""
+
+    def __init__(self, variant: int, words: list[str], variants: list[int]) -> None:
+        self.variant, self.words, self.variants = variant, words, variants
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self.words)
+        self.words.append(word)
+        self.variants.append(self.variant)
+        return n
 
 
 def encode_texts(encoder: Encoder, texts: list[str], variants: list[int]) -> list[np.ndarray]:
     """Piece ids of each text."""
-    known: dict[tuple[int, str], int] = {}
+    words: list[str] = []
+    kinds: list[int] = []
+    known = {v: Numbers(v, words, kinds) for v in set(variants)}
     rows = []
     for t, v in zip(texts, variants):
+        number = known[v].__getitem__
         if not t:
-            rows.append(None)
-        elif "￿" in t:  # a noncharacter: its bytes stand between the parts around it
+            rows.append([])
+        elif "\uffff" in t:  # a noncharacter: its bytes stand between the parts around it
             row = []
-            for k, part in enumerate(t.split("￿")):
+            for k, part in enumerate(t.split("\uffff")):
+                parts = cut(part) if part or not k else []
                 if k:
-                    row += [-1 - encoder.v.byte_ids[b] for b in "￿".encode()]
-                    words = cut(part) if part else []
+                    row += [-1 - encoder.v.byte_ids[b] for b in "\uffff".encode()]
                     # the parts behind have no space put in front of them
-                    if words:
-                        words[0] = words[0][1:]
-                    words = [w for w in words if w]
-                else:
-                    words = cut(part)
-                row += [known.setdefault((v, w), len(known)) for w in words]
+                    parts = [w for w in [p[1:] if not i else p for i, p in enumerate(parts)] if w]
+                row += map(number, parts)
             rows.append(row)
         else:
-            rows.append([known.setdefault((v, w), len(known)) for w in cut(t)])
-    keys = list(known)
-    found = encoder.words([w for _, w in keys], [v for v, _ in keys])
-    lengths = np.array([len(x) for x in found], np.int64)
-    flat = np.concatenate([np.asarray(x, np.int32) for x in found]) if found else np.zeros(0, np.int32)
-    begins = np.cumsum(lengths) - lengths
+            rows.append(list(map(number, cut(t))))
+    flat, begins, lengths = encoder.flat(words, kinds)
     out = []
     for row in rows:
-        if row is None:
-            out.append(np.zeros(0, np.int32))
-            continue
         w = np.array(row, np.int64)
-        if (w < 0).any():
-            out.append(np.concatenate([np.array([-1 - x], np.int32) if x < 0 else np.asarray(found[x], np.int32) for x in row]))
+        if len(w) and w.min() < 0:
+            out.append(np.concatenate([np.array([-1 - x], np.int32) if x < 0 else flat[begins[x] : begins[x] + lengths[x]] for x in row]))
             continue
         n = lengths[w]
-        at = np.repeat(begins[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        out.append(flat[at])
+        out.append(flat[np.repeat(begins[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
     return out
 
 
