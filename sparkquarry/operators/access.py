@@ -20,7 +20,7 @@ def policy(spark: SparkSession, rows=POLICY) -> DataFrame:
 
 def parse_policy(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Policies and role edges of text lines (value): ``p, role, resource, action`` and ``g, role, inherits``; others are comments."""
-    f = lines.select(F.transform(F.split("value", ","), F.trim).alias("f"))
+    f = lines.select(F.transform(F.split("value", ","), lambda x: F.trim(x)).alias("f"))
     p = f.filter((F.col("f")[0] == "p") & (F.size("f") == 4)).select(F.col("f")[1].alias("role"), F.col("f")[2].alias("resource"), F.col("f")[3].alias("action"))
     g = f.filter((F.col("f")[0] == "g") & (F.size("f") == 3)).select(F.col("f")[1].alias("role"), F.col("f")[2].alias("inherits"))
     return p, g

@@ -65,7 +65,7 @@ def switch_gate(blue: DataFrame, green: DataFrame, share: float = 0.9) -> DataFr
 
 def storage_cost(n: Column, dim: Column, per_gb: float = 0.30) -> tuple[Column, Column]:
     """GB with a fifth for metadata, and dollars a month."""
-    gb = n * dim * 4 * 1.2 / GIB
+    gb = n.cast("double") * dim * 4 * 1.2 / GIB
     return gb, gb * per_gb
 
 
