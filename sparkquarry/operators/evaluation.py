@@ -66,8 +66,8 @@ def z_regressions(history: DataFrame, current: DataFrame) -> DataFrame:
     return j.select("metric", "runs", "current_score", "baseline", "z", flag.alias("is_regression"))
 
 
-def numbered(df: DataFrame, order: Sequence[Column], cell: Column | None = None) -> DataFrame:
-    """Adds ``rn`` from 1 in the given order; without a cell column one task numbers all, so it is for small tables."""
+def numbered(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """Adds ``rn`` from 1 in the given order; one task numbers all, so it is for small tables."""
     return df.withColumn("rn", F.row_number().over(Window.orderBy(*order)))
 
 
