@@ -178,6 +178,24 @@ def test_codec():
     assert same(some[0], some[1]) and not same(some[0], some[2]) and not same(some[0], some[3]) and not same(some[0], plain)
 
 
+def test_dropout_of_each_occurrence(spark):
+    """Each occurrence of a word, in a row and over equal rows, is cut on its own, and as the agenda says."""
+    v = piece_codec.Vocabulary.load(MODEL)
+    ids = piece_codec.encode_texts(piece_codec.Encoder(v, 0.3, 1), ["notwithstanding " * 500], [7])[0]
+    found = "|".join(v.pieces[i] for i in ids).split("|▁")[:-1]
+    assert len(set(found)) > 20
+    rows = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("Notwithstanding the circumstances").alias("text"))
+    got = piece_codec.encode_documents(rows, MODEL, dropout=0.3).collect()
+    assert len({r["ids_sha256"] for r in got}) > 40 and all(r["lossless"] for r in got)
+    # words in step, one heap for each, and a batch of others beside them: the same pieces
+    words = ["▁circumstances", "▁the", "▁é☃x", "▁"]
+    which, keys = np.arange(400) % 4, np.arange(400, dtype=np.uint64)
+    e = piece_codec.Encoder(v, 0.2, 5)
+    flat, begins, lengths, result = e.flat(words, which, keys)
+    step = [flat[begins[r] : begins[r] + lengths[r]].tolist() for r in result]
+    assert step == [e._finished(e.by_heap(e.table[[ord(c) for c in words[w]]].tolist(), int(piece_codec._folded(5, k))), words[w]) for w, k in zip(which, keys)]
+
+
 def test_learnt(spark):
     docs, labels = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet"), spark.read.parquet(f"{SF.replace('0.001', '0.01')}/labels.parquet")
     t = toxicity.toxicity(docs, labels).join(labels, "doc_id").filter("held_out").select("toxic", "predicted").collect()
