@@ -2,13 +2,17 @@
 
 DataFrame functions only.  Lines of a message carry quote marks; consecutive
 lines of one level are a passage.  Passages are normalised, hashed and joined,
-inside their conversation, to the hashes of what others wrote themselves: whole
-messages, paragraphs and lines.  A message replies to the author of the first
-passage of the lowest level that is found in an earlier turn.  Messages are
-then ordered so that replies follow what they answer, and numbered.
+inside their conversation, to the hashes of runs of words that others wrote
+themselves, however either is wrapped: whole lines, as many as there are, and
+for passages of ``GRAM`` words or more any run, if no earlier turn has it as
+whole lines.  A message replies to the author of the first passage of the
+lowest level that is found in an earlier turn.  Messages are then ordered so
+that replies follow what they answer, and numbered.
 
-Scale.  Only messages with quote marks are taken apart line by line.  Hashes
-meet by salted grouping, so a line that everybody quotes is no single task.
+Scale.  Only messages with quote marks are taken apart line by line.  A run is
+hashed only where a passage's first ``GRAM`` words stand, and only for the
+lengths of such passages.  Hashes meet by salted grouping, so a line that
+everybody quotes is no single task.
 Order keys of reply chains are built by doubling, in as many rounds as the
 logarithm of the longest chain; numbers come from counts of cells of turns, so
 a conversation with a third of all rows is numbered in many tasks.
@@ -25,6 +29,8 @@ from .common import col, group_totals, id_out, written
 MARKS = r"^\x20{0,3}>[>\x20]*"
 #: A line that introduces a quotation: it ends so and stands right before a quoted line.
 INTRO = r"(?i)(wrote|writes|schrieb|a écrit|escribió)\x20?:\s*$"
+#: A shorter passage is found as whole lines alone.
+GRAM = 5
 #: Turns of a cell.
 CELL = 256
 
@@ -51,6 +57,35 @@ def passages(messages: DataFrame) -> DataFrame:
     return lines.groupBy("conv", "turn", "m", "part", "level").agg(F.min("at").alias("at"), text.alias("passage")).select("conv", "turn", "m", "at", "level", "passage")
 
 
+def said_runs(spoken: DataFrame, quoted: DataFrame) -> DataFrame:
+    """conv, turn, hash, whole of runs of words in messages (conv, turn, m, clean) that may be passages of ``quoted``; ``whole``: of whole lines."""
+    lines = F.filter(F.transform(F.split("clean", r"\r?\n"), normal), lambda x: x != "")
+    spoken = spoken.select("conv", "turn", "m", lines.alias("lines")).filter("size(lines) > 0").dropDuplicates(["m"])
+    # fewer words than a gram: runs of whole lines, at most as many lines as words
+    runs = F.flatten(F.transform("lines", lambda _, i: F.transform(F.sequence(F.lit(1), F.least(F.lit(GRAM - 1), F.size("lines") - i)), lambda n: F.array_join(F.slice("lines", i + 1, n), " "))))
+    short = F.array_distinct(F.filter(runs, lambda x: F.size(F.split(x, " ")) < GRAM))
+    short = spoken.select("conv", "turn", F.explode(short).alias("text")).select("conv", "turn", F.sha2("text", 256).alias("hash"), F.lit(True).alias("whole"))
+    # more: where the first words of a passage stand
+    word = F.flatten(F.transform("lines", lambda x: F.transform(F.split(x, " "), lambda w, j: F.struct(w.alias("w"), (j == 0).alias("first")))))
+    texts = spoken.select("conv", "turn", "m", word.alias("words")).filter(F.size("words") >= GRAM)
+    gram = lambda words: F.xxhash64(F.array_join(words, " "))
+    grams = F.transform(F.sequence(F.lit(0), F.size("words") - GRAM), lambda i: F.xxhash64(F.array_join(F.transform(F.slice("words", i + 1, GRAM), lambda x: x["w"]), " ")))
+    here = texts.select("conv", "m", F.posexplode(grams).alias("pos", "gram")).withColumn("n", F.lit(None).cast("int"))
+    asked = quoted.select("conv", F.split("text", " ").alias("q")).filter(F.size("q") >= GRAM)
+    asked = asked.select("conv", F.lit(None).cast("string").alias("m"), F.lit(None).cast("int").alias("pos"), gram(F.slice("q", 1, GRAM)).alias("gram"), F.size("q").alias("n")).distinct()
+    lengths = F.array_distinct(F.flatten(F.collect_list("_n")))
+    met = group_totals(here.unionByName(asked), ["conv", "gram"], {"_n": F.collect_set("n")}, {"lengths": lengths}, F.concat_ws(",", "m", "pos", "n"), F.size("lengths") > 0)
+    starts = met.filter("m is not null").groupBy("m").agg(F.collect_list(F.struct("pos", "lengths")).alias("starts"))
+    run = lambda p, n: F.struct(
+        F.sha2(F.array_join(F.transform(F.slice("words", p + 1, n), lambda x: x["w"]), " "), 256).alias("hash"),
+        (F.get("words", p)["first"] & F.coalesce(F.get("words", p + n)["first"], F.lit(True))).alias("whole"),
+    )
+    fits = lambda x: F.filter(x["lengths"], lambda n: x["pos"] + n <= F.size("words"))
+    found = F.array_distinct(F.flatten(F.transform("starts", lambda x: F.transform(fits(x), lambda n: run(x["pos"], n)))))
+    long = texts.join(starts, "m").select("conv", "turn", F.explode(found).alias("r")).select("conv", "turn", "r.hash", "r.whole")
+    return short.unionByName(long)
+
+
 def link_quotations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_id, turn, role, n_quotes, n_linked, quote_depth, reply_to, position, clean_text; one row per input row.
 
@@ -73,14 +108,15 @@ def link_quotations(messages: DataFrame, conv_col: str = "conv_id", turn_col: st
     clean = base.join(own, "m", "left").withColumn("clean", F.when(F.col("text").rlike(f"(?m){MARKS}"), F.trim(F.coalesce("clean", F.lit("")))).otherwise(F.col("text")))
     # what each message says itself, in conversations where anybody quotes
     spoken = clean.join(quoted.select("conv").distinct(), "conv", "left_semi")
-    units = F.array_distinct(F.concat(F.array("clean"), F.split("clean", r"\n\s*\n"), F.split("clean", r"\r?\n")))
-    said = spoken.select("conv", "turn", F.explode(units).alias("u")).select("conv", "turn", normal(F.col("u")).alias("text")).filter("text <> ''")
-    row = lambda d, kind, *more: d.select("conv", F.sha2("text", 256).alias("hash"), "turn", F.lit(kind).alias("kind"), *more)
+    said = written(said_runs(spoken, quoted), "said")
     null = [F.lit(None).cast(t).alias(n) for n, t in (("m", "string"), ("at", "int"), ("level", "int"))]
-    both = row(said, 0, *null).unionByName(row(quoted, 1, "m", "at", "level"))
-    first = F.min(F.when(F.col("kind") == 0, F.col("turn")))
-    met = group_totals(both, ["conv", "hash"], {"_t": first}, {"first": F.min("_t")}, F.concat_ws(",", "turn", "m", "at"))
-    found = met.filter("kind = 1").withColumn("to", F.when(F.col("first") < F.col("turn"), F.col("first")))
+    both = said.select("conv", "hash", "turn", "whole", F.lit(0).alias("kind"), *null).unionByName(
+        quoted.select("conv", F.sha2("text", 256).alias("hash"), "turn", F.lit(None).cast("boolean").alias("whole"), F.lit(1).alias("kind"), "m", "at", "level")
+    )
+    partial = {"_w": F.min(F.when(F.col("whole"), F.col("turn"))), "_t": F.min(F.when(F.col("kind") == 0, F.col("turn")))}
+    met = group_totals(both, ["conv", "hash"], partial, {"lines": F.min("_w"), "first": F.min("_t")}, F.concat_ws(",", "turn", "m", "at"))
+    earlier = lambda c: F.when(F.col(c) < F.col("turn"), F.col(c))
+    found = met.filter("kind = 1").withColumn("to", F.coalesce(earlier("lines"), earlier("first")))
     links = found.groupBy("m").agg(
         F.count("*").alias("n_quotes"), F.count("to").alias("n_linked"), F.max("level").alias("quote_depth"),
         F.min(F.when(F.col("to").isNotNull(), F.struct("level", "at", "to"))).alias("parent"),

@@ -97,3 +97,27 @@ def test_conversations(spark):
     assert len(got) == len(rows) and sorted(r["position"] for r in got if r["conv_id"] is None) == [0, 1]
     assert next(r for r in got if r["conv_id"] == 3)["quote_depth"] == 500
     assert quotation.link_quotations(df.filter("false")).collect() == []
+
+
+def test_partial_quotations(spark):
+    lines = "First line of it.\nSecond line, a bit longer.\nThird.\nFourth one."
+    paragraphs = "One paragraph that is wrapped\nover two lines.\n\nAnother paragraph here.\n\nThe third of them stands alone."
+    quotes = [
+        (lines, "> First line of it.\n> Second line, a bit longer.\nyes"),
+        (lines, "> Third.\n> Fourth one.\nyes"),  # fewer words than a gram
+        (lines, "> second line, a bit longer.\n> Third.\nyes"),
+        ("A\nB\nC", "> A\n> B\nyes"),
+        (paragraphs, "> One paragraph that is wrapped\n> over two lines.\n>\n> Another paragraph here.\nyes"),
+        (paragraphs, "> One paragraph\n> that is wrapped over two\n> lines. Another paragraph here.\nyes"),
+        (paragraphs, "> paragraph that is wrapped over\n> two lines. Another\nyes"),  # cut inside lines
+        (lines, "> Second line, a bit longer.\nno\n> Third.\nyes"),
+    ]
+    never = [(lines, "> First line of it.\n> Third.\nHm."), (lines, "> line\nHm."), (lines, "> Fourth one.\n> First line of it.\nHm."), ("A\nB\nC", "> A\n> C\nHm.")]
+    rows = [(c, t, "user", text) for c, pair in enumerate(quotes + never) for t, text in enumerate(pair)]
+    # whole lines go before an earlier run inside a line
+    rows += [(99, 0, "user", "He said that we meet at noon today."), (99, 1, "user", "we meet at noon today."), (99, 2, "user", "> We meet at noon today.\nok"), (99, 3, "user", "> that we meet at noon\nok")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): r for r in quotation.link_quotations(df).collect()}
+    assert [got[c, 1]["reply_to"] for c in range(len(quotes) + len(never))] == [0] * len(quotes) + [None] * len(never)
+    assert all(r["n_linked"] == (r["n_quotes"] if r["reply_to"] is not None else 0) for r in got.values())
+    assert got[99, 2]["reply_to"] == 1 and got[99, 3]["reply_to"] == 0
