@@ -4,7 +4,9 @@ Four sources are added as log probabilities: the text's byte 3-grams under a
 multinomial model per language, the language that the markup declares, and the
 prior of the row's host.  Host priors come from grouped counts of what the
 texts alone say, smoothed towards their address suffix and that towards the
-whole table.  A row's own vote is taken out of its host's counts.
+whole table.  A row's own vote is taken out of its host's counts.  A text must
+also fit the language found: what none of the languages wrote is rejected, however
+much likelier one of them is than the others.
 
 Scale.  The model is languages x 2^16 counts, summed over every training row
 by grouped aggregation; text scoring is one narrow pass; priors reach rows by
@@ -28,31 +30,34 @@ from .minhash import buffers, pieces
 BITS, ORDER = 16, 3
 #: Grams of text evidence at most: beyond it more text says no more, as grams aren't independent.
 WEIGHT = 60.0
+#: Mean log likelihood of a gram may lie so far below that of the language's own grams.
+FIT = 5.0
 #: Rows of the wider group that a host's, or a suffix's, counts are mixed with.
 HOST_PULL, SUFFIX_PULL = 20.0, 50.0
 #: Languages a model can hold, so that what is collected stays bounded.
 MAX_LANGUAGES = 256
 
 
-def _grams(data: np.ndarray) -> np.ndarray:
-    """Bucket of the 3-gram at each byte; ASCII that is no letter counts as a space."""
+def _grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of the 3-gram at each byte, and whether it holds a letter; ASCII that is no letter counts as a space."""
     table = np.arange(256, dtype=np.uint32)
     table[65:91] += 32
     table[[*range(0, 65), *range(91, 97), *range(123, 128)]] = 32
     x = table[data]
     code = (x[:-2] << np.uint32(16)) | (x[1:-1] << np.uint32(8)) | x[2:]
-    return ((code * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.int64)
+    return ((code * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.int64), code != 0x202020
 
 
 def _split(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets, the text of each, and the bytes of each text; grams across texts are left out."""
+    """Buckets, the text of each, and the bytes of each text; grams across texts, or without a letter, are left out."""
     data, ends = buffers(column)
     size = np.diff(ends, prepend=0)
     if len(data) < ORDER:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), size
     text = np.repeat(np.arange(len(ends)), size)
-    inside = np.flatnonzero(text[: len(data) - 2] == text[2:])
-    return _grams(data)[inside], text[inside], size
+    bucket, letter = _grams(data)
+    inside = np.flatnonzero((text[: len(data) - 2] == text[2:]) & letter)
+    return bucket[inside], text[inside], size
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,6 +79,8 @@ class LanguageModel:
     languages: tuple[str, ...]
     #: languages x buckets
     log_p: np.ndarray
+    #: mean log likelihood of each language's own grams
+    own: np.ndarray
 
 
 def train_language(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", where: Column | None = None) -> LanguageModel:
@@ -91,28 +98,30 @@ def train_language(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     at = {x: i for i, x in enumerate(names)}
     np.add.at(n, (pdf["lang"].map(at).to_numpy(np.int64), pdf["bucket"].to_numpy(np.int64)), pdf["n"].to_numpy(float))
     alpha = 0.1
-    return LanguageModel(tuple(names), np.log((n + alpha) / (n.sum(axis=1, keepdims=True) + alpha * n.shape[1])).astype(np.float32))
+    log_p = np.log((n + alpha) / (n.sum(axis=1, keepdims=True) + alpha * n.shape[1]))
+    return LanguageModel(tuple(names), log_p.astype(np.float32), (n * log_p).sum(axis=1) / np.maximum(n.sum(axis=1), 1))
 
 
 def text_evidence(text: Column, model: LanguageModel, weight: float = WEIGHT) -> Column:
-    """Struct (grams, one log likelihood for each language, the best is 0); no grams: all 0."""
+    """Struct (grams, one log likelihood for each language, the best is 0, and each one's mean of a gram less the language's own); no grams: log is all 0."""
     size = len(model.languages)
 
-    @F.pandas_udf("grams long, log array<double>")
+    @F.pandas_udf("grams long, log array<double>, fit array<double>")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         table = np.ascontiguousarray(model.log_p.T)
         for s in parts:
             batch = pa.RecordBatch.from_arrays([pa.Array.from_pandas(s, type=pa.large_string())], ["text"])
-            counts, logs = [], []
+            counts, logs, fits = [], [], []
             for part in pieces(batch):
                 bucket, row, sizes = _split(part.column("text"))
                 n = np.bincount(row, minlength=part.num_rows)
-                total = np.stack([np.bincount(row, table[:, j][bucket], part.num_rows) for j in range(size)], axis=1) if size else np.zeros((part.num_rows, 0))
+                total = np.stack([np.bincount(row, table[:, j][bucket], part.num_rows) for j in range(size)], axis=1).astype(float) if size else np.zeros((part.num_rows, 0))
+                fits.append(total / np.maximum(n, 1)[:, None] - model.own)
                 total *= (np.minimum(n, weight) / np.maximum(n, 1))[:, None]
                 counts.append(n)
                 logs.append(total - total.max(axis=1, keepdims=True, initial=-np.inf) if size else total)
             n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-            yield pd.DataFrame({"grams": n, "log": [x for y in logs for x in y]})
+            yield pd.DataFrame({"grams": n, "log": [x for y in logs for x in y], "fit": [x for y in fits for x in y]})
 
     return score(F.coalesce(text.cast("string"), F.lit("")))
 
@@ -124,8 +133,9 @@ def identify_language(
     """rid, h, grams, text_lang, lang, posterior, accepted; one row per distinct id and text.
 
     ``lang`` is the most probable language, ties to the first by name.
-    A row is accepted if its text has grams and the posterior is ``least`` or
-    more.  Without a host, suffix or declaration (null) that evidence is
+    A row is accepted if its text has grams with letters, the posterior is
+    ``least`` or more, and a gram's mean log likelihood in ``lang`` is at most
+    ``FIT`` below that of the language's own.  Without a host, suffix or declaration (null) that evidence is
     silent; without grams the prior alone decides and the row isn't accepted.
     A model without languages gives null and accepts nothing.  Empty tables
     give empty results.
@@ -141,7 +151,7 @@ def identify_language(
     names = F.array(*[F.lit(x) for x in langs]).cast("array<string>")
     best = lambda a: F.get(names, F.array_position(a, F.array_max(a)).cast("int") - 1)
     base = base.withColumn("text_lang", F.when(F.col("t.grams") > 0, best(F.col("t.log"))))
-    base = written(base.select("rid", "h", "host", "suffix", "declared", "text_lang", F.col("t.grams").alias("grams"), F.col("t.log").alias("log")), "evidence")
+    base = written(base.select("rid", "h", "host", "suffix", "declared", "text_lang", F.col("t.grams").alias("grams"), F.col("t.log").alias("log"), F.col("t.fit").alias("fit")), "evidence")
     if not langs:
         return base.select("rid", "h", "grams", "text_lang", none.alias("lang"), F.lit(None).cast("double").alias("posterior"), F.lit(False).alias("accepted"))
     votes = F.array(*[F.count(F.when(F.col("text_lang") == x, 1)) for x in langs])
@@ -170,8 +180,9 @@ def identify_language(
     logs = F.zip_with(F.zip_with("log", F.transform("prior", lambda p: F.ln(F.greatest(p, F.lit(1e-9)))), lambda a, b: a + b), "markup", lambda a, b: a + b)
     out = out.withColumn("logs", logs).withColumn("top", F.array_max("logs"))
     posterior = 1 / F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
-    out = out.select("rid", "h", "grams", "text_lang", best(F.col("logs")).alias("lang"), posterior.alias("posterior"))
-    return out.withColumn("accepted", (F.col("grams") > 0) & (F.col("posterior") >= least))
+    fit = F.get("fit", F.array_position("logs", F.col("top")).cast("int") - 1)
+    out = out.select("rid", "h", "grams", "text_lang", best(F.col("logs")).alias("lang"), posterior.alias("posterior"), fit.alias("fit"))
+    return out.withColumn("accepted", (F.col("grams") > 0) & (F.col("posterior") >= least) & (F.col("fit") >= -FIT)).drop("fit")
 
 
 def page_text(html: Column) -> Column:

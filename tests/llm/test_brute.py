@@ -207,6 +207,22 @@ def test_learnt(spark):
     assert sum(r["lang"] == r["told"] for r in got) >= 0.97 * len(got) and sum(r["accepted"] for r in got) >= 0.97 * len(got)
 
 
+def test_what_is_no_language_goes(spark):
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    model = language.train_language(docs)
+    junk = [
+        "1234567890 " * 10, "!!! ??? --- 000 111", "xkqz wprt bdfg hjklm npqrst vwxz bcdfg hjkl mnpq rstvw",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.",
+        "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。",
+    ]
+    good = ["All human beings are born free and equal in dignity and rights.", "Todos los seres humanos nacen libres e iguales en dignidad y derechos.", "Alle Menschen sind frei und gleich an Würde und Rechten geboren."]
+    got = {r["rid"]: r for r in language.identify_language(spark.createDataFrame(list(enumerate(junk + good)), "doc_id long, text string"), model).collect()}
+    assert [got[i]["accepted"] for i in range(len(junk + good))] == [False] * len(junk) + [True] * len(good)
+    assert got[0]["grams"] == got[1]["grams"] == 0 and [got[len(junk) + i]["lang"] for i in range(3)] == ["en", "es", "de"]
+    assert language.document_languages(docs, model).filter("not accepted").count() <= 0.01 * docs.count()
+
+
 def test_host_priors_and_markup(spark):
     model = language.train_language(spark.createDataFrame([("the and of to in that", "en"), ("le la les des une est", "fr")] * 20, "text string, lang string"))
     rows = [(i, "the and of that", "en.example.uk", "uk", None) for i in range(30)] + [(100, "", "en.example.uk", "uk", None), (101, "zzz qqq", "x.fr", "fr", "fr-CA"), (102, "le la les", None, None, "en")]
