@@ -26,26 +26,28 @@ def parse_policy(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return p, g
 
 
-def role_closure(spark: SparkSession, edges: DataFrame, roles: DataFrame, depth: int = 100) -> DataFrame:
-    """role, inherits, path: every role reachable, itself included. A path meets no role twice, so cycles end."""
+def role_closure(spark: SparkSession, edges: DataFrame, roles: DataFrame) -> DataFrame:
+    """role, inherits, path: every role reachable, itself included. A path meets no role twice, so cycles end, after as many steps as there are edges."""
+    depth = edges.count() + 1
     edges.createOrReplaceTempView("_role_edges")
     roles.createOrReplaceTempView("_roles")
     return spark.sql(
-        f"""WITH RECURSIVE c(role, inherits, path, d) MAX RECURSION LEVEL {depth + 1} AS (
-          SELECT role, role, array(role), 0 FROM _roles
-          UNION ALL SELECT c.role, e.inherits, array_append(c.path, e.inherits), d + 1 FROM c JOIN _role_edges e ON e.role = c.inherits WHERE NOT array_contains(c.path, e.inherits) AND d < {depth})
+        f"""WITH RECURSIVE c(role, inherits, path) MAX RECURSION LEVEL {depth + 1} AS (
+          SELECT role, role, array(role) FROM _roles
+          UNION ALL SELECT c.role, e.inherits, array_append(c.path, e.inherits) FROM c JOIN _role_edges e ON e.role = c.inherits WHERE NOT array_contains(c.path, e.inherits))
         SELECT role, inherits, array_join(path, '>') AS path FROM c"""
     )
 
 
-def role_cycles(spark: SparkSession, edges: DataFrame, depth: int = 100) -> DataFrame:
+def role_cycles(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """role, cycle: each way that leads from a role back to it."""
+    depth = edges.count() + 1
     edges.createOrReplaceTempView("_role_edges")
     return spark.sql(
-        f"""WITH RECURSIVE c(role, at, path, closed, d) MAX RECURSION LEVEL {depth + 1} AS (
-          SELECT role, inherits, array(role, inherits), role = inherits, 0 FROM _role_edges
-          UNION ALL SELECT c.role, e.inherits, array_append(c.path, e.inherits), e.inherits = c.role, d + 1 FROM c JOIN _role_edges e ON e.role = c.at
-            WHERE NOT c.closed AND d < {depth} AND (e.inherits = c.role OR NOT array_contains(c.path, e.inherits)))
+        f"""WITH RECURSIVE c(role, at, path, closed) MAX RECURSION LEVEL {depth + 1} AS (
+          SELECT role, inherits, array(role, inherits), role = inherits FROM _role_edges
+          UNION ALL SELECT c.role, e.inherits, array_append(c.path, e.inherits), e.inherits = c.role FROM c JOIN _role_edges e ON e.role = c.at
+            WHERE NOT c.closed AND (e.inherits = c.role OR NOT array_contains(c.path, e.inherits)))
         SELECT role, array_join(path, '>') AS cycle FROM c WHERE closed"""
     )
 

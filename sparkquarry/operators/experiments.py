@@ -50,21 +50,39 @@ def paired(pairs: DataFrame, groups: Sequence[str], before: str, after: str) ->
     return out.withColumn("p", student_p(F.col("t"), F.col("n") - 1))
 
 
-def bootstrap_interval(samples: DataFrame, arm: str = "variant", value: str = "value", key: str = "event_id", resamples: int = 200, low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """Percentile interval of the mean difference by Poisson resampling: a row's weight in a resample follows from its key's hash.
+def _resampled(resamples: int, seed: int):
+    """Sums of weights, and of weighted values, of each resample and arm: n equal values weigh Poisson(n) together, keyed by arm and value."""
 
-    Rows are weighted where they stand and summed before the shuffle, so the
-    samples are never gathered.
+    def run(batches):
+        import hashlib
+
+        import numpy as np
+        import pyarrow as pa
+
+        sums: dict = {}
+        for batch in batches:
+            for arm, value, n in zip(*(batch.column(c).to_pylist() for c in ("arm", "value", "n"))):
+                key = int.from_bytes(hashlib.blake2b(f"{seed}:{arm}:{value!r}".encode(), digest_size=8).digest(), "big")
+                w = np.random.Generator(np.random.Philox(key)).poisson(n, resamples)
+                have = sums.setdefault(arm, [np.zeros(resamples), np.zeros(resamples)])
+                have[0] += w
+                have[1] += w * value
+        for arm, (w, v) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([arm] * resamples), pa.array(np.arange(resamples)), pa.array(w), pa.array(v)], ["arm", "b", "w", "v"])
+
+    return run
+
+
+def bootstrap_interval(samples: DataFrame, arm: str = "variant", value: str = "value", resamples: int = 10_000, low: float = 0.025, high: float = 0.975, seed: int = 42) -> DataFrame:
+    """Percentile interval of the mean difference by Poisson resampling.
+
+    Equal values of an arm are counted first and resampled as one, so the
+    work follows the distinct values; what leaves a task is ``resamples``
+    sums for each arm, however many rows it read.
     """
-    u = F.pmod(F.xxhash64(key, "b"), F.lit(1 << 30)) / float(1 << 30)
-    # Poisson(1) weights by inversion
-    weight, bound, p = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(8):
-        bound += p
-        weight = weight + (u >= bound).cast("int")
-        p /= k + 1
-    drawn = samples.select(key, arm, value).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("w", weight)
-    mean = lambda a: F.sum(F.when(F.col(arm) == a, F.col("w") * F.col(value))) / F.nullif(F.sum(F.when(F.col(arm) == a, F.col("w"))), F.lit(0))
+    counted = samples.select(F.col(arm).cast("string").alias("arm"), F.col(value).cast("double").alias("value")).dropna().groupBy("arm", "value").agg(F.count("*").alias("n"))
+    drawn = counted.mapInArrow(_resampled(resamples, seed), "arm string, b long, w double, v double")
+    mean = lambda a: F.sum(F.when(F.col("arm") == a, F.col("v"))) / F.nullif(F.sum(F.when(F.col("arm") == a, F.col("w"))), F.lit(0.0))
     each = drawn.groupBy("b").agg((mean("treatment") - mean("control")).alias("d"))
     return each.agg(F.percentile("d", low).alias("ci_lower"), F.percentile("d", high).alias("ci_upper"))
 

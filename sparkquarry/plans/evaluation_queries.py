@@ -96,16 +96,16 @@ _Q = "CASE (conv_id + turn) % 5 WHEN 0 THEN 'What is ' WHEN 1 THEN 'Explain ' WH
 def _asked(t):
     k = (F.col("conv_id") + F.col("turn")) % 5
     start = F.when(k == 0, "What is ").when(k == 1, "Explain ").when(k == 2, "What are the steps of ").when(k == 3, "Compare ").otherwise("Tell me ")
-    return t.conversations.filter("role = 'user'").select("conv_id", "turn", F.concat(start, F.substring("text", 1, 20)).alias("text"))
+    return t.conversations.filter("role = 'user'").select("conv_id", "turn", F.concat(start, F.col("text")).alias("text"))
 
 
-@query(f"SELECT conv_id, turn, {_CAT} AS category FROM (SELECT conv_id, turn, concat({_Q}, substr(text, 1, 20)) AS text FROM conversations WHERE role = 'user')")
+@query(f"SELECT conv_id, turn, {_CAT} AS category FROM (SELECT conv_id, turn, concat({_Q}, text) AS text FROM conversations WHERE role = 'user')")
 def query_categories(t):
     return _asked(t).select("conv_id", "turn", T.query_category(F.col("text")).alias("category"))
 
 
 @query(
-    f"""WITH q AS (SELECT conv_id, turn, {_CAT} AS category FROM (SELECT conv_id, turn, concat({_Q}, substr(text, 1, 20)) AS text FROM conversations WHERE role = 'user')),
+    f"""WITH q AS (SELECT conv_id, turn, {_CAT} AS category FROM (SELECT conv_id, turn, concat({_Q}, text) AS text FROM conversations WHERE role = 'user')),
     p AS (SELECT category, count(*)::DOUBLE / (SELECT count(*) FROM q) AS production FROM q GROUP BY 1), g AS (SELECT category, count(*)::DOUBLE / (SELECT count(*) FROM q WHERE conv_id % 3 = 0) AS golden FROM q WHERE conv_id % 3 = 0 GROUP BY 1)
     SELECT coalesce(p.category, g.category) AS category, coalesce(golden, 0) AS golden, coalesce(production, 0) AS production, abs(coalesce(golden, 0) - coalesce(production, 0)) > 0.15 AS flagged FROM p FULL JOIN g ON p.category = g.category""",
     ("golden", "production"),
@@ -134,13 +134,13 @@ def keyword_coverage(t):
     return t.documents.select("doc_id", (sum((low.contains(k).cast("int") for k in ("the", "and", "tion", "sch", "que")), F.lit(0)) / F.lit(5.0)).alias("coverage"))
 
 
-# feedback: one row for each fifth event
-FEEDBACK = "SELECT event_id AS id, user_id, ts, CASE WHEN value < 15 THEN 'down' ELSE 'up' END AS thumbs, CASE WHEN event_id % 4 = 0 THEN NULL ELSE 1 + event_id % 5 END AS rating, event_id % 3 AS processed, ['verbose', 'technical', 'sources', 'context'][1 + event_id % 4] AS issue FROM events WHERE event_id % 5 = 0"
+# feedback: every event is rated
+FEEDBACK = "SELECT event_id AS id, user_id, ts, CASE WHEN value < 15 THEN 'down' ELSE 'up' END AS thumbs, CASE WHEN event_id % 4 = 0 THEN NULL ELSE 1 + event_id % 5 END AS rating, event_id % 3 AS processed, ['verbose', 'technical', 'sources', 'context'][1 + event_id % 4] AS issue FROM events"
 
 
 def _feedback(t):
     i = F.col("event_id")
-    return t.events.filter("event_id % 5 = 0").select(
+    return t.events.select(
         i.alias("id"), "user_id", "ts", F.when(F.col("value") < 15, "down").otherwise("up").alias("thumbs"), F.when(i % 4 == 0, F.lit(None)).otherwise(1 + i % 5).alias("rating"),
         (i % 3).alias("processed"), F.get(F.array(*map(F.lit, ("verbose", "technical", "sources", "context"))), (i % 4).cast("int")).alias("issue"),
     )

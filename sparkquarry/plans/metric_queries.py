@@ -190,12 +190,12 @@ def alert_dedup(t):
     return A.deduplicated(_alerts(t), ["name", "severity"], 300).select("event_id", "is_duplicate")
 
 
-_SHIFTS = "SELECT user_id % 10 AS policy, ts AS start_at, ts + INTERVAL 6 HOUR AS end_at FROM events WHERE event_id % 7 = 0"
+_SHIFTS = "SELECT user_id % 10 AS policy, ts AS start_at, ts + INTERVAL 5 MINUTE AS end_at FROM events"
 
 
 @query(f"WITH s AS ({_SHIFTS}), r AS (SELECT *, max(end_at) OVER (PARTITION BY policy ORDER BY start_at, end_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s) SELECT policy, reach AS gap_start, start_at AS gap_end FROM r WHERE start_at > reach")
 def oncall_gaps(t):
-    shifts = t.events.filter("event_id % 7 = 0").select((F.col("user_id") % 10).alias("policy"), F.col("ts").alias("start_at"), (F.col("ts") + F.expr("interval 6 hours")).alias("end_at"))
+    shifts = t.events.select((F.col("user_id") % 10).alias("policy"), F.col("ts").alias("start_at"), (F.col("ts") + F.expr("interval 5 minutes")).alias("end_at"))
     return S.coverage_gaps(shifts, ["policy"], "start_at", "end_at")
 
 

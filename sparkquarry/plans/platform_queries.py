@@ -140,11 +140,15 @@ _TOP = f"SELECT a.vec_id AS query_id, b.vec_id AS match_id, round({_COS}, 6) AS
 
 
 def _topk(t):
+    return _candidates(t, 5)
+
+
+def _candidates(t, k):
     """Queries are each fiftieth vector; candidates share their namespace."""
     q = t.embeddings.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"))
     s = t.embeddings.join(q, "label").filter("vec_id <> query_id").select("query_id", F.col("vec_id").alias("match_id"), F.round(VX.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "match_id")
-    return s.withColumn("_rn", F.row_number().over(w)).filter("_rn <= 5").drop("_rn")
+    return s.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")
 
 
 @query(_TOP)
@@ -236,12 +240,15 @@ def rls_topk(t):
     return AC.visible(d, "level", _permissions(t), F.lit("viewer")).orderBy(F.desc("n"), "doc_id").limit(10).select("doc_id", "level")
 
 
-@query("SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_custkey % 5 >= s_suppkey % 5 WHERE c_custkey % 10 = 0")
+@query("SELECT p_partkey, p_brand, p_size, c.c_custkey, CASE WHEN p_brand = concat('Brand#', 1 + c.c_nationkey % 5, 1 + c.c_custkey % 5) AND c.c_custkey % 50 >= p_size - 1 THEN true ELSE false END AS allowed FROM orders JOIN customer c ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey")
 def abac_filter(t):
-    """Same nation stands for the department, remainders for clearance and sensitivity."""
-    c, s = t.customer.filter("c_custkey % 10 = 0").select("c_custkey", "c_nationkey"), t.supplier.select("s_suppkey", "s_nationkey")
-    ok = AC.abac(F.col("c_nationkey"), F.col("s_nationkey"), F.col("c_custkey") % 5, F.col("s_suppkey") % 5)
-    return c.join(s, (c["c_nationkey"] == s["s_nationkey"]) & ok).select("c_custkey", "s_suppkey")
+    """Each access (an order's line) is decided by attributes: the customer's department must be the part's brand, their clearance no less than its size."""
+    c = t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    line = t.orders.select("o_orderkey", "o_custkey").join(t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("p_partkey")), "o_orderkey")
+    j = line.join(c, "o_custkey").join(t.part.select("p_partkey", "p_brand", "p_size"), "p_partkey")
+    own = F.format_string("Brand#%d%d", 1 + F.col("c_nationkey") % 5, 1 + F.col("o_custkey") % 5)
+    ok = AC.abac(own, F.col("p_brand"), F.col("o_custkey") % 50, F.col("p_size") - 1)
+    return j.select("p_partkey", "p_brand", "p_size", F.col("o_custkey").alias("c_custkey"), ok.alias("allowed"))
 
 
 # audit

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..functions import vectors as VX
@@ -91,25 +89,15 @@ def feature_success_ema(t):
 
 # personal data
 _FOUND = " UNION ALL ".join(f"SELECT doc_id, '{e}' AS entity, unnest(regexp_extract_all(text, '{p}')) AS match, {s}::DOUBLE AS score FROM documents" for e, p, s in P.PATTERNS)
-# \b after letters beyond ASCII differs between the two engines' patterns, so accents next to the texts' digits are blanked on both sides
-_DOCS = "(SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g') AS text FROM documents)"
-
-
-def _plain(t):
-    return t.documents.select("doc_id", F.regexp_replace("text", r"[^\x00-\x7F]", " ").alias("text"))
-
-
-_FOUND = _FOUND.replace("FROM documents", f"FROM {_DOCS} d")
-
 
 @query(_FOUND)
 def pii_detect(t):
-    return P.detect(_plain(t))
+    return P.detect(t.documents)
 
 
 @query(f"SELECT doc_id, entity, match, CASE entity WHEN 'EMAIL_ADDRESS' THEN string_split(match, '@')[-1] IN ('example.com', 'test.com', 'localhost') WHEN 'US_SSN' THEN match IN ('123-45-6789', '000-00-0000', '111-11-1111') WHEN 'PHONE_NUMBER' THEN regexp_replace(match, '[\\s\\-()]', '', 'g') IN ('5555555555', '5551234') ELSE false END AS skipped FROM ({_FOUND}) WHERE score >= 0.7")
 def pii_whitelist(t):
-    return P.detect(_plain(t), min_score=0.7).select("doc_id", "entity", "match", P.whitelisted(F.col("entity"), F.col("match")).alias("skipped"))
+    return P.detect(t.documents, min_score=0.7).select("doc_id", "entity", "match", P.whitelisted(F.col("entity"), F.col("match")).alias("skipped"))
 
 
 def _nested(patterns, inner="text"):
@@ -118,9 +106,9 @@ def _nested(patterns, inner="text"):
     return inner
 
 
-@query(f"SELECT doc_id, {_nested([(p, P.PLACEHOLDER.get(e, f'<{e}>')) for e, p, _ in P.PATTERNS])} AS text FROM {_DOCS} d")
+@query(f"SELECT doc_id, {_nested([(p, P.PLACEHOLDER.get(e, f'<{e}>')) for e, p, _ in P.PATTERNS])} AS text FROM documents")
 def pii_redact_replace(t):
-    return _plain(t).select("doc_id", P.redact(F.col("text")).alias("text"))
+    return t.documents.select("doc_id", P.redact(F.col("text")).alias("text"))
 
 
 @query()
@@ -133,18 +121,18 @@ def pii_redact_hash(t):
     return t.documents.select("doc_id", P.redact(F.col("text"), "hash").alias("text"))
 
 
-@query(f"SELECT doc_id, {_nested([(p, f'[{n}_REDACTED]') for n, p in P.LOG_MASKS])} AS line FROM {_DOCS} d")
+@query(f"SELECT doc_id, {_nested([(p, f'[{n}_REDACTED]') for n, p in P.LOG_MASKS])} AS line FROM documents")
 def log_mask(t):
-    return _plain(t).select("doc_id", P.mask_log(F.col("text")).alias("line"))
+    return t.documents.select("doc_id", P.mask_log(F.col("text")).alias("line"))
 
 
 @query(f"SELECT (SELECT count(*) FROM documents) AS n_documents, count(DISTINCT doc_id) AS with_pii, count(*) AS entities, count(DISTINCT doc_id) * 100.0::DOUBLE / (SELECT count(*) FROM documents) AS share FROM ({_FOUND})", ("share",))
 def pii_doc_stats(t):
-    f = P.detect(_plain(t)).agg(F.count_distinct("doc_id").alias("with_pii"), F.count("*").alias("entities"))
+    f = P.detect(t.documents).agg(F.count_distinct("doc_id").alias("with_pii"), F.count("*").alias("entities"))
     return f.join(t.documents.agg(F.count("*").alias("n_documents"))).withColumn("share", F.col("with_pii") * 100.0 / F.col("n_documents"))
 
 
-@query(f"SELECT doc_id, regexp_matches(text, '\\d{{3}}-\\d{{2}}-\\d{{4}}|\\d{{4}}[ -]?\\d{{4}}[ -]?\\d{{4}}[ -]?\\d{{4}}') AS rejected FROM documents")
+@query(f"SELECT doc_id, regexp_matches(text, '\\d{{3}}-\\d{{2}}-\\d{{4}}|\\d{{16}}') AS rejected FROM documents")
 def pii_reject_upload(t):
     return t.documents.select("doc_id", P.rejects(F.col("text")).alias("rejected"))
 
