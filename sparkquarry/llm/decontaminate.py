@@ -5,7 +5,9 @@ DataFrame functions only.  A window is ``window`` consecutive words of an item
 ranks the words of each window; postings (term, document, position) are stored
 for the two rarest words of the windows.  The rarest word's list, shifted by
 its offset, gives candidate starts, the second list intersects them, and the
-words between are compared in the document itself.
+words between are compared in the document itself.  Proximity matches come from the
+same index: all words of a window, in order, with up to ``slop`` other words
+between them.
 
 Scale.  The corpus is read three times: to count, to build the index, and to
 compare.  What is broadcast is the benchmark's own vocabulary and windows, and
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import col, id_out, keyed, written
 
-#: Fixed by the contract: letters, digits and everything beyond ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Fixed by the contract: a word is letters, digits and everything beyond ASCII; this is what lies between words, in lower case.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ROWS = 500_000
 
@@ -33,7 +35,7 @@ def ascii_lower(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(ascii_lower(text), GAP), "")
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -75,9 +77,12 @@ def postings(docs: DataFrame, ranked: DataFrame) -> DataFrame:
 
 
 def candidates(index: DataFrame, ranked: DataFrame, slop: int = 0) -> DataFrame:
-    """rid, h, start, wid, phrase, n where the two rarest words lie at their offsets, give or take ``slop``."""
-    found = index.join(small(ranked), index["term"] == ranked["t0"]).select("rid", "h", (F.col("pos") - F.col("k0")).alias("start"), "wid", "phrase", "n", "k0", "k1", "t1").filter("start >= 0")
-    near = F.sequence(F.col("start") + F.col("k1") - slop, F.col("start") + F.col("k1") + slop) if slop else F.array(F.col("start") + F.col("k1"))
+    """rid, h, start, wid, phrase, n where the two rarest words lie at their offsets, or in order with ``slop`` words more between them."""
+    found = index.join(small(ranked), index["term"] == ranked["t0"]).select("rid", "h", (F.col("pos") - F.col("k0")).alias("start"), "wid", "phrase", "n", "k0", "k1", "t1")
+    if not slop:
+        found = found.filter("start >= 0")
+    at = F.col("start") + F.col("k1")
+    near = F.when(F.col("k1") >= F.col("k0"), F.sequence(at, at + slop)).otherwise(F.sequence(at - slop, at)) if slop else F.array(at)
     wanted = found.withColumn("pos", F.explode(near)).withColumnRenamed("t1", "term")
     kept = wanted.join(index, ["rid", "h", "pos", "term"], "left_semi").select("rid", "h", "start", "wid", "phrase", "n")
     return kept.distinct() if slop else kept
@@ -87,11 +92,26 @@ def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return keyed(docs, id_col, text_col).select("rid", F.xxhash64("text").alias("h"), "text")
 
 
-def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int = 3, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, start, phrase: where a window's two rarest words stand within ``slop`` words of their distance."""
+def _in_order(w: Column, s: Column, terms: Column, slop: int) -> Column:
+    """Whether all ``terms`` stand in order among the words of ``w`` from ``s`` (0-based), the first right there, with ``slop`` others at most."""
+    end = s + F.size(terms) + slop
+    step = lambda p, t: F.when(p >= 0, p + F.coalesce(F.nullif(F.array_position(F.slice(w, p + 1, F.greatest(end - p, F.lit(0))), t).cast("int"), F.lit(0)), F.lit(-(2**30))))
+    return (F.get(w, s) == terms[0]) & (F.coalesce(F.aggregate(terms, s, step), F.lit(-1)) > 0)
+
+
+def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int = 2, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """doc_id, start, phrase: where all words of a window stand in order, the first as word ``start``, with ``slop`` other words between them at most.
+
+    Exact occurrences are among them.  Nulls, empty texts and empty tables
+    are treated as in :func:`decontaminate`; repeated rows give one result.
+    """
     texts = keyed_texts(docs, id_col, text_col)
     ranked = written(index_terms(texts, windows(benchmark, window, item_col, item_text)), "ranked")
-    return candidates(written(postings(texts, ranked), "postings"), ranked, slop).select(id_out().alias("doc_id"), "start", "phrase")
+    found = candidates(written(postings(texts, ranked), "postings"), ranked, slop).groupBy("rid", "h").agg(F.collect_set(F.struct("start", "phrase")).alias("found"))
+    both = texts.hint("shuffle_hash").join(found.hint("shuffle_hash"), ["rid", "h"]).select("rid", words(F.col("text")).alias("w"), F.explode("found").alias("x"))
+    # up to slop other words may stand before the rarest word
+    first = both.select("rid", "w", F.split("x.phrase", " ").alias("terms"), "x.phrase", F.explode(F.sequence(F.greatest(F.col("x.start") - slop, F.lit(0)), F.greatest(F.col("x.start"), F.lit(0)))).alias("start"))
+    return first.filter(_in_order(F.col("w"), F.col("start"), F.col("terms"), slop)).select(id_out().alias("doc_id"), "start", "phrase").distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
