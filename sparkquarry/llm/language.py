@@ -126,11 +126,15 @@ def text_evidence(text: Column, model: LanguageModel, weight: float = WEIGHT) ->
     return score(F.coalesce(text.cast("string"), F.lit("")))
 
 
+def evidence_key(host: Column, suffix: Column, declared: Column) -> Column:
+    return F.xxhash64(*[F.coalesce(c, F.lit("")) for c in (host, suffix, declared)])
+
+
 def identify_language(
     rows: DataFrame, model: LanguageModel, id_col: str = "doc_id", text: Column | None = None, host: Column | None = None,
     suffix: Column | None = None, declared: Column | None = None, least: float = 0.6,
 ) -> DataFrame:
-    """rid, h, grams, text_lang, lang, posterior, accepted; one row per distinct id and text.
+    """rid, h, e, grams, text_lang, lang, posterior, accepted; one row per distinct id, text and other evidence (``e`` is its hash).
 
     ``lang`` is the most probable language, ties to the first by name.
     A row is accepted if its text has grams with letters, the posterior is
@@ -147,13 +151,13 @@ def identify_language(
         F.coalesce(col(rows, id_col).cast("long"), F.lit(-(2**63))).alias("rid"), F.xxhash64(text).alias("h"), text_evidence(text, model).alias("t"),
         F.coalesce(none if host is None else F.lower(host), F.lit("")).alias("host"), F.coalesce(none if suffix is None else F.lower(suffix), F.lit("")).alias("suffix"),
         (none if declared is None else F.lower(F.substring_index(declared, "-", 1))).alias("declared"),
-    ).dropDuplicates(["rid", "h"])
+    ).withColumn("e", evidence_key(F.col("host"), F.col("suffix"), F.col("declared"))).dropDuplicates(["rid", "h", "e"])
     names = F.array(*[F.lit(x) for x in langs]).cast("array<string>")
     best = lambda a: F.get(names, F.array_position(a, F.array_max(a)).cast("int") - 1)
     base = base.withColumn("text_lang", F.when(F.col("t.grams") > 0, best(F.col("t.log"))))
-    base = written(base.select("rid", "h", "host", "suffix", "declared", "text_lang", F.col("t.grams").alias("grams"), F.col("t.log").alias("log"), F.col("t.fit").alias("fit")), "evidence")
+    base = written(base.select("rid", "h", "e", "host", "suffix", "declared", "text_lang", F.col("t.grams").alias("grams"), F.col("t.log").alias("log"), F.col("t.fit").alias("fit")), "evidence")
     if not langs:
-        return base.select("rid", "h", "grams", "text_lang", none.alias("lang"), F.lit(None).cast("double").alias("posterior"), F.lit(False).alias("accepted"))
+        return base.select("rid", "h", "e", "grams", "text_lang", none.alias("lang"), F.lit(None).cast("double").alias("posterior"), F.lit(False).alias("accepted"))
     votes = F.array(*[F.count(F.when(F.col("text_lang") == x, 1)) for x in langs])
     added = F.array(*[F.sum(F.col("_v")[i]) for i in range(len(langs))])
     own = F.array(*[F.coalesce((F.col("text_lang") == x).cast("long"), F.lit(0)) for x in langs])
@@ -181,7 +185,7 @@ def identify_language(
     out = out.withColumn("logs", logs).withColumn("top", F.array_max("logs"))
     posterior = 1 / F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
     fit = F.get("fit", F.array_position("logs", F.col("top")).cast("int") - 1)
-    out = out.select("rid", "h", "grams", "text_lang", best(F.col("logs")).alias("lang"), posterior.alias("posterior"), fit.alias("fit"))
+    out = out.select("rid", "h", "e", "grams", "text_lang", best(F.col("logs")).alias("lang"), posterior.alias("posterior"), fit.alias("fit"))
     return out.withColumn("accepted", (F.col("grams") > 0) & (F.col("posterior") >= least) & (F.col("fit") >= -FIT)).drop("fit")
 
 
@@ -196,7 +200,8 @@ def page_languages(pages: DataFrame, model: LanguageModel, id_col: str = "page_i
     """page_id, declared, suffix, text_lang, lang, posterior, accepted; one row per input row.
 
     Null pages and addresses are empty ones: they have no evidence of that
-    kind.  Repeated rows get the same result.
+    kind.  Repeated rows get the same result, rows that share id and text but
+    not the address or the declaration each their own.
     """
     html, url = F.coalesce(col(pages, html_col).cast("string"), F.lit("")), F.coalesce(col(pages, url_col).cast("string"), F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
@@ -204,12 +209,12 @@ def page_languages(pages: DataFrame, model: LanguageModel, id_col: str = "page_i
     said = F.lower(F.regexp_extract(html, r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]{2,3})""", 1))
     rows = pages.select(col(pages, id_col).alias("doc_id"), page_text(html).alias("text"), host.alias("host"), suffix.alias("suffix"), F.when(said != "", said).alias("declared"))
     found = identify_language(rows, model, "doc_id", F.col("text"), F.col("host"), F.col("suffix"), F.col("declared"))
-    keys = rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("rid"), F.xxhash64("text").alias("h"), "declared", "suffix")
-    return keys.join(found, ["rid", "h"]).select(id_out().alias("page_id"), "declared", "suffix", "text_lang", "lang", "posterior", "accepted")
+    keys = rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("rid"), F.xxhash64("text").alias("h"), evidence_key(F.lower("host"), F.lower("suffix"), F.lower("declared")).alias("e"), "declared", "suffix")
+    return keys.join(found, ["rid", "h", "e"]).select(id_out().alias("page_id"), "declared", "suffix", "text_lang", "lang", "posterior", "accepted")
 
 
 def document_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """rid, h, lang, posterior, accepted of documents; their source takes the place of the host."""
+    """rid, h, e, lang, posterior, accepted of documents; their source takes the place of the host."""
     rows = keyed(docs, id_col, text_col)
     base = docs.select(col(docs, id_col).alias("doc_id"), col(docs, text_col).alias("text"), col(docs, host_col).cast("string").alias("host")) if host_col in docs.columns else rows.select(F.col("rid").alias("doc_id"), "text", F.lit(None).cast("string").alias("host"))
     return identify_language(base, model, "doc_id", F.col("text"), F.col("host"))

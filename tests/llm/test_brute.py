@@ -56,7 +56,7 @@ def test_suffix_array_and_prefixes():
         data = np.frombuffer(raw, np.uint8)
         sa, word = suffix_dedup.suffix_array(data)
         assert sa.tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
-        lcp = suffix_dedup.common_prefixes(data, np.array([0]), np.array([len(raw)]), sa, word, 400)
+        lcp = suffix_dedup.common_prefixes(len(raw), np.array([0]), np.array([len(raw)]), sa, word, 400)
 
         def shared(i, j):
             n = 0
@@ -233,6 +233,44 @@ def test_host_priors_and_markup(spark):
     assert spark.range(1).select(language.page_text(F.lit(page))).first()[0].split() == ["Text", "more"]
 
 
+def test_fusion_beside_plain_sums(spark):
+    """Every posterior of a table with shared ids, hosts and declarations, recounted in plain Python."""
+    model = language.train_language(spark.createDataFrame([("the and of to in that", "en"), ("le la les des une est", "fr"), ("der die das und ist nicht", "de")] * 20, "text string, lang string"))
+    r = random.Random(4)
+    words = "the and of le la les der die das est und that".split()
+    rows = []
+    for i in range(120):
+        host = r.choice([None, "a.fr", "b.fr", "c.uk", "d.de"])
+        rows.append((i % 90, " ".join(r.choice(words) for _ in range(r.randrange(6))), host, host and host[-2:], r.choice([None, "fr", "en-GB", "xx", "de"])))
+    rows += [(500, "the la", "a.fr", "fr", "fr"), (500, "the la", "c.uk", "uk", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, host string, suffix string, declared string")
+    got = language.identify_language(df, model, host=F.col("host"), suffix=F.col("suffix"), declared=F.col("declared"))
+    logs = {x["text"]: (x["t"]["grams"], x["t"]["log"]) for x in df.select("text").distinct().select("text", language.text_evidence(F.col("text"), model).alias("t")).collect()}
+    langs, k = model.languages, len(model.languages)
+    base = {(i, t, h or "", s or "", d and d.split("-")[0]) for i, t, h, s, d in rows}
+    vote = lambda t: max(range(k), key=lambda j: (logs[t][1][j], -j)) if logs[t][0] else None
+    count = lambda keep: [sum(vote(b[1]) == j for b in base if keep(b)) for j in range(k)]
+    total = count(lambda b: True)
+    share = [(n + 1) / (sum(total) + k) for n in total]
+    want = {}
+    for b in base:
+        less = lambda n: [x - (vote(b[1]) == j) for j, x in enumerate(n)]
+        mixed = lambda n, wide, pull: [(x + pull * w) / (sum(n) + pull) for x, w in zip(n, wide)]
+        prior = mixed(less(count(lambda c: c[3] == b[3])), share, language.SUFFIX_PULL) if b[3] else share
+        prior = mixed(less(count(lambda c: c[2:4] == b[2:4])), prior, language.HOST_PULL) if b[2] else prior
+        told = [np.log((n + 1) / (total[j] + k)) for j, n in enumerate(count(lambda c: c[4] == b[4]))] if b[4] in langs else [0.0] * k
+        s = np.array([logs[b[1]][1][j] + np.log(max(prior[j], 1e-9)) + told[j] for j in range(k)])
+        want[b] = (langs[int(s.argmax())], float(1 / np.exp(s - s.max()).sum()))
+    keys = df.select("doc_id", "text", "host", "suffix", "declared", F.xxhash64("text").alias("h"), language.evidence_key(F.lower("host"), F.lower("suffix"), F.lower(F.substring_index("declared", "-", 1))).alias("e")).distinct()
+    found = keys.join(got, (keys["doc_id"] == got["rid"]) & (keys["h"] == got["h"]) & (keys["e"] == got["e"])).collect()
+    assert got.count() == len(base) and len(found) >= len(base)
+    for x in found:
+        lang, p = want[x["doc_id"], x["text"], x["host"] or "", x["suffix"] or "", x["declared"] and x["declared"].split("-")[0]]
+        assert abs(x["posterior"] - p) < 1e-6 and (x["lang"] == lang or p < 0.51)
+    two = [x for x in found if x["doc_id"] == 500]
+    assert len({round(x["posterior"], 6) for x in two}) == 2
+
+
 def test_pipeline(spark):
     import corpus_pipeline as C
 
