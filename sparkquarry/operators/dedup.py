@@ -14,6 +14,14 @@ def token_rows(chunks: DataFrame, key: str = "doc_id", text: str = "text", extra
     return chunks.select(key, F.explode(w if extra is None else F.array_append(w, extra)).alias("token"))
 
 
+def with_totals(rows: DataFrame, group: str, totals: dict[str, tuple[Column, str]], spread: str, salts: int = 64) -> DataFrame:
+    """Totals of a group beside each of its rows: name: (partial aggregate, how the parts combine). Rows of a frequent group meet in no one task."""
+    df = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    sub = df.groupBy(group, "_salt").agg(*[c.alias(f"_{n}") for n, (c, _) in totals.items()])
+    all_ = sub.groupBy(group).agg(*[getattr(F, how)(f"_{n}").alias(n) for n, (_, how) in totals.items()], F.collect_list("_salt").alias("_salts"))
+    return df.join(all_.withColumn("_salt", F.explode("_salts")).drop("_salts"), [group, "_salt"]).drop("_salt")
+
+
 def similar_pairs(tokens: DataFrame, threshold: float, key: str = "doc_id") -> DataFrame:
     """a, b, similarity of all pairs (a < b) with a Jaccard similarity of ``threshold`` or more.
 
@@ -21,8 +29,7 @@ def similar_pairs(tokens: DataFrame, threshold: float, key: str = "doc_id") -> D
     two sets that are similar enough share a token among their first
     n - ceil(threshold n) + 1. Frequent tokens therefore make no pairs.
     """
-    df = tokens.groupBy("token").agg(F.count("*").alias("df"))
-    ranked = tokens.join(df, "token")
+    ranked = with_totals(tokens, "token", {"df": (F.count("*"), "sum")}, key)
     n = ranked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
     n = n.select(key, F.size("t").alias("n"), F.transform("t", lambda x: x["token"]).alias("t"))
     head = n.select(key, "n", F.explode(F.slice("t", 1, F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1)).alias("token"))

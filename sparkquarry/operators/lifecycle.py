@@ -78,8 +78,10 @@ def golden_additions(rated: DataFrame, order: Sequence[Column], most: int = 10)
 def delete_verified(table: DataFrame, gone: DataFrame, keys: Sequence[str], left: DataFrame) -> DataFrame:
     """What ``left`` holds after a deletion; raises where it still has a key of ``gone`` or lost another."""
     state = table.select(*keys, F.lit(True).alias("_was")).join(left.select(*keys, F.lit(True).alias("_is")), list(keys), "full").join(gone.select(*keys).distinct().withColumn("_gone", F.lit(True)), list(keys), "left")
-    wrong = F.when(F.col("_is") & F.col("_gone"), F.raise_error(F.lit("a deleted row is still there"))).when(F.col("_was") & F.col("_is").isNull() & F.col("_gone").isNull(), F.raise_error(F.lit("a row that stays is missing")))
-    return state.withColumn("_ok", wrong.cast("string")).filter("_is and _ok is null").select(*keys)
+    is_, gone_ = F.coalesce("_is", F.lit(False)), F.coalesce("_gone", F.lit(False))
+    said = lambda why: F.raise_error(F.lit(why)).cast("boolean")
+    stays = F.when(is_ & gone_, said("a deleted row is still there")).when(F.col("_was") & ~is_ & ~gone_, said("a row that stays is missing")).otherwise(is_)
+    return state.filter(stays).select(*keys)
 
 
 def cosine_report(pairs: DataFrame, score: str = "similarity", least: float = 0.75) -> DataFrame:

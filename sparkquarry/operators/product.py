@@ -45,8 +45,12 @@ def period_change(df: DataFrame, groups: Sequence[str], period: str, value: str)
 
 
 def success_ema(events: DataFrame, groups: Sequence[str], keep: float = 0.95) -> DataFrame:
-    """groups, n, as_is (moves on success only, so it never falls), corrected; folds over each group's events in time order."""
-    rows = events.groupBy(*groups).agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "ok"))), lambda x: x["ok"]).alias("h"))
-    as_is = F.aggregate("h", F.lit(0.0), lambda a, ok: F.when(ok, keep * a + (1 - keep)).otherwise(a))
-    corrected = F.aggregate("h", F.lit(0.0), lambda a, ok: keep * a + (1 - keep) * ok.cast("double"))
-    return rows.select(*groups, F.size("h").cast("long").alias("n"), as_is.alias("as_is"), corrected.alias("corrected"))
+    """groups, n, as_is (moves on success only, so it never falls), corrected.
+
+    Both moving averages in closed form: as_is depends on the number of
+    successes alone, corrected weighs each by its place from the end.
+    """
+    last = F.row_number().over(Window.partitionBy(*groups).orderBy(F.desc("ts"), F.desc("event_id")))
+    ok = F.col("ok").cast("double")
+    rows = events.withColumn("_w", ok * (1 - keep) * F.pow(F.lit(keep), last - 1))
+    return rows.groupBy(*groups).agg(F.count("*").alias("n"), (1 - F.pow(F.lit(keep), F.sum(ok))).alias("as_is"), F.sum("_w").alias("corrected"))

@@ -184,7 +184,12 @@ def alert_incidents(t):
     return A.incidents(_alerts(t), 300)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE a AS MATERIALIZED (SELECT event_id, concat(name, ':', severity) AS fp, epoch_us(ts) AS us FROM ({ALERTS})),
+    r AS (SELECT fp, min(us) AS us FROM a GROUP BY 1 UNION ALL SELECT r.fp, min(a.us) FROM r JOIN a ON a.fp = r.fp AND a.us >= r.us + 300000000 GROUP BY r.fp),
+    f AS (SELECT a.fp, a.us, min(event_id) AS event_id FROM a JOIN r ON a.fp = r.fp AND a.us = r.us GROUP BY 1, 2)
+    SELECT event_id, event_id NOT IN (SELECT event_id FROM f) AS is_duplicate FROM a"""
+)
 def alert_dedup(t):
     """First-recorded rule: a fold over each fingerprint's alerts, five minutes from the alert that was let through."""
     return A.deduplicated(_alerts(t), ["name", "severity"], 300).select("event_id", "is_duplicate")

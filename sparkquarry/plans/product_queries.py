@@ -81,7 +81,7 @@ def week_over_week(t):
     return PR.period_change(t.events.groupBy("user_id", F.to_date(F.date_trunc("week", "ts")).alias("week")).agg(F.count("*").alias("n")), ["user_id"], "week", "n")
 
 
-@query()
+@query("SELECT user_id, event_type, count(*) AS n, 1 - pow(0.95::DOUBLE, sum(ok)) AS as_is, sum(ok * 0.05 * pow(0.95::DOUBLE, rn - 1)) AS corrected FROM (SELECT user_id, event_type, (value > 5)::INT AS ok, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) GROUP BY 1, 2", ("as_is", "corrected"))
 def feature_success_ema(t):
     """Both modes of the moving average: as it stands, updated on success only, and corrected."""
     return PR.success_ema(t.events.select("user_id", "event_type", "ts", "event_id", (F.col("value") > 5).alias("ok")), ["user_id", "event_type"])
@@ -111,7 +111,16 @@ def pii_redact_replace(t):
     return t.documents.select("doc_id", P.redact(F.col("text")).alias("text"))
 
 
-@query()
+def _masked_sql():
+    sql = "SELECT doc_id, text FROM documents"
+    for entity, p, _ in P.PATTERNS:
+        n = "least(length(z[2]), 4)" if entity == "EMAIL_ADDRESS" else "length(z[2])"
+        pieces = f"list_zip(string_split_regex(text, '{p}'), list_append(regexp_extract_all(text, '{p}'), ''))"
+        sql = f"SELECT doc_id, array_to_string(list_transform({pieces}, lambda z: concat(z[1], repeat('*', {n}), substr(z[2], {n} + 1))), '') AS text FROM ({sql})"
+    return sql
+
+
+@query(_masked_sql())
 def pii_redact_mask(t):
     return t.documents.select("doc_id", P.redact(F.col("text"), "mask").alias("text"))
 
@@ -141,8 +150,7 @@ def pii_reject_upload(t):
 @query("SELECT doc_id, md5(text) AS digest, count(*) OVER (PARTITION BY text) AS copies, min(doc_id) OVER (PARTITION BY text) AS first_id FROM documents")
 def exact_duplicates(t):
     d = t.documents.select("doc_id", F.md5("text").alias("digest"))
-    g = d.groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"))
-    return d.join(g, "digest")
+    return D.with_totals(d, "digest", {"copies": (F.count("*"), "sum"), "first_id": (F.min("doc_id"), "min")}, "doc_id")
 
 
 _TOK = "SELECT doc_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> ''))) AS token FROM documents"
@@ -175,7 +183,14 @@ def near_duplicates_minhash(t):
     return j.select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("similarity")).filter("similarity >= 0.85")
 
 
-@query()
+_GREEDY = f"""WITH RECURSIVE p AS ({_PAIRS}), nb AS (SELECT b, list(a ORDER BY a) AS before FROM p GROUP BY 1), o AS (SELECT doc_id, coalesce(before, []) AS before, row_number() OVER (ORDER BY doc_id) AS i FROM documents LEFT JOIN nb ON b = doc_id WHERE doc_id IN (SELECT a FROM p UNION SELECT b FROM p)),
+r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL SELECT o.i, CASE WHEN list_has_any(r.kept, o.before) THEN r.kept ELSE list_append(r.kept, o.doc_id) END FROM r JOIN o ON o.i = r.i + 1),
+k AS (SELECT unnest(kept) AS doc_id FROM (SELECT kept FROM r ORDER BY i DESC LIMIT 1)),
+best AS (SELECT b, a FROM p WHERE a IN (SELECT doc_id FROM k) QUALIFY row_number() OVER (PARTITION BY b ORDER BY similarity DESC, a) = 1)
+SELECT d.doc_id, CASE WHEN d.doc_id IN (SELECT b FROM p) AND d.doc_id NOT IN (SELECT doc_id FROM k) THEN best.a END AS duplicate_of FROM documents d LEFT JOIN best ON best.b = d.doc_id"""
+
+
+@query(_GREEDY)
 def greedy_dedup(t):
     from ..sources.shared import ensure_checkpoints
 
@@ -203,7 +218,7 @@ def _stream(t):
 def _drained(t, stream, name, mode):
     from ..sources.shared import shared_path
 
-    return ST.drain(stream, name, mode, shared_path(t.spark, name))
+    return ST.drain(stream, shared_path(t.spark, name), mode)
 
 
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2", ("total",))

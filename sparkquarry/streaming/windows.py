@@ -56,11 +56,20 @@ def cooldown(events: DataFrame, key: str, seconds: int, delay: str = DELAY) -> D
     return events.withWatermark("ts", delay).groupBy(key).applyInPandasWithState(fold, f"event_id long, {key} {kind}, ts timestamp", "last long", "append", GroupStateTimeout.NoTimeout)
 
 
-def drain(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Runs a stream over what is there and gives back what it wrote."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def drain(stream: DataFrame, path: str, mode: str) -> DataFrame:
+    """Runs a stream over what is there and gives back what it wrote to ``path``, a folder that driver and executors share.
+
+    A batch has a folder of its own, so a repeated batch replaces itself; in
+    complete mode the last batch is the result.
+    """
+    spark = stream.sparkSession
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={0 if mode == 'complete' else number}")
+
+    put(spark.createDataFrame([], stream.schema), -1)
+    stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
 def upsert_batches(stream: DataFrame, key: str, apply: Callable[[DataFrame, int], None], checkpoint: str, interval: str | None = None):
