@@ -2,8 +2,8 @@
 
 DataFrame functions only.  Lines of a message carry quote marks; consecutive
 lines of one level are a passage.  Passages are normalised, hashed and joined,
-inside their conversation, to the hashes of runs of words that others wrote
-themselves, however either is wrapped: whole lines, as many as there are, and
+inside their conversation, to the hashes of runs of words that earlier turns
+said themselves, whoever wrote them, however either is wrapped: whole lines, as many as there are, and
 for passages of ``GRAM`` words or more any run, if no earlier turn has it as
 whole lines.  A message replies to the author of the first passage of the
 lowest level that is found in an earlier turn.  Messages are then ordered so
@@ -13,9 +13,11 @@ Scale.  Only messages with quote marks are taken apart line by line.  A run is
 hashed only where a passage's first ``GRAM`` words stand, and only for the
 lengths of such passages.  Hashes meet by salted grouping, so a line that
 everybody quotes is no single task.
-Order keys of reply chains are built by doubling, in as many rounds as the
-logarithm of the longest chain; numbers come from counts of cells of turns, so
-a conversation with a third of all rows is numbered in many tasks.
+Reply trees are numbered by ranking their Euler tours: each turn is entered and
+left once, every step knows the next, and doubling adds up what follows, in as
+many rounds as the logarithm of the largest tree's turns, with one row for each
+step whatever the depth.  Trees of a conversation are numbered through cells of
+turns, so a conversation with a third of all rows takes many tasks.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, group_totals, id_out, written
+from .common import col, discard, group_totals, id_out, spread_join, written
 
 #: Up to three spaces may stand before the first mark.
 MARKS = r"^\x20{0,3}>[>\x20]*"
@@ -86,6 +88,58 @@ def said_runs(spoken: DataFrame, quoted: DataFrame) -> DataFrame:
     return short.unionByName(long)
 
 
+def following(df: DataFrame, groups: tuple[str, ...], name: str) -> DataFrame:
+    """Adds ``name``: the next greater turn of the group, found inside cells of turns and between them."""
+    cells = df.withColumn("_cell", F.floor(F.col("turn") / CELL))
+    firsts = cells.groupBy(*groups, "_cell").agg(F.min("turn").alias("_first"))
+    after = firsts.withColumn("_next", F.lead("_first").over(Window.partitionBy(*groups).orderBy("_cell"))).drop("_first")
+    inside = F.lead("turn").over(Window.partitionBy(*groups, "_cell").orderBy("turn"))
+    return cells.withColumn("_inside", inside).join(after, [*groups, "_cell"]).withColumn(name, F.coalesce("_inside", "_next")).drop("_cell", "_inside", "_next")
+
+
+def tree_places(turns: DataFrame) -> DataFrame:
+    """conv, turn, root, behind: of every turn of a reply tree, its root and the rows from it to the tree's end; ``turns``: (conv, turn, w, up)."""
+    replies = turns.filter("up is not null")
+    nodes = replies.select("conv", "turn").unionByName(replies.select("conv", F.col("up").alias("turn"))).distinct().join(turns, ["conv", "turn"])
+    child = replies.groupBy("conv", F.col("up").alias("turn")).agg(F.min("turn").alias("child"))
+    sibling = following(replies.select("conv", "up", "turn"), ("conv", "up"), "sibling").select("conv", "turn", "sibling")
+    nodes = nodes.join(child, ["conv", "turn"], "left").join(sibling, ["conv", "turn"], "left")
+    step = lambda turn, leaves: F.struct(turn.alias("turn"), leaves.alias("leaves"))
+    yes, no = F.lit(True), F.lit(False)
+    enter = nodes.select("conv", step(F.col("turn"), no).alias("at"), F.when(F.col("child").isNotNull(), step(F.col("child"), no)).otherwise(step(F.col("turn"), yes)).alias("to"), "w")
+    leave = F.when(F.col("sibling").isNotNull(), step(F.col("sibling"), no)).when(F.col("up").isNotNull(), step(F.col("up"), yes))
+    steps = enter.unionByName(nodes.select("conv", step(F.col("turn"), yes).alias("at"), leave.alias("to"), F.lit(0).cast("long").alias("w")))
+    steps = written(steps.withColumn("root", F.when(F.col("to").isNull(), F.col("at.turn"))), "tour")
+    while not steps.filter("to is not null").isEmpty():
+        ahead = steps.select("conv", F.col("at").alias("to"), F.col("to").alias("_to"), F.col("w").alias("_w"), F.col("root").alias("_root"))
+        joined = steps.join(ahead, ["conv", "to"], "left")
+        before, steps = steps, written(joined.select("conv", "at", F.col("_to").alias("to"), (F.col("w") + F.coalesce("_w", F.lit(0))).alias("w"), F.coalesce("root", "_root").alias("root")), "tour")
+        discard(before)
+    return steps.filter("not at.leaves").select("conv", "at.turn", "root", F.col("w").alias("behind"))
+
+
+def turn_places(turns: DataFrame) -> DataFrame:
+    """conv, turn, first: the number of each turn's first row in reply order; ``turns``: (conv, turn, w, up)."""
+    places = tree_places(turns) if not turns.filter("up is not null").isEmpty() else None
+    roots = turns.filter("up is null").select("conv", "turn", F.col("w").alias("size"))
+    if places is not None:
+        sizes = places.filter("turn = root").select("conv", "turn", F.col("behind").alias("_size"))
+        roots = roots.join(sizes, ["conv", "turn"], "left").select("conv", "turn", F.coalesce("_size", "size").alias("size"))
+    roots = roots.withColumn("cell", F.floor(F.col("turn") / CELL))
+    past = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    cells = roots.groupBy("conv", "cell").agg(F.sum("size").alias("n"))
+    cells = cells.select("conv", "cell", F.coalesce(F.sum("n").over(past(Window.partitionBy("conv").orderBy("cell"))), F.lit(0)).alias("offset"))
+    inside = F.coalesce(F.sum("size").over(past(Window.partitionBy("conv", "cell").orderBy("turn"))), F.lit(0))
+    roots = roots.withColumn("inside", inside).join(cells, ["conv", "cell"]).select("conv", "turn", (F.col("offset") + F.col("inside")).alias("first"), "size")
+    if places is None:
+        return roots.select("conv", "turn", "first")
+    # the root's place reaches the turns of its tree in cells of their own
+    apart = places.filter("turn <> root").withColumn("cell", F.floor(F.col("turn") / CELL))
+    above = apart.select("conv", "root", "cell").distinct().join(roots.withColumnRenamed("turn", "root"), ["conv", "root"])
+    below = apart.join(above, ["conv", "root", "cell"]).select("conv", "turn", (F.col("first") + F.col("size") - F.col("behind")).alias("first"))
+    return roots.select("conv", "turn", "first").unionByName(below)
+
+
 def link_quotations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_id, turn, role, n_quotes, n_linked, quote_depth, reply_to, position, clean_text; one row per input row.
 
@@ -107,7 +161,7 @@ def link_quotations(messages: DataFrame, conv_col: str = "conv_id", turn_col: st
     own = parts.filter("level = 0").groupBy("m").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "passage"))), lambda x: x["passage"]), "\n").alias("clean"))
     clean = base.join(own, "m", "left").withColumn("clean", F.when(F.col("text").rlike(f"(?m){MARKS}"), F.trim(F.coalesce("clean", F.lit("")))).otherwise(F.col("text")))
     # what each message says itself, in conversations where anybody quotes
-    spoken = clean.join(quoted.select("conv").distinct(), "conv", "left_semi")
+    spoken = spread_join(clean, "conv", quoted.select("conv").distinct(), F.col("m"))
     said = written(said_runs(spoken, quoted), "said")
     null = [F.lit(None).cast(t).alias(n) for n, t in (("m", "string"), ("at", "int"), ("level", "int"))]
     both = said.select("conv", "hash", "turn", "whole", F.lit(0).alias("kind"), *null).unionByName(
@@ -123,25 +177,12 @@ def link_quotations(messages: DataFrame, conv_col: str = "conv_id", turn_col: st
     )
     rows = clean.join(links, "m", "left").select("conv", "turn", "role", "m", "clean", F.coalesce("n_quotes", F.lit(0)).alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), F.coalesce("quote_depth", F.lit(0)).alias("quote_depth"), F.col("parent.to").alias("reply_to"))
     rows = written(rows, "messages")
-    # order keys: the turns from the root down; a turn replies as its first replying message does
-    replies = rows.filter("reply_to is not null").groupBy("conv", "turn").agg(F.min("reply_to").alias("up"))
-    replies = written(replies.withColumn("path", F.array("turn")), "replies")
-    while True:
-        above = replies.select("conv", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("path").alias("before"))
-        joined = replies.join(above, ["conv", "up"], "left")
-        if joined.filter("up2 is not null").isEmpty():
-            break
-        step = joined.select("conv", "turn", F.coalesce("up2", "up").alias("up"), F.when(F.col("before").isNull(), F.col("path")).otherwise(F.concat("before", "path")).alias("path"))
-        replies = written(step, "replies")
-    paths = replies.select("conv", "turn", F.concat(F.array("up"), "path").alias("path"))
-    ordered = rows.join(paths, ["conv", "turn"], "left").withColumn("path", F.coalesce("path", F.array("turn")))
-    ordered = ordered.withColumn("cell", F.floor(F.element_at("path", 1) / CELL))
-    counts = ordered.groupBy("conv", "cell").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("conv").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("conv", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    nth = F.row_number().over(Window.partitionBy("conv", "cell").orderBy("path", "turn", "role", "m"))
-    out = ordered.withColumn("nth", nth).join(offsets, ["conv", "cell"])
+    # a turn replies as its first replying message does
+    turns = rows.groupBy("conv", "turn").agg(F.count("*").alias("w"), F.min("reply_to").alias("up"))
+    places = turn_places(written(turns, "turns"))
+    nth = F.row_number().over(Window.partitionBy("conv", "turn").orderBy("role", "m"))
+    out = rows.withColumn("nth", nth).join(places, ["conv", "turn"])
     return out.select(
         id_out("conv").alias("conv_id"), id_out("turn").alias("turn"), "role", "n_quotes", "n_linked", "quote_depth", id_out("reply_to").alias("reply_to"),
-        (F.col("offset") + F.col("nth") - 1).alias("position"), F.col("clean").alias("clean_text"),
+        (F.col("first") + F.col("nth") - 1).alias("position"), F.col("clean").alias("clean_text"),
     )
