@@ -1,15 +1,22 @@
 """Personal data: base patterns, plus spans that gradient-boosted trees select among wide candidates.
 
 DataFrame functions only.  Base spans are fixed by their patterns and checks.
-For each kind a generator with high recall proposes further, overlapping
-spans.  Boosted trees, fitted here on a bounded sample of documents, score
-each candidate by its format and by what stands before it; the training label
-is whether the base rules took that very span.  What the base checks look at
-alone (the plus sign, the check digit, parts over 255) is no feature, so a
-candidate scores high when it looks like personal data but for that.  The
-threshold of a kind is the least score at which the sample's other half has
-the wanted precision.  Chosen candidates that overlap no base span of their
-kind, nor one chosen further left, are added.
+For each kind a generator with high recall proposes further spans, and within
+each, overlapping ones that leave out leading groups.  Boosted trees score
+them by format and context.  No table marks personal data, so what is learnt
+is made from the base spans: positives are base spans and what becomes of them
+by a slip or a disguise that the base rules don't follow (a wrong digit, no
+plus sign, other separators, "(at)" and "(dot)"), in the context where they
+stand; negatives are dates, prices, ranges, chapters and numbers of other
+lengths, in contexts from elsewhere in the documents.
+
+The trees of a kind are fitted on ``MAX_DOCS`` documents of one half at most,
+chosen by a hash among those with a base span of the kind, so a rare kind is
+learnt as well as a frequent one.  All documents of the other half calibrate
+them: the share of positives by score, made monotone.  The threshold is the
+least score at which a candidate is right with the wanted probability.  Of the
+candidates that overlap, the best stays; those over the threshold that overlap
+no base span of their kind are added.
 
 Patterns are written for linear scans: a run is entered at its beginning only,
 and repetition of groups, which recurs on the stack, is bounded.
@@ -23,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, id_out, keyed, written
+from .common import col, discard, id_out, keyed, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Stands for a separator between two digits, or a dot between two label characters.
@@ -45,15 +52,17 @@ WIDE = {
 }
 CUE = {"email": r"(?i)mail|contact|write|schreib|courriel|correo", "ip": r"(?i)\bip\b|addr|host|server|login", "card": r"(?i)card|visa|credit|karte|carte|tarjeta|pay", "phone": r"(?i)phone|tel|call|mobil|fax|contact"}
 SPAN = "array<struct<s:int,e:int,m:string,c:string>>"
-#: Documents to learn from, trees, smallest weight of a leaf, precision that sets thresholds.
-MAX_DOCS, ROUNDS, LEAF, PRECISION = 5_000, 12, 4.0, 0.97
+#: Documents of a kind to learn from, trees, smallest weight of a leaf, probability that sets thresholds.
+MAX_DOCS, ROUNDS, LEAF, PRECISION = 2_000, 12, 4.0, 0.95
+#: Steps of scores in calibration; matches whose places are summed in one go.
+STEPS, BLOCK = 200, 256
 CLIP = 40
 
 
 def spans(text: Column, pattern: str) -> Column:
-    """Start and end (code points), match and what stands before it, of each match. The text between matches gives the places."""
+    """Start and end (code points), match and what stands before it, of each match. The text between matches gives the places, summed block by block."""
     both = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    none = F.array().cast(SPAN)
 
     def add(acc: Column, z: Column) -> Column:
         s = acc["at"] + F.length(z["g"])
@@ -61,7 +70,14 @@ def spans(text: Column, pattern: str) -> Column:
         one = F.struct(s.alias("s"), e.alias("e"), z["m"].alias("m"), F.right(z["g"], F.lit(20)).alias("c"))
         return F.when(z["m"].isNull(), acc).otherwise(F.struct(e.alias("at"), F.concat(acc["out"], F.array(one)).alias("out")))
 
-    return F.aggregate(both, first, add, lambda acc: acc["out"])
+    def block(acc: Column, zs: Column) -> Column:
+        inner = F.aggregate(zs, F.struct(acc["at"].alias("at"), none.alias("out")), add)
+        return F.transform(F.array(inner), lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out")))[0]
+
+    first = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    cut = lambda zs: F.transform(F.sequence(F.lit(0), F.floor((F.size(zs) - 1) / BLOCK).cast("int")), lambda i: F.slice(zs, i * BLOCK + 1, BLOCK))
+    blocks = F.flatten(F.transform(F.array(both), cut))
+    return F.aggregate(blocks, first, block, lambda acc: F.flatten(acc["out"]))
 
 
 def digits(m: Column) -> Column:
@@ -91,7 +107,7 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def wide_spans(text: Column) -> dict[str, Column]:
-    """Of each kind, what the generator proposes."""
+    """Of each kind, what the generator proposes; matches of a kind don't overlap each other."""
     none = F.array().cast(SPAN)
     some = text.rlike("[0-9]")
     at = F.contains(text, F.lit("@")) | text.rlike(r"(?i)[\[({]\x20?at\x20?[\])}]")
@@ -165,18 +181,19 @@ def _best(rows: list, l2: float = 1.0) -> tuple[tuple[int, int] | None, float, f
     return found, low, high
 
 
-def fit_booster(rows: DataFrame, rounds: int = ROUNDS, rate: float = 0.4, precision: float = PRECISION) -> Booster | None:
-    """Boosted trees of depth 2 over (f, y, half): fitted on half 0, threshold from half 1.
+def fit_booster(rows: DataFrame, rounds: int = ROUNDS, rate: float = 0.4) -> Booster | None:
+    """Boosted trees of depth 2 over (f, y), not calibrated: nothing reaches the threshold.
 
     Each round groups gradients by feature and value, which is bounded by
-    FEATURES x CLIP however many rows there are.  None if a half lacks a class.
+    FEATURES x CLIP however many rows there are.  None if a class has fewer
+    than five rows.
     """
-    total = {(r["half"], r["y"]): r["n"] for r in rows.groupBy("half", "y").agg(F.count("*").alias("n")).collect()}
-    if any(total.get((half, y), 0) < 5 for half in (0, 1) for y in (0, 1)):
+    total = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if any(total.get(y, 0) < 5 for y in (0, 1)):
         return None
-    train = rows.filter("half = 0")
-    share = total[0, 1] / (total[0, 0] + total[0, 1])
-    model = Booster(math.log(share / (1 - share)), (), 1.0)
+    train = rows
+    share = total[1] / (total[0] + total[1])
+    model = Booster(math.log(share / (1 - share)), (), 1.01)
 
     def sums(extra: list[Column]) -> list:
         p = model.score(F.col("f"))
@@ -190,42 +207,108 @@ def fit_booster(rows: DataFrame, rounds: int = ROUNDS, rate: float = 0.4, precis
         both = sums([(F.col("f")[top[0]] > top[1]).cast("int").alias("side")])
         sides = [_best([r for r in both if r["side"] == s]) for s in (0, 1)]
         tree = Tree(top, (sides[0][0], sides[1][0]), tuple(rate * v for s in sides for v in s[1:]))
-        model = Booster(model.base, (*model.trees, tree), 1.0)
-    # from the highest score down, as long as precision holds
-    seen = rows.filter("half = 1").groupBy(F.floor(model.score(F.col("f")) * 200).alias("b")).agg(F.sum("y").alias("p"), F.count("*").alias("n")).collect()
-    good = n = 0
-    threshold = 1.01
-    for r in sorted(seen, key=lambda r: -r["b"]):
-        good, n = good + r["p"], n + r["n"]
-        if good >= precision * n:
-            threshold = r["b"] / 200
-    return Booster(model.base, model.trees, threshold)
-
-
-def train_boosters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_DOCS) -> dict[str, Booster | None]:
-    """A booster for each kind from the candidates of ``max_docs`` documents at most, chosen by a hash of the id among those that have a digit or an at sign."""
-    texts = keyed(docs, id_col, text_col).filter(F.col("text").rlike("[0-9@]"))
-    chosen = texts.select("rid").distinct().orderBy(F.xxhash64("rid"), "rid").limit(max_docs)
-    sample = written(texts.join(F.broadcast(chosen), "rid"), "pii")
-    base, wide = base_spans(F.col("text")), wide_spans(F.col("text"))
-    rows = sample.select((F.pmod(F.xxhash64("rid", F.lit(1)), F.lit(2))).cast("int").alias("half"), *[b.alias(f"b_{k}") for k, b in base.items()], *[w.alias(f"w_{k}") for k, w in wide.items()])
+        model = Booster(model.base, (*model.trees, tree), 1.01)
+    return model
 
-    def labelled(kind: str) -> Column:
-        taken = lambda x: F.exists(F.col(f"b_{kind}"), lambda b: (b["s"] == x["s"]) & (b["e"] == x["e"]))
-        return F.transform(F.col(f"w_{kind}"), lambda x: F.struct(F.lit(kind).alias("kind"), features(kind, x).alias("f"), taken(x).cast("int").alias("y")))
 
-    each = F.flatten(F.array(*[labelled(k) for k in KINDS]))
-    table = written(rows.select("half", F.explode(each).alias("x")).select("half", "x.*"), "candidates")
-    return {k: fit_booster(table.filter(F.col("kind") == k).select("f", "y", "half")) for k in KINDS}
+def calibrated(counts: list[tuple[int, int, int]], precision: float) -> float:
+    """The least score from which a candidate is right with probability ``precision``, of (step, positives, rows).
+
+    Neighbouring steps whose shares fall as the score rises are pooled, so
+    that the shares are monotone.  1.01 if no step is good enough.
+    """
+    pools: list[list[float]] = []
+    for step, good, n in sorted(counts):
+        pools.append([step, good, n])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
+            _, g, m = pools.pop()
+            pools[-1][1] += g
+            pools[-1][2] += m
+    return next((step / STEPS for step, good, n in pools if good >= precision * n), 1.01)
+
+
+def disguised(kind: str, x: Column) -> Column:
+    """Array of matches: a base span, and what becomes of it by a slip or a disguise."""
+    m = x["m"]
+    local, domain = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
+    tail = F.substring(m, F.length(m), F.lit(1)).cast("int")
+    made = {
+        "email": [F.concat(local, F.lit(" (at) "), F.regexp_replace(domain, r"\.", " (dot) ")), F.concat(local, F.lit("[at]"), F.regexp_replace(domain, r"\.", "[dot]"))],
+        "ip": [F.regexp_replace(m, r"\.", ","), F.concat(m, F.lit("5"))],
+        "card": [F.concat(F.substring(m, F.lit(1), F.length(m) - 1), ((tail + 1) % 10).cast("string")), F.regexp_replace(digits(m), r"(\d{4})(?=\d)", "$1.")],
+        "phone": [F.substring(m, F.lit(2), F.length(m)), F.concat(F.lit("00"), F.substring(m, F.lit(2), F.length(m))), F.regexp_replace(m, r"^\+\d{1,2}[\x20-]", "")],
+    }[kind]
+    return F.array(m, *made)
+
+
+def decoys(kind: str, key: Column) -> Column:
+    """Array of what a generator would propose though it is none, with digits from a hash of ``key``."""
+    n = lambda i, k: F.lpad(F.pmod(F.xxhash64(key, F.lit(i)), F.lit(10**k)).cast("string"), k, "0")
+    two = lambda i, top: F.lpad((F.pmod(F.xxhash64(key, F.lit(i)), F.lit(top)) + 1).cast("string"), 2, "0")
+    year = lambda i: (F.pmod(F.xxhash64(key, F.lit(i)), F.lit(60)) + 1970).cast("string")
+    put = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    return F.array(*{
+        "email": [put("meet (at) noon.", n(1, 2)), put("look [at] page ", n(2, 1), ".", n(3, 2)), put("x", n(4, 3), " (at) end.of.day"), put("sold {at} 3.", n(5, 2))],
+        "ip": [put(n(1, 1), ",", n(2, 3), ",", n(3, 3), ",", n(4, 3)), put(n(5, 1), ",", n(6, 1), ",", n(7, 1), ",", n(8, 1)), put(two(9, 28), ".", two(10, 12), ".", year(11), ",", two(12, 23)), put(year(13), ".", year(14), ".", year(15), ".", year(16))],
+        "card": [n(1, 12), put(year(2), two(3, 12), two(4, 28), two(5, 23), two(6, 59), two(7, 59)), put("978-", n(8, 1), "-", n(9, 3), "-", n(10, 5), "-", n(11, 1)), n(12, 18), put(year(13), "-", two(14, 12), "-", two(15, 28), " ", n(16, 6)), put(n(17, 3), ".", n(18, 3), ".", n(19, 3), ".", n(20, 3))],
+        "phone": [put(year(1), "-", two(2, 12), "-", two(3, 28), " ", two(4, 23)), put(two(5, 28), ".", two(6, 12), ".", year(7), " ", two(8, 23)), put(year(9), "-", year(10), " ", year(11)), put(n(12, 3), ".", n(13, 3), ".", n(14, 3), ".", n(15, 3)), put(n(16, 4), " ", n(17, 4), " ", n(18, 4)), put(n(19, 4), "-", two(20, 12), "-", two(21, 28))],
+    }[kind])
+
+
+def lessons(docs: DataFrame, kind: str) -> DataFrame:
+    """f, y: features and labels made from the base spans of ``docs`` (rid, text)."""
+    rows = docs.select("rid", "text", base_spans(F.col("text"))[kind].alias("base")).filter(F.size("base") > 0)
+    cell = lambda m, c: F.struct(m.alias("m"), c.alias("c"))
+    good = F.flatten(F.transform("base", lambda x: F.transform(disguised(kind, x), lambda m: cell(m, x["c"]))))
+    # a span's place in the list keys its decoys; their context is taken from a place of the text that a hash chooses
+    place = lambda i: F.pmod(F.xxhash64("rid", i, F.lit(7)), F.greatest(F.length("text"), F.lit(1))).cast("int")
+    bad = F.flatten(F.transform("base", lambda x, i: F.transform(decoys(kind, F.xxhash64("rid", i)), lambda m, j: cell(m, F.substring("text", place(i * 8 + j) + 1, F.lit(20))))))
+    both = F.concat(F.transform(good, lambda x: F.struct(x.alias("x"), F.lit(1).alias("y"))), F.transform(bad, lambda x: F.struct(x.alias("x"), F.lit(0).alias("y"))))
+    return rows.select(F.explode(both).alias("r")).select(features(kind, F.col("r.x")).alias("f"), F.col("r.y").alias("y"))
+
+
+def train_boosters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_DOCS, precision: float = PRECISION) -> dict[str, Booster | None]:
+    """A booster for each kind, fitted on ``max_docs`` documents of one half at most and calibrated on all of the other half.
+
+    A kind without base spans to learn from, or too few, has none.
+    """
+    half = F.pmod(F.xxhash64("rid", F.lit(1)), F.lit(2)).cast("int")
+    texts = keyed(docs, id_col, text_col).filter(F.col("text").rlike("[0-9@]"))
+    flags = [(F.size(b) > 0).alias(k) for k, b in base_spans(F.col("text")).items()]
+    some = written(texts.select("rid", "text", half.alias("half"), *flags).filter(" or ".join(KINDS)), "pii")
+    found: dict[str, Booster | None] = {}
+    for k in KINDS:
+        chosen = some.filter(F.col(k) & (F.col("half") == 0)).select("rid", "text").orderBy(F.xxhash64("rid"), "rid", F.xxhash64("text")).limit(max_docs)
+        table = written(lessons(chosen, k), "lessons")
+        model = fit_booster(table)
+        discard(table)
+        if model is not None:
+            step = F.floor(model.score(F.col("f")) * STEPS)
+            seen = lessons(some.filter(F.col(k) & (F.col("half") == 1)), k).groupBy(step.alias("b")).agg(F.sum("y").alias("p"), F.count("*").alias("n")).collect()
+            model = Booster(model.base, model.trees, calibrated([(r["b"], r["p"], r["n"]) for r in seen], precision))
+        found[k] = model
+    discard(some)
+    return found
+
+
+def within(kind: str, x: Column) -> Column:
+    """A candidate, and those that overlap it without its first one, two or three groups."""
+    if kind == "email":
+        return F.array(x)
+    lead = lambda i: F.regexp_extract(x["m"], r"^(?:\+?\(?[0-9]+\)?[\x20.,()-]+){%d}" % i, 0)
+    cut = lambda p: F.struct((x["s"] + F.length(p)).alias("s"), x["e"].alias("e"), F.substring(x["m"], F.length(p) + 1, F.length(x["m"])).alias("m"), F.right(F.concat(x["c"], p), F.lit(20)).alias("c"))
+    least = {"ip": 4, "card": 12, "phone": 7}[kind]
+    return F.concat(F.array(x), F.transform(F.filter(F.array(*[lead(i) for i in (1, 2, 3)]), lambda p: (p != "") & (F.length(digits(x["m"])) - F.length(digits(p)) >= least)), cut))
 
 
 def _added(kind: str, base: Column, wide: Column, booster: Booster | None) -> Column:
-    """Candidates over the threshold that overlap no base span, nor one taken before."""
+    """The best candidate of each match, if it is over the threshold; none that overlaps a base span."""
     if booster is None or not booster.trees:
         return F.array().cast(SPAN)
-    free = F.filter(wide, lambda x: ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    # generators never overlap themselves, so neither do the chosen
-    return F.filter(free, lambda x: booster.score(features(kind, x)) >= booster.threshold)
+    free = lambda x: ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+    scored = lambda x: F.transform(F.filter(within(kind, x), free), lambda y: F.struct(booster.score(features(kind, y)).alias("p"), (-y["s"]).alias("o"), y.alias("x")))
+    best = F.transform(wide, lambda x: F.array_max(scored(x)))
+    return F.transform(F.filter(best, lambda r: r["p"] >= booster.threshold), lambda r: r["x"])
 
 
 def _joined(spans_of: dict[str, Column]) -> Column:
@@ -236,6 +319,12 @@ def _joined(spans_of: dict[str, Column]) -> Column:
     return F.array_join(F.concat(*[listed(k, c) for k, c in spans_of.items()]), ",")
 
 
+def _found(rows: DataFrame, boosters: dict[str, Booster | None]) -> DataFrame:
+    """rid, text, b_KIND and a_KIND: base and added spans of ``rows`` (rid, text)."""
+    spanned = rows.select("rid", "text", *[c.alias(f"b_{k}") for k, c in base_spans(F.col("text")).items()], *[c.alias(f"w_{k}") for k, c in wide_spans(F.col("text")).items()])
+    return spanned.select("rid", "text", *[f"b_{k}" for k in KINDS], *[_added(k, F.col(f"b_{k}"), F.col(f"w_{k}"), boosters.get(k)).alias(f"a_{k}") for k in KINDS])
+
+
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", boosters: dict[str, Booster | None] | None = None) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans; one row per input row.
 
@@ -244,10 +333,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bo
     null.  An empty table gives an empty result and trains nothing.
     """
     boosters = train_boosters(docs, id_col, text_col) if boosters is None else boosters
-    rows = keyed(docs, id_col, text_col)
-    found = rows.select("rid", *[c.alias(f"b_{k}") for k, c in base_spans(F.col("text")).items()], *[c.alias(f"w_{k}") for k, c in wide_spans(F.col("text")).items()])
+    found = _found(keyed(docs, id_col, text_col), boosters)
     base = {k: F.col(f"b_{k}") for k in KINDS}
-    found = found.select("rid", *[f"b_{k}" for k in KINDS], *[_added(k, base[k], F.col(f"w_{k}"), boosters.get(k)).alias(f"a_{k}") for k in KINDS])
     every = {k: F.concat(F.col(f"b_{k}"), F.col(f"a_{k}")) for k in KINDS}
     return found.select(
         id_out().alias("doc_id"), *[F.size(base[k]).cast("long").alias(f"n_{k}") for k in KINDS],
@@ -255,15 +342,22 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bo
     )
 
 
-def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text with each span of ``found`` (doc_id, spans) replaced by its kind in brackets; spans that overlap go as one, under the first's kind."""
-    where = F.transform(F.filter(F.split("spans", ","), lambda x: x != ""), lambda x: F.struct(F.split(x, ":")[1].cast("int").alias("s"), F.split(x, ":")[2].cast("int").alias("e"), F.split(x, ":")[0].alias("k")))
-    rows = keyed(docs, id_col, text_col).join(found.select(F.coalesce(col(found, "doc_id"), F.lit(-(2**63))).alias("rid"), F.array_sort(where).alias("at")).dropDuplicates(["rid"]), "rid", "left")
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def redact(docs: DataFrame, boosters: dict[str, Booster | None] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text with each span replaced by its kind in brackets; spans that overlap go as one, under the first's kind.
+
+    Spans are found in the very text that they are cut from, so rows that
+    share an id can't be cut at each other's places.  A null text is empty.
+    """
+    boosters = train_boosters(docs, id_col, text_col) if boosters is None else boosters
+    found = _found(keyed(docs, id_col, text_col), boosters)
+    placed = lambda k: lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(k).alias("k"))
+    every = F.concat(*[F.transform(F.col(f"{c}_{k}"), placed(k)) for k in KINDS for c in "ba"])
+    # the furthest end so far tells what is left of a gap; pieces are joined at the end
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def put(acc: Column, x: Column) -> Column:
-        tail = F.concat(acc["out"], F.substring("text", acc["at"] + 1, x["s"] - acc["at"]), F.lit("["), x["k"], F.lit("]"))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] < acc["at"], acc["out"]).otherwise(tail).alias("out"))
+        piece = F.concat(F.substring("text", acc["at"] + 1, x["s"] - acc["at"]), F.lit("["), x["k"], F.lit("]"))
+        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.array(piece))).alias("out"))
 
-    done = F.aggregate(F.coalesce("at", F.array()), first, put, lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text"))))
-    return rows.select(id_out().alias("doc_id"), done.alias("text"))
+    done = F.aggregate(F.array_sort(every), first, put, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring("text", acc["at"] + 1, F.length("text"))))
+    return found.select(id_out().alias("doc_id"), done.alias("text"))
