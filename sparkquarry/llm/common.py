@@ -9,7 +9,6 @@ extra input columns can't clash with the operators' own names.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -40,10 +39,15 @@ def id_out(rid: Column | str = "rid") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees; set here only where the session names none (as in tests)."""
+    """The folder every executor sees, as ``spark.checkpoint.dir`` names it.
+
+    Only a session in local mode, whose tasks share the driver's disk, may leave it unset.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="sparkquarry-")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_steps"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -53,7 +57,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._step_path = path
+    return found
+
+
+def discard(*steps: DataFrame) -> None:
+    """Deletes tables made by :func:`written` that nothing will read again."""
+    for df in steps:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._step_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def group_totals(
@@ -82,6 +95,12 @@ def group_totals(
     return df.join(totals, [*keys, "_salt"]).drop("_salt")
 
 
+def spread_join(df: DataFrame, key: str, table: DataFrame, spread: Column, salts: int = SALTS) -> DataFrame:
+    """``df`` with the columns of ``table``, which has one row for each ``key``: the rows of a hot key are dealt to ``salts`` tasks. Inner join."""
+    df = df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    return df.join(df.select(key, "_salt").distinct().join(table, key), [key, "_salt"]).drop("_salt")
+
+
 def keep_rows(df: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text", once: bool = False) -> DataFrame:
     """The rows of ``df``, all columns, whose id and text are among ``kept`` (rid, h); of repeated rows one, if ``once``."""
     key = {"_rid": F.coalesce(col(df, id_col).cast("long"), F.lit(NULL_ID)), "_h": F.xxhash64(F.coalesce(col(df, text_col).cast("string"), F.lit("")))}
@@ -92,35 +111,32 @@ def keep_rows(df: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components: (node, root) with the smallest node reachable, for nodes of ``edges`` (u, v).
+    """Connected components, a written table: (node, root) with the smallest node reachable, for nodes of ``edges`` (u, v).
 
     Alternates large-star and small-star steps, each two grouped minima with
-    salted joins, until the edge set stops changing; every step is a written
+    salted joins, until no root points further; every step is a written
     table.  Rounds grow with the logarithm of the longest path.
     """
 
     def star(pairs: DataFrame) -> DataFrame:
         return group_totals(pairs, ["u"], {"_m": F.min("v")}, {"m": F.min("_m")}, F.col("v"))
 
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
-
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
     e = written(e, "edges")
-    seen = mark(e)
     for _ in range(max_rounds):
-        if not seen[0]:
+        # done when every edge leads to a root: no v is a u, and no u has two roots
+        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("k")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("k")))
+        if ends.groupBy("x").agg(F.min("k").alias("lo"), F.sum("k").alias("n")).filter("n > 1 or (lo = 0 and n > 0)").isEmpty():
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = star(both).select("u", "v", F.least("u", "m").alias("m")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
+        before, large = e, large.filter("u <> v").distinct()
         small = star(large).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x"))
         e = written(small.select("x.u", "x.v").filter("u <> v").distinct(), "edges")
-        now = mark(e)
-        if now == seen:
-            break
-        seen = now
+        discard(before)
     else:
         raise RuntimeError("components did not settle")
     found = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return found.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    found = written(found.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "components")
+    discard(e)
+    return found
