@@ -11,11 +11,12 @@ sort more than the strings that can repeat:
    run: about 1 % of the positions carry the counts.
 2. Shards.  For anchors that occur again, the run's text (its starts and
    ``size`` bytes after the last) goes to the shard of the anchor's hash, equal
-   texts of a batch once.  A hot anchor is dealt over several shards.
+   texts of a batch once.  A hot anchor is dealt over several shards by text
+   and place, so that copies of one text don't meet in one task either.
 3. Each shard builds a suffix array by Larsson-Sadakane refinement (ranks by 8
-   bytes, then doubling, unsorted groups only) and common prefixes by Kasai's
-   recurrence, run in lockstep over its texts.  Neighbours that share ``size``
-   bytes are repeats.
+   bytes, then doubling, unsorted groups only, until ``size`` bytes are told
+   apart) and common prefixes by Kasai's recurrence over the starts, run in
+   lockstep over its texts.  Neighbours that share ``size`` bytes are repeats.
 4. Shards of one hot anchor hand on the digest of each distinct string; sorted
    by digest, a string's partners in other shards are found by binary search.
 5. Covered runs return to their documents, which are cut.
@@ -40,6 +41,8 @@ from .minhash import buffers
 SIZE, K = 400, 128
 #: Bytes that are hashed at a time, bytes of a shard, texts of an anchor in one shard.
 PIECE, SHARD, LIMIT = 1_000_000, 2_500_000, 4096
+#: Bits that number the bytes of a piece: up to PIECE and its last text's rest.
+PLACE = 22
 #: Bytes of run texts that a batch's dictionary holds before it is handed on.
 HELD = 16_000_000
 _R1, _R2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -85,7 +88,8 @@ def anchors(data: np.ndarray, ends: np.ndarray, grams: Grams, size: int, k: int)
     if n < size:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     g = grams(data, k)
-    mask = np.uint64((1 << n.bit_length()) - 1)
+    # the lowest bits make room for places, of any batch alike, so equal strings tie alike
+    mask = np.uint64((1 << PLACE) - 1)
     least = _sliding_min((g & ~mask) | np.arange(len(g), dtype=np.uint64), size - k + 1)
     end_of = np.repeat(ends, np.diff(ends, prepend=0))
     starts = np.flatnonzero(np.arange(len(least)) + size <= end_of[: len(least)])
@@ -188,11 +192,12 @@ def _run_rows(size: int, k: int):
     return run
 
 
-def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def suffix_array(data: np.ndarray, depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The sorted suffixes, and the 8 bytes at each position as a number.
 
     Larsson-Sadakane: groups of equal 8 bytes are split by the rank 8, 16, 32
-    and so on bytes further, until every suffix stands alone.
+    and so on bytes further, until every suffix stands alone, or ``depth``
+    bytes are compared; suffixes that agree in those stand in any order.
     """
     n = len(data)
     padded = np.zeros(n + 8, np.uint64)
@@ -207,7 +212,7 @@ def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     rank = np.empty(n, np.int64)
     rank[sa] = head + 1
     h = 8
-    while True:
+    while depth is None or h < depth:
         alone = new & np.append(new[1:], True)
         group = np.flatnonzero(~alone)
         if not len(group):
@@ -228,28 +233,32 @@ def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sa, word
 
 
-def common_prefixes(data: np.ndarray, begins: np.ndarray, lengths: np.ndarray, sa: np.ndarray, word: np.ndarray, most: int) -> np.ndarray:
-    """Kasai's recurrence: bytes, ``most`` at most, that each suffix shares with the one sorted before it.
+def common_prefixes(n: int, begins: np.ndarray, lengths: np.ndarray, sa: np.ndarray, word: np.ndarray, most: int) -> np.ndarray:
+    """Kasai's recurrence: bytes, ``most`` at most, that each position of ``sa`` shares with the one sorted before it.
 
-    From one position to the next the common prefix shrinks by one at most.
-    The texts go forward together, one position each step.
+    ``sa`` holds the first ``lengths`` positions of each text.  From one
+    position to the next the common prefix shrinks by one at most, if the
+    other position's next one is in ``sa`` too and still sorts before; else it
+    is counted anew.  The texts go forward together, one position each step.
     """
-    n = len(data)
-    place = np.empty(n, np.int64)
-    place[sa] = np.arange(n)
-    before = np.where(place > 0, sa[place - 1], -1)
+    place = np.full(n + 1, len(sa), np.int64)
+    place[sa] = np.arange(len(sa))
+    before = np.full(n, -1, np.int64)
+    before[sa[1:]] = sa[:-1]
     out = np.zeros(n, np.int32)
     longest = np.argsort(-lengths, kind="stable")
     begins, lengths = begins[longest], lengths[longest]
     live = np.searchsorted(-lengths, -np.arange(int(lengths[0]) if len(lengths) else 0), side="left")
     shared = np.zeros(len(begins), np.int64)
+    other = np.full(len(begins), -1, np.int64)
     for s in range(len(live)):
         m = live[s]
         i = begins[:m] + s
         j = before[i]
-        l = np.maximum(shared[:m] - 1, 0)
-        todo = np.flatnonzero(j >= 0)
+        # position -1 + 1 has a place behind none, but then nothing was shared
+        l = np.where(place[other[:m] + 1] < place[i], np.maximum(shared[:m] - 1, 0), 0)
         l[j < 0] = 0
+        todo = np.flatnonzero((j >= 0) & (l < most))
         while len(todo):
             a, b = i[todo] + l[todo], j[todo] + l[todo]
             ok = (a < n) & (b < n)
@@ -264,6 +273,7 @@ def common_prefixes(data: np.ndarray, begins: np.ndarray, lengths: np.ndarray, s
         # zeros behind the last byte are no bytes
         l = np.minimum(np.minimum(l, n - i), np.where(j >= 0, n - j, 0))
         shared[:m] = np.minimum(l, most)
+        other[:m] = j
         out[i] = shared[:m]
     return out
 
@@ -273,18 +283,18 @@ def repeated(wins: list[bytes], starts: np.ndarray, weights: np.ndarray, size: i
     lengths = np.array([len(w) for w in wins])
     data = np.frombuffer(b"".join(wins), np.uint8)
     begins = np.cumsum(lengths) - lengths
-    sa, word = suffix_array(data)
-    lcp = common_prefixes(data, begins, lengths, sa, word, size)[sa]
-    block = np.cumsum(lcp < size) - 1
+    sa, word = suffix_array(data, size)
     step = np.arange(len(data)) - np.repeat(begins, lengths)
     weight = np.where(step < np.repeat(starts, lengths), np.repeat(weights, lengths), 0)
+    sa = sa[weight[sa] > 0]
+    lcp = common_prefixes(len(data), begins, starts, sa, word, size)[sa]
+    block = np.cumsum(lcp < size) - 1
     total = np.bincount(block, weights=weight[sa])
-    valid = weight[sa] > 0
     again, only = np.zeros(len(data), bool), np.zeros(len(data), bool)
-    again[sa] = valid & (total[block] >= 2)
-    only[sa] = valid & (total[block] < 2)
-    of = block[again[sa]]
-    one = sa[np.flatnonzero(again[sa])[np.unique(of, return_index=True)[1]]] if len(of) else of
+    many = total[block] >= 2
+    again[sa[many]] = True
+    only[sa[~many]] = True
+    one = sa[many][np.unique(block[many], return_index=True)[1]]
     return again, only, one, begins
 
 
@@ -413,7 +423,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = K, id_col: str
     known = again.groupBy("rid", "h").agg(F.collect_set(F.struct("anchor", "n")).alias("known"))
     runs = texts.hint("shuffle_hash").join(known.hint("shuffle_hash"), ["rid", "h"]).mapInArrow(_run_rows(size, gram), _RUN)
     subs = F.ceil(F.col("n") / LIMIT).cast("int")
-    dealt = runs.withColumn("subs", subs).withColumn("sub", F.pmod(F.xxhash64("win"), F.col("subs")).cast("int"))
+    dealt = runs.withColumn("subs", subs).withColumn("sub", F.pmod(F.xxhash64("win", F.get("occ", F.lit(0))["rid"]), F.col("subs")).cast("int"))
     shards = dealt.repartition("anchor", "sub").sortWithinPartitions("anchor", "sub", "win")
     out = written(shards.mapInArrow(_shard(size), "rid long, h long, first long, last long, d1 long, d2 long"), "shards")
     within = out.filter("d1 is null").select("rid", "h", "first", "last")
