@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .decontaminate import decontaminate
+from .decontaminate import decontaminate, proximity_matches
 from .exact_dedup import exact_dedup
 from .language import page_languages, train_language
 from .minhash import near_duplicates
@@ -66,8 +66,13 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
 
 
+def benchmark_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the words of a benchmark window stand in order with at most two others between them; exact occurrences are among these."""
+    return proximity_matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), slop=2, window=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_jump_shards, op4_quotation_links, op5_pii_boosting, op6_language, op7_minmax_neardup, op8_block_naming, op9_piece_dropout, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_jump_shards, op4_quotation_links, op5_pii_boosting, op6_language, op7_minmax_neardup, op8_block_naming, op9_piece_dropout, op10_decontaminate, benchmark_proximity)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

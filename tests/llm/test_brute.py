@@ -127,6 +127,31 @@ def test_shards(spark):
     assert sharding.jump(np.array(keys), 1000).tolist() == [plain(k, 1000) for k in keys]
 
 
+def test_shards_of_a_whole_table(spark):
+    """Sizes, checksums, shards and slots of every document, by a plain jump hash."""
+    import zlib
+
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+
+    def plain(key, n):
+        b, j = -1, 0
+        key %= 2**64
+        while j < n:
+            b = j
+            key = (key * 2862933555777941757 + 1) % 2**64
+            j = int((b + 1) * (2147483648.0 / ((key >> 33) + 1)))
+        return b
+
+    slots = defaultdict(list)
+    for r in sharding.shard_rows(docs, 8).collect():
+        raw = texts[r["doc_id"]]
+        assert (r["size"], r["text_crc32"], r["law"]) == (len(raw) + 1, zlib.crc32(raw), "key")
+        assert (r["shard"], r["grown_shard"]) == (plain(r["doc_id"], 8), plain(r["doc_id"], 9))
+        slots[r["shard"]].append(r["slot"])
+    assert sum(map(len, slots.values())) == len(texts) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_personal_data(spark):
     texts = ["a@b.cd_e@f.g x@y.z.w@q.r", "1.2.3.4.5.6.7.8 999.1.1.1", "4111 1111 1111 1111, 4111-1111-1111-1111, 4111  1111", "+1 (499) 555-6503 +12 3", "1" * 20000, "a@" + "b." * 4000 + "c", "1 2 " * 9000, "call (499) 555-6503"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -238,8 +263,34 @@ def test_phrases(spark, tmp_path):
     items = spark.createDataFrame([(7, "one two three four five six seven eight nine ten eleven twelve"), (10, "short item"), (9, "the " * 12)], "item_id long, text string")
     got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) for r in decontaminate.decontaminate(stored(spark, tmp_path, rows), items).collect()}
     assert got == {1: (11, 11, 1, True), 2: (12, 10, 1, True), 3: (4, 4, 1, True), 4: (9, 0, 0, False), 5: (50, 50, 1, True)}
-    near = decontaminate.proximity_matches(stored(spark, tmp_path, [(1, "short brown item"), (2, "short a b c d e item")]), items.filter("item_id = 10"), slop=2)
-    assert {r["doc_id"] for r in near.collect()} == {1}
+
+
+@pytest.mark.parametrize("slop", [0, 2])
+def test_proximity(spark, tmp_path, slop):
+    """All words of a window in order with few others between, by trying every start and every choice."""
+    r = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(12)]
+    items = [(i, " ".join(r.choice(vocabulary) for _ in range(r.choice([1, 2, 3, 5])))) for i in range(12)] + [(50, None), (51, "")]
+    rows = [(i, " ".join(r.choice([*vocabulary, "x", "Y"]) for _ in range(r.randrange(40)))) for i in range(60)] + [(90, None), (91, ""), (92, items[0][1] * 2)]
+    want = set()
+    for d, text in rows:
+        w = (text or "").lower().split()
+        for _, item in items:
+            terms = (item or "").split()
+            for cut in [terms[i : i + 3] for i in range(max(1, len(terms) - 2))] if terms else []:
+                for s in range(len(w)):
+                    at = s
+                    ok = w[s] == cut[0]
+                    for t in cut[1:] if ok else []:
+                        at = next((j for j in range(at + 1, min(len(w), s + len(cut) + slop)) if w[j] == t), None)
+                        if at is None:
+                            ok = False
+                            break
+                    if ok:
+                        want.add((d, s, " ".join(cut)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {tuple(x) for x in decontaminate.proximity_matches(stored(spark, tmp_path, rows), bench, slop=slop, window=3).collect()}
+    assert got == want and want
 
 
 def test_codec():
@@ -285,12 +336,73 @@ def test_dropout_of_each_occurrence(spark):
     assert step == [e._finished(e.by_heap(e.table[[ord(c) for c in words[w]]].tolist(), int(piece_codec._folded(5, k))), words[w]) for w, k in zip(which, keys)]
 
 
+def test_dropout_of_a_whole_table(spark):
+    """Ids of every document with dropout, each word's best candidate sought anew after every merge."""
+    v = piece_codec.Vocabulary.load(MODEL)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    got = {r["doc_id"]: r for r in piece_codec.encode_documents(docs, MODEL, dropout=0.1, seed=1).collect()}
+    e = piece_codec.Encoder(v, 0.1, 1)
+
+    def plain(word, key):
+        s = [(int(e.table[ord(c)]), i, i) for i, c in enumerate(word)]  # piece, first and last letter
+        skipped = set()
+        while True:
+            best = None
+            for i in range(len(s) - 1):
+                rank, made = e._pair(s[i][0], s[i + 1][0])
+                if rank < np.iinfo(np.int64).max and (s[i][1], s[i + 1][2]) not in skipped and (best is None or rank < best[0]):
+                    best = (rank, i, made)
+            if best is None:
+                return e._finished([x[0] for x in s], word)
+            _, i, made = best
+            place = (s[i][1], s[i + 1][2])
+            if e._skipped(np.uint64(key), np.uint64(place[0] << 32 | place[1])):
+                skipped.add(place)
+            else:
+                s[i : i + 2] = [(made, *place)]
+
+    checked = 0
+    with np.errstate(over="ignore"):
+        for r in docs.select("doc_id", "text", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).alias("key")).collect():
+            if not r["text"] or len(r["text"]) > 6000:
+                continue
+            words = piece_codec.cut(r["text"])
+            each = piece_codec._folded(np.full(len(words), r["key"], np.int64), 0, np.arange(len(words)))
+            keys = piece_codec._folded(1, each)
+            assert got[r["doc_id"]]["ids"] == [p for w, k in zip(words, keys) for p in plain(w, int(k))], r["doc_id"]
+            checked += 1
+    assert checked > 150 and all(r["lossless"] for r in got.values())
+
+
+def test_toxicity_beside_plain_sums(spark):
+    """Scores of every document recounted with Python dictionaries from the model's weights."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    m = toxicity.train_toxicity(docs, labels)
+    weight = dict(zip(m.buckets.tolist(), m.weights.tolist()))
+
+    def plain(text):
+        raw = bytes(32 if 9 <= b < 14 else b + 32 if 65 <= b < 91 else b for b in text.encode())
+        seen = set()
+        for n in m.orders:
+            for i in range(len(raw) - n + 1):
+                code = 0
+                for b in raw[i : i + n]:
+                    code = (code * 257 + b + 1) % 2**64
+                seen.add((((code ^ n) * 0x9E3779B97F4A7C15) % 2**64) >> (64 - m.bits))
+        return 1 / (1 + np.exp(-(m.bias + sum(weight.get(b, 0.0) for b in seen))))
+
+    got = {r["doc_id"]: r for r in toxicity.toxicity(docs, labels, model=m).collect()}
+    for r in docs.select("doc_id", "text").collect():
+        if len(r["text"] or "") < 4000:
+            assert abs(got[r["doc_id"]]["score"] - plain(r["text"] or "")) < 1e-6 and got[r["doc_id"]]["predicted"] == int(got[r["doc_id"]]["score"] >= 0.7)
+
+
 def test_learnt(spark):
     docs, labels = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet"), spark.read.parquet(f"{SF.replace('0.001', '0.01')}/labels.parquet")
     t = toxicity.toxicity(docs, labels).join(labels, "doc_id").filter("held_out").select("toxic", "predicted").collect()
     clean = [r["predicted"] for r in t if r["toxic"] == 0]
     bad = [r["predicted"] for r in t if r["toxic"] == 1]
-    assert sum(clean) <= 0.03 * len(clean) and sum(bad) >= 0.4 * len(bad)
+    assert sum(clean) <= 0.03 * len(clean) and sum(bad) >= 0.7 * len(bad)
     fold = F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(3)) == 1
     got = language.document_languages(docs.filter(fold), language.train_language(docs, where=~fold)).join(docs.select(F.col("doc_id").alias("rid"), F.col("lang").alias("told")), "rid").collect()
     assert sum(r["lang"] == r["told"] for r in got) >= 0.97 * len(got) and sum(r["accepted"] for r in got) >= 0.97 * len(got)
