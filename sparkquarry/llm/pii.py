@@ -191,7 +191,8 @@ def fit_booster(rows: DataFrame, rounds: int = ROUNDS, rate: float = 0.4) -> Boo
     total = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if any(total.get(y, 0) < 5 for y in (0, 1)):
         return None
-    train = rows
+    # a bounded sample: in one partition its sums need no shuffle, of which there are two for each tree
+    train = rows.coalesce(1)
     share = total[1] / (total[0] + total[1])
     model = Booster(math.log(share / (1 - share)), (), 1.01)
 
@@ -283,7 +284,7 @@ def train_boosters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         model = fit_booster(table)
         discard(table)
         if model is not None:
-            step = F.floor(model.score(F.col("f")) * STEPS)
+            step = F.floor(F.get(F.transform(F.array("f"), model.score), F.lit(0)) * STEPS)
             seen = lessons(some.filter(F.col(k) & (F.col("half") == 1)), k).groupBy(step.alias("b")).agg(F.sum("y").alias("p"), F.count("*").alias("n")).collect()
             model = Booster(model.base, model.trees, calibrated([(r["b"], r["p"], r["n"]) for r in seen], precision))
         found[k] = model
@@ -306,7 +307,9 @@ def _added(kind: str, base: Column, wide: Column, booster: Booster | None) -> Co
     if booster is None or not booster.trees:
         return F.array().cast(SPAN)
     free = lambda x: ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    scored = lambda x: F.transform(F.filter(within(kind, x), free), lambda y: F.struct(booster.score(features(kind, y)).alias("p"), (-y["s"]).alias("o"), y.alias("x")))
+    # features are bound once: the trees refer to them dozens of times
+    score = lambda y: F.get(F.transform(F.array(features(kind, y)), booster.score), F.lit(0))
+    scored = lambda x: F.transform(F.filter(within(kind, x), free), lambda y: F.struct(score(y).alias("p"), (-y["s"]).alias("o"), y.alias("x")))
     best = F.transform(wide, lambda x: F.array_max(scored(x)))
     return F.transform(F.filter(best, lambda r: r["p"] >= booster.threshold), lambda r: r["x"])
 
