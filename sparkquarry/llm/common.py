@@ -10,7 +10,8 @@ extra input columns can't clash with the operators' own names.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -48,10 +49,36 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_steps"
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Tables written inside each open :func:`temporary` block, innermost last.
+_blocks: list[list[DataFrame]] = []
+
+
+@contextmanager
+def temporary() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end the tables that :func:`written` made inside, but those passed to the function it yields.
+
+    For a caller who has stored an operator's result: the steps behind it
+    must outlive a lazy result, so no operator can delete its last ones.
+    """
+    block: list[DataFrame] = []
+    _blocks.append(block)
+
+    def keep(df: DataFrame) -> DataFrame:
+        block[:] = [x for x in block if x._step_path != df._step_path]
+        for outer in _blocks[-2:-1]:
+            outer.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _blocks.remove(block)
+        discard(*block)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: the lineage ends, a lost executor costs nothing."""
     spark = df.sparkSession
@@ -59,6 +86,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found._step_path = path
+    for block in _blocks[-1:]:
+        block.append(found)
     return found
 
 
@@ -101,13 +130,24 @@ def spread_join(df: DataFrame, key: str, table: DataFrame, spread: Column, salts
     return df.join(df.select(key, "_salt").distinct().join(table, key), [key, "_salt"]).drop("_salt")
 
 
-def keep_rows(df: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text", once: bool = False) -> DataFrame:
-    """The rows of ``df``, all columns, whose id and text are among ``kept`` (rid, h); of repeated rows one, if ``once``."""
-    key = {"_rid": F.coalesce(col(df, id_col).cast("long"), F.lit(NULL_ID)), "_h": F.xxhash64(F.coalesce(col(df, text_col).cast("string"), F.lit("")))}
-    found = df.withColumns(key).join(kept.select(F.col("rid").alias("_rid"), F.col("h").alias("_h")).distinct(), ["_rid", "_h"], "left_semi")
+def keep_rows(df: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text", once: bool = False, **more: Column) -> DataFrame:
+    """The rows of ``df``, all columns, whose id and text are among ``kept`` (rid, h); of rows that share both only one, if ``once``.
+
+    ``more`` names further columns of ``kept`` and what they are in ``df``.
+    The row that stays is the first in the order of all columns, nulls
+    first, so the choice doesn't depend on how rows are dealt.  Rows travel as
+    one struct beside their keys, hence no column name can clash.  Spark
+    limits a window's rows to the first before its shuffle, so a hot key
+    sends one row of each task.  Nulls in ``more`` match nothing.
+    """
+    keys = {"rid": F.coalesce(col(df, id_col).cast("long"), F.lit(NULL_ID)), "h": F.xxhash64(F.coalesce(col(df, text_col).cast("string"), F.lit("")))} | more
+    rows = df.select(F.struct(*[col(df, c) for c in df.columns]).alias("row"), *[c.alias(n) for n, c in keys.items()])
+    found = rows.join(kept.select(*keys).distinct(), list(keys), "left_semi")
     if once:
-        found = found.withColumn("_nth", F.row_number().over(Window.partitionBy("_rid", "_h").orderBy(F.lit(1)))).filter("_nth = 1")
-    return found.select(*[f"`{c}`" for c in df.columns])
+        # maps have no order of their own
+        order = [F.to_json(F.struct(F.col("row").getField(f.name))) if "map<" in f.dataType.simpleString() else F.col("row").getField(f.name) for f in df.schema]
+        found = found.withColumn("nth", F.row_number().over(Window.partitionBy("rid", "h").orderBy(*order))).filter("nth = 1")
+    return found.select("row.*")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -164,9 +164,8 @@ def identify_language(
     minus = lambda a: F.zip_with(a, own, lambda x, y: x - y)
     sum_of = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
     # the whole table and each declaration: a row for each language, bounded by the model
-    whole = [r["n"] for r in base.filter("text_lang is not null").groupBy("text_lang").agg(F.count("*").alias("n")).select("text_lang", "n").collect()]
     by_lang = {r["text_lang"]: r["n"] for r in base.filter("text_lang is not null").groupBy("text_lang").agg(F.count("*").alias("n")).collect()}
-    share = [(by_lang.get(x, 0) + 1.0) / (sum(whole) + len(langs)) for x in langs]
+    share = [(by_lang.get(x, 0) + 1.0) / (sum(by_lang.values()) + len(langs)) for x in langs]
     told = {(r["declared"], r["text_lang"]): r["n"] for r in base.filter(F.col("declared").isin(*langs) & F.col("text_lang").isNotNull()).groupBy("declared", "text_lang").agg(F.count("*").alias("n")).collect()}
     seen = group_totals(base, ["host", "suffix"], {"_v": votes}, {"hosts": added}, F.col("h"))
     seen = group_totals(seen, ["suffix"], {"_v": votes}, {"suffixes": added}, F.col("h"))
@@ -214,7 +213,18 @@ def page_languages(pages: DataFrame, model: LanguageModel, id_col: str = "page_i
 
 
 def document_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """rid, h, e, lang, posterior, accepted of documents; their source takes the place of the host."""
-    rows = keyed(docs, id_col, text_col)
-    base = docs.select(col(docs, id_col).alias("doc_id"), col(docs, text_col).alias("text"), col(docs, host_col).cast("string").alias("host")) if host_col in docs.columns else rows.select(F.col("rid").alias("doc_id"), "text", F.lit(None).cast("string").alias("host"))
+    """rid, h, e, lang, posterior, accepted of documents; their source, if they have that column, takes the place of the host.
+
+    A row of ``docs`` is found again by its id, text and :func:`document_evidence` (``e``).
+    """
+    base = docs.select(col(docs, id_col).alias("doc_id"), col(docs, text_col).alias("text"), _host(docs, host_col).alias("host"))
     return identify_language(base, model, "doc_id", F.col("text"), F.col("host"))
+
+
+def _host(docs: DataFrame, host_col: str) -> Column:
+    return col(docs, host_col).cast("string") if host_col in docs.columns else F.lit(None).cast("string")
+
+
+def document_evidence(docs: DataFrame, host_col: str = "source") -> Column:
+    """The ``e`` of :func:`document_languages` for a row of ``docs``."""
+    return evidence_key(F.lower(_host(docs, host_col)), F.lit(""), F.lit(None).cast("string"))
