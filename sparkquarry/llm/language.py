@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +27,8 @@ from .common import col, group_totals, id_out, keyed, written
 from .minhash import buffers, pieces
 
 BITS, ORDER = 16, 3
+#: Bytes of text that are worked on at once.
+SLICE = 1_000_000
 #: Grams of text evidence at most: beyond it more text says no more, as grams aren't independent.
 WEIGHT = 60.0
 #: Mean log likelihood of a gram may lie so far below that of the language's own grams.
@@ -63,7 +64,7 @@ def _split(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found: dict[str, np.ndarray] = {}
     for batch in batches:
-        for part in pieces(batch):
+        for part in pieces(batch, SLICE):
             bucket, text, _ = _split(part.column("text"))
             lang = part.column("lang").dictionary_encode()
             code = lang.indices.to_numpy(zero_copy_only=False)[text]
@@ -102,28 +103,25 @@ def train_language(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     return LanguageModel(tuple(names), log_p.astype(np.float32), (n * log_p).sum(axis=1) / np.maximum(n.sum(axis=1), 1))
 
 
-def text_evidence(text: Column, model: LanguageModel, weight: float = WEIGHT) -> Column:
-    """Struct (grams, one log likelihood for each language, the best is 0, and each one's mean of a gram less the language's own); no grams: log is all 0."""
-    size = len(model.languages)
+def text_evidence(rows: DataFrame, model: LanguageModel, weight: float = WEIGHT) -> DataFrame:
+    """``rows`` with, in place of ``text``, grams, log (a likelihood for each language, the best is 0; no grams: all 0) and fit (each one's mean of a gram less the language's own)."""
+    size, others = len(model.languages), [f for f in rows.schema if f.name != "text"]
 
-    @F.pandas_udf("grams long, log array<double>, fit array<double>")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.ascontiguousarray(model.log_p.T)
-        for s in parts:
-            batch = pa.RecordBatch.from_arrays([pa.Array.from_pandas(s, type=pa.large_string())], ["text"])
-            counts, logs, fits = [], [], []
-            for part in pieces(batch):
-                bucket, row, sizes = _split(part.column("text"))
+        lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * size, pa.int32()), pa.array(x.ravel(), pa.float64()))
+        for batch in batches:
+            for part in pieces(batch, SLICE):
+                bucket, row, _ = _split(part.column("text"))
                 n = np.bincount(row, minlength=part.num_rows)
                 total = np.stack([np.bincount(row, table[:, j][bucket], part.num_rows) for j in range(size)], axis=1).astype(float) if size else np.zeros((part.num_rows, 0))
-                fits.append(total / np.maximum(n, 1)[:, None] - model.own)
+                fit = total / np.maximum(n, 1)[:, None] - model.own
                 total *= (np.minimum(n, weight) / np.maximum(n, 1))[:, None]
-                counts.append(n)
-                logs.append(total - total.max(axis=1, keepdims=True, initial=-np.inf) if size else total)
-            n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-            yield pd.DataFrame({"grams": n, "log": [x for y in logs for x in y], "fit": [x for y in fits for x in y]})
+                log = total - total.max(axis=1, keepdims=True) if size else total
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in others), pa.array(n, pa.int64()), lists(log), lists(fit)], [*(f.name for f in others), "grams", "log", "fit"])
 
-    return score(F.coalesce(text.cast("string"), F.lit("")))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
+    return rows.mapInArrow(run, f"{kinds}, grams long, log array<double>, fit array<double>")
 
 
 def evidence_key(host: Column, suffix: Column, declared: Column) -> Column:
@@ -148,14 +146,15 @@ def identify_language(
     text = F.coalesce((F.col("text") if text is None else text).cast("string"), F.lit(""))
     none = F.lit(None).cast("string")
     base = rows.select(
-        F.coalesce(col(rows, id_col).cast("long"), F.lit(-(2**63))).alias("rid"), F.xxhash64(text).alias("h"), text_evidence(text, model).alias("t"),
+        F.coalesce(col(rows, id_col).cast("long"), F.lit(-(2**63))).alias("rid"), F.xxhash64(text).alias("h"), text.alias("text"),
         F.coalesce(none if host is None else F.lower(host), F.lit("")).alias("host"), F.coalesce(none if suffix is None else F.lower(suffix), F.lit("")).alias("suffix"),
         (none if declared is None else F.lower(F.substring_index(declared, "-", 1))).alias("declared"),
-    ).withColumn("e", evidence_key(F.col("host"), F.col("suffix"), F.col("declared"))).dropDuplicates(["rid", "h", "e"])
+    ).withColumn("e", evidence_key(F.col("host"), F.col("suffix"), F.col("declared")))
+    base = text_evidence(base, model).dropDuplicates(["rid", "h", "e"])
     names = F.array(*[F.lit(x) for x in langs]).cast("array<string>")
     best = lambda a: F.get(names, F.array_position(a, F.array_max(a)).cast("int") - 1)
-    base = base.withColumn("text_lang", F.when(F.col("t.grams") > 0, best(F.col("t.log"))))
-    base = written(base.select("rid", "h", "e", "host", "suffix", "declared", "text_lang", F.col("t.grams").alias("grams"), F.col("t.log").alias("log"), F.col("t.fit").alias("fit")), "evidence")
+    base = base.withColumn("text_lang", F.when(F.col("grams") > 0, best(F.col("log"))))
+    base = written(base.select("rid", "h", "e", "host", "suffix", "declared", "text_lang", "grams", "log", "fit"), "evidence")
     if not langs:
         return base.select("rid", "h", "e", "grams", "text_lang", none.alias("lang"), F.lit(None).cast("double").alias("posterior"), F.lit(False).alias("accepted"))
     votes = F.array(*[F.count(F.when(F.col("text_lang") == x, 1)) for x in langs])

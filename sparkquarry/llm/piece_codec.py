@@ -366,7 +366,7 @@ def _codec(vocabulary: Vocabulary, dropout: float, seed: int):
         encoder = Encoder(vocabulary, dropout, seed)
         with np.errstate(over="ignore"):
             for batch in batches:
-                for part in pieces(batch, 8_000_000):
+                for part in pieces(batch, 2_000_000):
                     texts = part.column("text").to_pylist()
                     ids = encode_texts(encoder, texts, part.column("key").to_pylist())
                     back = [decode_ids(vocabulary, x) for x in ids]

@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import decontaminate, proximity_matches
 from .exact_dedup import exact_dedup
 from .language import page_languages, train_language
+from .manifest import merkle_manifest
 from .minhash import near_duplicates
+from .packing import pack_mixture
 from .pii import find_pii
 from .piece_codec import encode_documents
 from .quotation import link_quotations
+from .resample import importance_resample
 from .sharding import shard_rows
 from .suffix_dedup import remove_repeats
 from .toxicity import toxicity
@@ -66,13 +69,29 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
 
 
+def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=5, least_words=20, buckets=10_000, seed=42).drop("n_words")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(_table(spark, sf_dir, "documents"), arity=3)
+
+
+def op13_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json")) as f:  # on the driver alone
+        tokenizer = f.read()
+    return pack_mixture(_table(spark, sf_dir, "documents"), tokenizer, size=4096, last=2)
+
+
 def benchmark_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the words of a benchmark window stand in order with at most two others between them; exact occurrences are among these."""
     return proximity_matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), slop=2, window=10)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_jump_shards, op4_quotation_links, op5_pii_boosting, op6_language, op7_minmax_neardup, op8_block_naming, op9_piece_dropout, op10_decontaminate, benchmark_proximity)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_jump_shards, op4_quotation_links, op5_pii_boosting, op6_language, op7_minmax_neardup, op8_block_naming, op9_piece_dropout, op10_decontaminate, op11_importance_resample, op12_merkle_manifest, op13_mixture_packing, benchmark_proximity)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -107,6 +126,49 @@ it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) A
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(pos.n_hit, 0)::BIGINT AS n_hit, coalesce(it.n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(it.items, '')) AS items_sha256, coalesce(pos.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)""",
+    "op12_merkle_manifest": """
+WITH RECURSIVE b AS (
+  SELECT *, hex(encode(doc_id::VARCHAR)) AS x FROM documents),
+c AS (
+  SELECT *, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(4 * len(x)),
+    lambda i: ((('0x' || x[2 * (i // 8) + 1 : 2 * (i // 8) + 2])::BIGINT >> (i % 8)) & 1))),
+    lambda s, bit: xor(s >> 1, 3988292384::BIGINT * (xor(s, bit) & 1)))) AS crc FROM b),
+d AS (
+  SELECT *, concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-')) AS head,
+    CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS found FROM c),
+leaf AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(found) || ':' || found, '-')) AS changed,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM d),
+t AS (
+  SELECT source, 0 AS l, i, n, leaf AS h FROM leaf
+  UNION ALL SELECT source, l + 1, i // 3, any_value((n + 2) // 3), sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY source, l, i // 3),
+top AS (
+  SELECT source, h, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+r AS (
+  SELECT 0 AS l, i, n, h FROM top
+  UNION ALL SELECT l + 1, i // 3, any_value((n + 2) // 3), sha256(string_agg(h, '' ORDER BY i)) FROM r WHERE n > 1 GROUP BY l, i // 3),
+own AS (
+  SELECT doc_id, source, 0 AS l, i, n FROM leaf
+  UNION ALL SELECT doc_id, source, l + 1, i // 3, (n + 2) // 3 FROM own WHERE n > 1),
+above AS (
+  SELECT source, 0 AS l, i, n FROM top
+  UNION ALL SELECT source, l + 1, i // 3, (n + 2) // 3 FROM above WHERE n > 1),
+high AS (SELECT source, max(l) AS high FROM own GROUP BY source),
+steps AS (
+  SELECT doc_id, own.l, coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (t.i < own.i), '') AS before, coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (t.i > own.i), '') AS after
+  FROM own JOIN t ON t.source IS NOT DISTINCT FROM own.source AND t.l = own.l AND t.i // 3 = own.i // 3 WHERE own.n > 1 GROUP BY doc_id, own.l, own.i
+  UNION ALL
+  SELECT doc_id, high + u.l, u.before, u.after FROM leaf JOIN high ON high.source IS NOT DISTINCT FROM leaf.source JOIN (
+    SELECT source, above.l, coalesce(string_agg(r.h, '' ORDER BY r.i) FILTER (r.i < above.i), '') AS before, coalesce(string_agg(r.h, '' ORDER BY r.i) FILTER (r.i > above.i), '') AS after
+    FROM above JOIN r ON r.l = above.l AND r.i // 3 = above.i // 3 WHERE above.n > 1 GROUP BY source, above.l, above.i) u ON u.source IS NOT DISTINCT FROM leaf.source),
+proof AS (SELECT doc_id, sha256(string_agg(before || after, '' ORDER BY l)) AS p, count(*) AS n FROM steps GROUP BY doc_id),
+fold AS (
+  SELECT doc_id, 0 AS l, changed AS h FROM leaf
+  UNION ALL SELECT fold.doc_id, fold.l + 1, sha256(before || h || after) FROM fold JOIN steps ON steps.doc_id = fold.doc_id AND steps.l = fold.l),
+done AS (SELECT fold.doc_id, fold.h FROM fold LEFT JOIN proof USING (doc_id) WHERE fold.l = coalesce(proof.n, 0))
+SELECT leaf.doc_id, leaf.leaf, top.h AS subroot, root.h AS root, coalesce(proof.p, sha256('')) AS proof_sha256, done.h AS folded_root, done.h = root.h AS verified
+FROM leaf JOIN top ON top.source IS NOT DISTINCT FROM leaf.source JOIN done ON done.doc_id = leaf.doc_id LEFT JOIN proof ON proof.doc_id = leaf.doc_id
+CROSS JOIN (SELECT h FROM r WHERE n = 1) root""",
 }
 
 

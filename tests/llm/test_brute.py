@@ -446,7 +446,7 @@ def test_fusion_beside_plain_sums(spark):
     rows += [(500, "the la", "a.fr", "fr", "fr"), (500, "the la", "c.uk", "uk", "en")]
     df = spark.createDataFrame(rows, "doc_id long, text string, host string, suffix string, declared string")
     got = language.identify_language(df, model, host=F.col("host"), suffix=F.col("suffix"), declared=F.col("declared"))
-    logs = {x["text"]: (x["t"]["grams"], x["t"]["log"]) for x in df.select("text").distinct().select("text", language.text_evidence(F.col("text"), model).alias("t")).collect()}
+    logs = {x["was"]: (x["grams"], x["log"]) for x in language.text_evidence(df.select("text").distinct().withColumn("was", F.col("text")), model).collect()}
     langs, k = model.languages, len(model.languages)
     base = {(i, t, h or "", s or "", d and d.split("-")[0]) for i, t, h, s, d in rows}
     vote = lambda t: max(range(k), key=lambda j: (logs[t][1][j], -j)) if logs[t][0] else None
