@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import registry
-from . import evaluation_queries, experiment_queries, metric_queries, operations_queries, platform_queries, product_queries, text_queries  # noqa: F401
+from . import evaluation_queries, experiment_queries, metric_queries, operations_queries, platform_queries, product_queries, reliability_queries, text_queries  # noqa: F401
 
 
 def queries():
