@@ -245,9 +245,3 @@ def stream_session_incidents(t):
 def stream_dedup(t):
     """One batch knows no expiry, so what is left is one row of each key."""
     return _drained(t, ST.deduplicated(_stream(t), ["user_id", "event_type"]), "stream_dedup", "append").select("user_id", "event_type")
-
-
-@query()
-def stream_cooldown(t):
-    """Six hours of silence after each alert of a user."""
-    return _drained(t, ST.cooldown(_stream(t).select("event_id", "user_id", "ts"), "user_id", 6 * 3600), "stream_cooldown", "append")

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..sources.commits import CommitLog, Conflict
 from ..sources.shared import shared_path
+from ..streaming import timers as TM
+from ..streaming import windows as ST
 from .registry import query
 
 _COMMITTED = """SELECT doc_id, source, concat(CASE WHEN doc_id % 3 = 0 THEN 'a' ELSE '' END, CASE WHEN doc_id % 5 = 0 THEN 'b' ELSE '' END, CASE WHEN doc_id % 15 = 7 THEN 'c' ELSE '' END) AS marks,
@@ -46,3 +48,50 @@ def reverted_version(t):
     log.revert(bad)
     log.compact()
     return log.snapshot()
+
+
+# streams over the events in three slices of time, each run to its end and started again from its checkpoint
+_DAYS5 = 5 * 86400
+
+
+@query(
+    f"""WITH e AS (SELECT user_id, event_id, floor(epoch(ts) / {_DAYS5})::BIGINT AS tick, row_number() OVER (PARTITION BY user_id, floor(epoch(ts) / {_DAYS5}) ORDER BY ts, event_id) - 1 AS i FROM events)
+    SELECT user_id, make_timestamp(tick * {_DAYS5} * 1000000) AS tick, (i // 4)::INT AS block, count(*)::INT AS n, CASE WHEN count(*) = 4 THEN 'count' ELSE 'time' END AS why, string_agg(event_id, ',' ORDER BY i) AS event_ids
+    FROM e GROUP BY user_id, e.tick, i // 4 HAVING count(*) = 4 OR (e.tick + 1) * {_DAYS5} * 1000 < (SELECT epoch_ms(max(ts)) FROM events)"""
+)
+def stream_buffered(t):
+    """Each user's events in buffers that are flushed at four events or every five days; what is still buffered at the end isn't there."""
+    e = t.events.select("event_id", "user_id", "ts")
+    out = ST.drain_in_slices(e, shared_path(t.spark, "stream_buffered"), lambda s: TM.buffered(s, "user_id", "event_id", most=4, seconds=_DAYS5))
+    return out.select("user_id", F.col("tick").cast("timestamp_ntz").alias("tick"), "block", "n", "why", F.array_join("events", ",").alias("event_ids"))
+
+
+@query(
+    """WITH RECURSIVE r AS (
+    SELECT user_id, min(ts) AS ts FROM events GROUP BY 1
+    UNION ALL SELECT r.user_id, (SELECT min(e.ts) FROM events e WHERE e.user_id = r.user_id AND e.ts >= r.ts + INTERVAL 6 HOUR) FROM r WHERE r.ts IS NOT NULL)
+    SELECT min(e.event_id) AS event_id, r.user_id, r.ts FROM r JOIN events e ON e.user_id = r.user_id AND e.ts = r.ts GROUP BY 2, 3"""
+)
+def stream_cooldown(t):
+    """Six hours of silence after each alert of a user."""
+    e = t.events.select("event_id", "user_id", "ts")
+    out = ST.drain_in_slices(e, shared_path(t.spark, "stream_cooldown"), lambda s: TM.cooldown(s, "user_id", 6 * 3600, "0 seconds"))
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+_GAP, _KEEP = 6 * 3600, 12 * 3600
+
+
+@query(
+    f"""WITH RECURSIVE a AS (SELECT user_id, ts, value, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= to_seconds({_GAP}) THEN 1 ELSE 0 END AS nw FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    b AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM a),
+    i AS (SELECT user_id, s, min(ts) AS start_at, max(ts) AS end_at, count(*)::INT AS n, max(value) AS worst FROM b GROUP BY 1, 2),
+    f AS (SELECT *, CASE WHEN lag(end_at) OVER w IS NULL OR start_at - lag(end_at) OVER w >= to_seconds({_GAP + _KEEP}) THEN 1 ELSE 0 END AS anew FROM i WINDOW w AS (PARTITION BY user_id ORDER BY s)),
+    g AS (SELECT *, sum(anew) OVER (PARTITION BY user_id ORDER BY s) AS c FROM f)
+    SELECT user_id, start_at, end_at, n, worst, (row_number() OVER (PARTITION BY user_id, c ORDER BY s))::INT AS recurrence FROM g QUALIFY end_at + to_seconds({_GAP}) < (SELECT max(ts) FROM events)"""
+)
+def stream_incidents(t):
+    """Incidents of a user end after six hours without an event and are remembered for twelve more."""
+    e = t.events.select("event_id", "user_id", "ts", "value")
+    out = ST.drain_in_slices(e, shared_path(t.spark, "stream_incidents"), lambda s: TM.incidents(s, "user_id", "value", _GAP, _KEEP))
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start_at", "end_at")})

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,26 +35,6 @@ def deduplicated(events: DataFrame, keys: list[str], delay: str = DELAY) -> Data
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
 
 
-def cooldown(events: DataFrame, key: str, seconds: int, delay: str = DELAY) -> DataFrame:
-    """Rows let through: none within ``seconds`` of the last one let through for its key. State is one time for each key."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def fold(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        out = []
-        for row in sorted((r for p in parts for r in p.itertuples(index=False)), key=lambda r: (r.ts, r.event_id)):
-            us = int(row.ts.value // 1000)
-            if last is None or us - last >= seconds * 1_000_000:
-                last = us
-                out.append((row.event_id, k[0], row.ts))
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame(out, columns=["event_id", key, "ts"])
-
-    kind = dict(events.dtypes)[key]
-    return events.withWatermark("ts", delay).groupBy(key).applyInPandasWithState(fold, f"event_id long, {key} {kind}, ts timestamp", "last long", "append", GroupStateTimeout.NoTimeout)
-
-
 def drain(stream: DataFrame, path: str, mode: str) -> DataFrame:
     """Runs a stream over what is there and gives back what it wrote to ``path``, a folder that driver and executors share.
 
@@ -69,7 +48,7 @@ def drain(stream: DataFrame, path: str, mode: str) -> DataFrame:
 
     put(spark.createDataFrame([], stream.schema), -1)
     stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+    return spark.read.schema(stream.schema).parquet(f"{path}/out").select(*stream.columns)
 
 
 def upsert_batches(stream: DataFrame, key: str, apply: Callable[[DataFrame, int], None], checkpoint: str, interval: str | None = None):
@@ -81,3 +60,14 @@ def upsert_batches(stream: DataFrame, key: str, apply: Callable[[DataFrame, int]
 
     w = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (w.trigger(processingTime=interval) if interval else w.trigger(availableNow=True)).start()
+
+
+def drain_in_slices(rows: DataFrame, path: str, make: Callable[[DataFrame], DataFrame], slices: int = 3, at: str = "ts") -> DataFrame:
+    """What ``make``, a stream in append mode, writes over ``rows`` that arrive in slices of time; it stops and starts again between them."""
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+    for i in range(slices):
+        lo, hi = (low + (high - low) * k / slices for k in (i, i + 1)) if low is not None else (None, None)
+        part = rows if low is None else rows.filter((F.col(at) >= F.lit(lo)) & (F.col(at) <= F.lit(hi) if i == slices - 1 else F.col(at) < F.lit(hi)))
+        part.write.mode("append").parquet(f"{path}/in")
+        out = drain(make(read_events(rows.sparkSession, f"{path}/in", rows.schema, 1000)), path, "append")
+    return out
