@@ -23,9 +23,11 @@ a hash of their name.  The tokens of a distinct word are found once for each sli
 from __future__ import annotations
 
 import json
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,24 +40,53 @@ from .decontaminate import small
 from .minhash import buffers, pieces
 
 SIZE, GRAIN, MAX_QUEUES = 4096, 64, 256
-#: Bytes of text, tokens, that are worked on at once; words that a task remembers.
-SLICE, TOKENS, KNOWN = 8_000_000, 4_000_000, 500_000
+#: Bytes of text, tokens and new words that are worked on at once; words that a task remembers.
+SLICE, TOKENS, WORDS_AT_ONCE, KNOWN = 4_000_000, 2_000_000, 5_000, 250_000
+
+
+@dataclass(frozen=True)
+class TokenizerParts:
+    """What tasks need of a tokenizer's file, taken out of it once."""
+
+    json: str
+    special: tuple[str, ...]
+    #: numpy type that holds all ids
+    kind: str
+    #: the bare model for words of ASCII letters, whether they are put in lower case, and which ids end a word; or nothing
+    bare: str | None = None
+    lower: bool = False
+    ends: np.ndarray | None = None
+
+    @staticmethod
+    def of(tokenizer_json: str, last: int | None) -> TokenizerParts:
+        found = json.loads(tokenizer_json)
+        model, added = found["model"], found["added_tokens"]
+        most = max([*model["vocab"].values(), *[t["id"] for t in added], last or 0])
+        parts = [tokenizer_json, tuple(t["content"] for t in added), "<u2" if most < 1 << 16 else "<u4"]
+        if not model.get("end_of_word_suffix"):
+            return TokenizerParts(*parts)
+        # a word of letters is one token to the splitter, and the suffix of its last piece tells where it ends
+        ends = np.zeros(most + 1, bool)
+        ends[[i for token, i in model["vocab"].items() if token.endswith(model["end_of_word_suffix"])]] = True
+        bare = json.dumps(found | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []})
+        return TokenizerParts(*parts, bare, '"Lowercase"' in json.dumps(found["normalizer"]), ends)
 
 
 class WordTokens:
     """Token ids of many texts, by the tokenizers library, each distinct word encoded once.
 
     Fits tokenizers that split at white space and drop it, and between an
-    ASCII letter and an ASCII sign or digit behind it.  Texts that hold the
-    start of a special token are encoded whole.
+    ASCII letter and an ASCII sign or digit behind it, and keep letters
+    together.  Texts that hold a special token are encoded whole.
     """
 
-    def __init__(self, tokenizer_json: str, last: int | None) -> None:
+    def __init__(self, parts: TokenizerParts, last: int | None) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.special = [t["content"] for t in json.loads(tokenizer_json)["added_tokens"]]
-        self.last = np.array([] if last is None else [last], np.int64)
+        self.parts, self.tokenizer = parts, Tokenizer.from_str(parts.json)
+        self.bare = Tokenizer.from_str(parts.bare) if parts.bare else None
+        self.last = np.array([] if last is None else [last], np.int32)
         self.space = np.zeros(256, bool)
         self.space[[9, 10, 11, 12, 13, 32]] = True
         self.letter = np.zeros(256, bool)
@@ -66,19 +97,27 @@ class WordTokens:
 
     def _forget(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.flat, self.starts, self.used = np.zeros(1 << 20, np.int64), [0], 0
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.flat, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def _learn(self, words: list[bytes]) -> None:
-        for ids in self._ids([w.decode() for w in words]):
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.int64)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.starts.append(self.used)
-        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
+        """Ids of new words, numbered as they come."""
+        plain = [w for w in words if w.isalpha()] if self.bare else []  # ASCII letters: bytes know no others
+        others = [w for w in words if not w.isalpha()] if self.bare else words
+        flat, sizes = [self.flat], [np.diff(self.starts)]
+        for i in range(0, len(plain), WORDS_AT_ONCE):
+            text = b" ".join(plain[i : i + WORDS_AT_ONCE])
+            ids = np.array(self.bare.encode((text.lower() if self.parts.lower else text).decode(), add_special_tokens=False).ids, np.int32)
+            flat.append(ids)
+            sizes.append(np.diff(np.flatnonzero(self.parts.ends[ids]), prepend=-1))
+        for i in range(0, len(others), WORDS_AT_ONCE):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in others[i : i + WORDS_AT_ONCE]], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flat.append(np.fromiter(chain.from_iterable(ids), np.int32, int(sizes[-1].sum())))
+        self.number.update(zip(chain(plain, others), range(len(self.number), len(self.number) + len(words))))
+        self.flat, sizes = np.concatenate(flat), np.concatenate(sizes)
+        self.starts = np.concatenate([[0], np.cumsum(sizes)])
+        if len(sizes) != len(self.number) or self.starts[-1] != len(self.flat):
+            raise ValueError("the tokenizer does not keep the letters of a word together")
 
     def _split(self, column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """Distinct words, the word at each place, and how many each text has."""
@@ -97,35 +136,32 @@ class WordTokens:
     def __call__(self, column: pa.Array) -> list[np.ndarray]:
         """Ids of each text, closed by ``last``."""
         odd = np.zeros(len(column), bool)
-        for mark in self.special:
+        for mark in self.parts.special:
             odd |= pc.match_substring(column, mark).to_numpy(zero_copy_only=False)
-        whole = {int(i): self._ids([column[int(i)].as_py()])[0] for i in np.flatnonzero(odd)}
+        whole = {int(i): np.array(self.tokenizer.encode(column[int(i)].as_py(), add_special_tokens=False).ids, np.int32) for i in np.flatnonzero(odd)}
         words, code, counts = self._split(pc.if_else(pa.array(odd), pa.scalar("", column.type), column) if whole else column)
         if len(self.number) > KNOWN:
             self._forget()
         if new := [w for w in words if w not in self.number]:
             self._learn(new)
-        starts = np.array(self.starts, np.int64)
         at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        first, length = starts[at][code], (starts[at + 1] - starts[at])[code]
+        first, length = self.starts[at][code], (self.starts[at + 1] - self.starts[at])[code]
         until = np.cumsum(length)
-        ids = self.flat[np.repeat(first - (until - length), length) + np.arange(int(until[-1]) if len(until) else 0)]
+        index = np.repeat(first - (until - length), length)
+        index += np.arange(len(index))
+        ids = self.flat[index]
         ends = np.concatenate([[0], until])[np.cumsum(counts)]
         parts = np.split(ids, ends[:-1]) if len(counts) else []
         return [np.concatenate([whole.get(i, x), self.last]) for i, x in enumerate(parts)]
 
 
-def tokenised(texts: DataFrame, tokenizer_json: str, last: int | None) -> tuple[DataFrame, str]:
-    """The kind of numbers, and rid, queue, task, at, n, ids: of rows (rid, queue, text) the ids as little-endian numbers, and the tokens before the row in its queue in its task."""
-    # ids and the closing one fit 16 bits or they don't, for the whole vocabulary
-    model = json.loads(tokenizer_json)
-    most = max([*model["model"]["vocab"].values(), *[t["id"] for t in model["added_tokens"]], last or 0])
-    kind = "<u2" if most < 1 << 16 else "<u4"
+def tokenised(texts: DataFrame, parts: TokenizerParts, last: int | None) -> DataFrame:
+    """rid, queue, task, at, n, ids: of rows (rid, queue, text) the ids as little-endian numbers, and the tokens before the row in its queue in its task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, tokens, sent = TaskContext.get().partitionId(), WordTokens(tokenizer_json, last), {}
+        task, tokens, sent = TaskContext.get().partitionId(), WordTokens(parts, last), {}
         for batch in batches:
             for part in pieces(batch, SLICE):
                 ids = tokens(part.column("text"))
@@ -134,11 +170,11 @@ def tokenised(texts: DataFrame, tokenizer_json: str, last: int | None) -> tuple[
                     at.append(sent.get(q, 0))
                     sent[q] = at[-1] + len(x)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("rid"), part.column("queue"), pa.array([task] * len(ids), pa.int32()), pa.array(at, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())],
+                    [part.column("rid"), part.column("queue"), pa.array([task] * len(ids), pa.int32()), pa.array(at, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype(parts.kind).tobytes() for x in ids], pa.binary())],
                     ["rid", "queue", "task", "at", "n", "ids"],
                 )
 
-    return texts.mapInArrow(run, "rid long, queue int, task int, at long, n long, ids binary"), kind
+    return texts.mapInArrow(run, "rid long, queue int, task int, at long, n long, ids binary")
 
 
 @dataclass(frozen=True)
@@ -309,8 +345,8 @@ def pack_mixture(
     queue, names = _queues(docs, source, targets, max_queues)
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), queue.alias("queue"))
     rows = texts.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("rid"), "queue", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    tokens, kind = tokenised(rows, tokenizer_json, last)
-    tokens = written(tokens, "tokens")
+    parts = TokenizerParts.of(tokenizer_json, last)
+    tokens = written(tokenised(rows, parts, last), "tokens")
     # a row for each task and queue
     sums = written(tokens.groupBy("queue", "task").agg(F.sum("n").alias("n")), "sums")
     earlier = F.coalesce(F.sum("n").over(Window.partitionBy("queue").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -319,5 +355,5 @@ def pack_mixture(
     schedule = Schedule.of(held, mixed_shares(held, names, targets), size, grain)
     offsets = written(sums.select("queue", "task", earlier.alias("earlier")), "offsets")
     found = tokens.filter("n > 0").join(small(offsets), ["queue", "task"]).select("rid", "queue", (F.col("earlier") + F.col("at")).alias("first"), "n", "ids")
-    out = found.mapInArrow(_cut(schedule, kind), "rid long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    out = found.mapInArrow(_cut(schedule, parts.kind), "rid long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return out.select(id_out().alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -24,14 +24,14 @@ def library(text):
 
 
 def test_ids():
-    tokens = packing.WordTokens(JSON, 2)
+    tokens = packing.WordTokens(packing.TokenizerParts.of(JSON, 2), 2)
     for texts in (ODD, ODD[::-1], [""], []):
         assert [x.tolist() for x in tokens(pa.array(texts, pa.string()))] == [library(t) for t in texts]
 
 
 def test_ids_of_a_whole_table(spark):
     texts = [r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
-    assert [x.tolist() for x in packing.WordTokens(JSON, 2)(pa.array(texts))] == [library(t) for t in texts]
+    assert [x.tolist() for x in packing.WordTokens(packing.TokenizerParts.of(JSON, 2), 2)(pa.array(texts))] == [library(t) for t in texts]
 
 
 def played(tokens, quantum, bits, grain, credit):
