@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..sources import backups as BK
+from ..sources import ledger as LG
 from ..sources.commits import CommitLog, Conflict
+from ..sources.ledger import Ledger
 from ..sources.shared import shared_path
 from ..streaming import timers as TM
 from ..streaming import windows as ST
@@ -95,3 +98,49 @@ def stream_incidents(t):
     e = t.events.select("event_id", "user_id", "ts", "value")
     out = ST.drain_in_slices(e, shared_path(t.spark, "stream_incidents"), lambda s: TM.incidents(s, "user_id", "value", _GAP, _KEEP))
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start_at", "end_at")})
+
+
+@query("SELECT vec_id, CASE WHEN vec_id % 35 = 0 THEN NULL ELSE label * 2 END AS doubled, CASE WHEN vec_id % 35 = 0 THEN 'fallback' ELSE 'transformed' END AS how, CASE WHEN vec_id % 35 = 0 THEN 3 WHEN vec_id % 5 = 0 THEN 2 ELSE 1 END AS attempts, vec_id % 35 = 0 AS failed FROM embeddings")
+def resumed_migration(t):
+    """Vectors moved with a transform that fails for some rows once and for some always; stopped half-way and taken up again."""
+    ledger = Ledger(t.spark, shared_path(t.spark, "migration"))
+    rows = t.embeddings
+
+    def transform(attempt):
+        fails = (F.col("vec_id") % 35 == 0) | ((F.col("vec_id") % 5 == 0) & F.lit(attempt == 0))
+        return F.when(~fails, F.col("label") * 2), F.when(fails, F.lit("refused"))
+
+    first = LG.copy_in_ranges(rows, "vec_id", ledger, transform, F.lit(None).cast("int"), n=8, wave=3, most=4)
+    rest = LG.copy_in_ranges(rows, "vec_id", ledger, transform, F.lit(None).cast("int"), n=8, wave=3)
+    again = LG.copy_in_ranges(rows, "vec_id", ledger, transform, F.lit(None).cast("int"), n=8, wave=3)
+    if first + rest != len(ledger.finished()) or again:
+        raise RuntimeError("a range was worked on twice")
+    bad = LG.failures(ledger, rows).select("vec_id", F.lit(True).alias("bad"))
+    out = LG.copied(ledger, rows, "int").join(bad, "vec_id", "left")
+    return out.select("vec_id", F.col("_value").alias("doubled"), F.col("_how").alias("how"), F.col("_attempts").alias("attempts"), F.coalesce("bad", F.lit(False)).alias("failed"))
+
+
+@query("SELECT count(*) AS n, avg(value) AS mean, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END)::DOUBLE / count(*) AS error_share FROM events", ("mean", "error_share"))
+def resumed_evaluation(t):
+    """Means over all events from the sums of ranges, of which some were worked on before a stop and some after it."""
+    ledger = Ledger(t.spark, shared_path(t.spark, "evaluation"))
+    partial = {"n": F.count("*"), "total": F.sum("value"), "errors": F.count_if(F.col("event_type") == "error")}
+    LG.sums_in_ranges(t.events, "event_id", ledger, partial, n=8, wave=3, most=3)
+    LG.sums_in_ranges(t.events, "event_id", ledger, partial, n=8, wave=3)
+    s = LG.sums(ledger, "n long, total double, errors long")
+    return s.agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("mean"), (F.sum("errors").cast("double") / F.sum("n")).alias("error_share"))
+
+
+_PART = 100_000
+_VECTOR = "(16 + 4 * len(embedding) + strlen(vec_id::VARCHAR))::BIGINT"
+
+
+@query(f"SELECT part, count(*) AS n, sum(size)::BIGINT AS bytes, min(vec_id) AS first, max(vec_id) AS last, count(*) AS restored FROM (SELECT *, (coalesce(sum(size) OVER (ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // {_PART})::BIGINT AS part FROM (SELECT vec_id, {_VECTOR} AS size FROM embeddings)) GROUP BY part")
+def backup_in_parts(t):
+    """Embeddings written in parts of a bounded number of bytes, verified and restored."""
+    path = shared_path(t.spark, "backup")
+    size = 16 + 4 * F.size("embedding") + F.octet_length(F.col("vec_id").cast("string"))
+    manifest = BK.backup_parts(t.embeddings, path, "vec_id", size, _PART)
+    back = BK.restore_parts(t.spark, path, "vec_id long, embedding array<float>, label int")
+    same = back.join(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("was")), F.col("vec_id") == F.col("id")).filter(F.col("embedding") == F.col("was"))
+    return manifest.join(same.groupBy("part").agg(F.count("*").alias("restored")), "part")
