@@ -9,7 +9,9 @@ from ..sources import ledger as LG
 from ..sources.commits import CommitLog, Conflict
 from ..sources.ledger import Ledger
 from ..sources.shared import shared_path
+from ..sources.storage import Storage
 from ..streaming import timers as TM
+from ..streaming import watch as WA
 from ..streaming import windows as ST
 from .registry import query
 
@@ -144,3 +146,40 @@ def backup_in_parts(t):
     back = BK.restore_parts(t.spark, path, "vec_id long, embedding array<float>, label int")
     same = back.join(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("was")), F.col("vec_id") == F.col("id")).filter(F.col("embedding") == F.col("was"))
     return manifest.join(same.groupBy("part").agg(F.count("*").alias("restored")), "part")
+
+
+_FILES = """f AS (SELECT source || '.txt' AS path, substr(source, 4)::INT AS k, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS length, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY source)"""
+
+
+@query(
+    f"""WITH {_FILES} SELECT 1 AS listing, path, 'created' AS kind, length FROM f WHERE k % 3 <> 0
+    UNION ALL SELECT 2, path, 'created', length FROM f WHERE k % 3 = 0 UNION ALL SELECT 2, path, 'modified', length + n FROM f WHERE k % 3 <> 0 AND k % 4 = 1
+    UNION ALL SELECT 3, path, 'deleted', CASE WHEN k % 3 <> 0 AND k % 4 = 1 THEN length + n ELSE length END FROM f WHERE k % 5 = 0"""
+)
+def stream_file_changes(t):
+    """Each source's documents as a file; files come, change and go between three runs of the stream."""
+    path = shared_path(t.spark, "watched")
+    store = Storage(t.spark, path)
+    store.fs.mkdirs(store.path("files"))
+    docs = t.documents.filter("source is not null").select("source", F.coalesce("text", F.lit("")).alias("text"), F.substring("source", 4, 9).cast("int").alias("k"))
+
+    def put(rows, name):
+        rows.select("source", "text").repartition("source").write.partitionBy("source").text(f"{path}/{name}")
+        for folder in store.names(name):
+            if folder.startswith("source="):
+                to = f"files/{folder.removeprefix('source=')}.txt"
+                store.delete(to)
+                store.move(f"{name}/{folder}/{next(n for n in store.names(f'{name}/{folder}') if n.startswith('part-'))}", to)
+
+    def drained():
+        return ST.drain(WA.folder_changes(t.spark, f"{path}/files", f"{path}/listings", (".txt",)), f"{path}/stream", "append")
+
+    put(docs.filter("k % 3 <> 0"), "one")
+    drained()
+    put(docs.filter("k % 3 = 0"), "two")
+    put(docs.filter("k % 3 <> 0 and k % 4 = 1").withColumn("text", F.concat("text", F.lit("x"))), "three")
+    drained()
+    for name in store.names("files"):
+        if int(name.removeprefix("src").removesuffix(".txt")) % 5 == 0:
+            store.delete(f"files/{name}")
+    return drained().select("listing", "path", "kind", "length")
