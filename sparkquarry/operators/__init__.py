@@ -1 +1,8 @@
-"""Operators of the library."""
+"""Operators: DataFrame in, DataFrame out."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions travel to the executors as code, so the package need not be installed there
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import alerts as A
+from ..operators import forecast as FC
 from ..operators import series as S
 from .registry import query
 
@@ -132,6 +133,46 @@ def seasonal_anomaly(t):
     s = _scored(t)
     return s.select("event_type", F.col("hour").cast("timestamp_ntz").alias("hour"), "expected", "severity", (F.round("severity", 6) >= 3).alias("is_anomaly"))
 
+# the same normal equations, solved by elimination; the matrix of a series is positive definite, so no rows change places
+_WAVES = ", ".join(f"{f}(2 * pi() * {k} * ((e % {period}) / {period}::DOUBLE))" for period, order in ((FC.DAY, FC.DAILY), (FC.WEEK, FC.WEEKLY)) for k in range(1, order + 1) for f in ("sin", "cos"))
+_CHANGES = ", ".join(f"greatest(tau - {FC.HISTORY} * {j} / {FC.CHANGE_POINTS + 1}, 0)" for j in range(1, FC.CHANGE_POINTS + 1))
+_P = FC.SIZE
+FORECAST = f"""
+WITH RECURSIVE h AS (SELECT event_type, hour, v, epoch(hour)::BIGINT AS e FROM ({_HOURLY})),
+t AS (SELECT *, (e - min(e) OVER w)::DOUBLE / nullif(max(e) OVER w - min(e) OVER w, 0) AS t0 FROM h WINDOW w AS (PARTITION BY event_type)),
+x AS (SELECT event_type, hour, v, [1.0::DOUBLE, tau, {_CHANGES}, {_WAVES}] AS x FROM (SELECT *, coalesce(t0, 0) AS tau FROM t)),
+cell AS (SELECT event_type, i, j, sum(x[i] * CASE WHEN j <= {_P} THEN x[j] ELSE v END) AS a FROM x, (SELECT unnest(range(1, {_P + 1})) AS i) ii, (SELECT unnest(range(1, {_P + 2})) AS j) jj GROUP BY ALL),
+pen AS (SELECT event_type, i, list(a + CASE WHEN i = j THEN ({FC.PENALTIES})[i] ELSE 0 END ORDER BY j) AS r FROM cell GROUP BY event_type, i),
+m AS (SELECT event_type, list(r ORDER BY i) AS m FROM pen GROUP BY event_type),
+g AS (SELECT event_type, 1 AS k, m FROM m UNION ALL
+  SELECT event_type, k + 1, list_transform(range(1, {_P + 1}), lambda i: CASE WHEN i = k THEN list_transform(m[k], lambda a: a / m[k][k])
+    ELSE list_transform(range(1, {_P + 2}), lambda j: m[i][j] - m[i][k] * m[k][j] / m[k][k]) END) FROM g WHERE k <= {_P}),
+c AS (SELECT event_type, list_transform(m, lambda r: r[{_P + 1}]) AS c FROM g WHERE k = {_P + 1}),
+f AS (SELECT x.event_type, hour, v, list_sum(list_transform(list_zip(x, c), lambda z: z[1] * z[2])) AS expected FROM x JOIN c USING (event_type)),
+s AS (SELECT event_type, CASE WHEN count(*) > {_P} THEN sqrt(sum((v - expected) * (v - expected)) / (count(*) - {_P})) END AS sigma FROM f GROUP BY 1)
+SELECT event_type, hour, expected, expected - {FC.WIDTH} * sigma AS lower, expected + {FC.WIDTH} * sigma AS upper,
+  CASE WHEN {FC.WIDTH} * sigma / 3 > 1e-9 THEN abs(v - expected) / ({FC.WIDTH} * sigma / 3) ELSE 0 END AS severity FROM f JOIN s USING (event_type)"""
+
+
+def _forecast(t):
+    h = _hourly(t).withColumn("e", F.unix_timestamp("hour"))
+    model = FC.fit(h, ["event_type"], "e", "v")
+    return FC.forecast(h, model, ["event_type"], "e").withColumn("severity", FC.severity(F.col("v")))
+
+
+@query(FORECAST, ("expected", "lower", "upper", "severity"))
+def seasonal_forecast(t):
+    """Each hour's value beside its forecast interval of 0.997, and by how many thirds of the half it is off."""
+    return _forecast(t).select("event_type", F.col("hour").cast("timestamp_ntz").alias("hour"), "expected", "lower", "upper", "severity")
+
+
+@query(f"SELECT event_type, hour, CASE WHEN round(severity, 6) > 4 THEN 'critical' ELSE 'warning' END AS severity, CASE WHEN round(severity, 6) > 4 THEN 'high' ELSE 'low' END AS urgency FROM ({FORECAST}) WHERE round(severity, 6) >= 2")
+def forecast_alerts(t):
+    """Hours that are off by two or more, with severity and urgency."""
+    off = F.round("severity", 6)
+    name, how = FC.alert_level(off)
+    return _forecast(t).filter(off >= 2).select("event_type", F.col("hour").cast("timestamp_ntz").alias("hour"), name.alias("severity"), how.alias("urgency"))
+
 
 _MULTI = f"""WITH s AS (SELECT *, round(severity, 6) AS sev FROM ({ANOMALY}))
 SELECT event_type, hour, sev, avg((sev >= 1)::INT) OVER (PARTITION BY event_type ORDER BY epoch(hour)::BIGINT RANGE BETWEEN 21600 PRECEDING AND CURRENT ROW) AS share FROM s"""

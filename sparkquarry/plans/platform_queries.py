@@ -11,6 +11,7 @@ from ..functions.hashing import anonymous_id
 from ..operators import access as AC
 from ..operators import audit as AU
 from ..operators import index as IX
+from ..operators import vector_index as VI
 from .registry import query
 
 CUR = "SELECT doc_id, sha256(text) AS hash, doc_id % 5 AS mtime FROM documents WHERE doc_id % 13 <> 0"
@@ -139,16 +140,17 @@ _COS = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[
 _TOP = f"SELECT a.vec_id AS query_id, b.vec_id AS match_id, round({_COS}, 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_COS}, 6) DESC, b.vec_id) <= 5"
 
 
-def _topk(t):
-    return _candidates(t, 5)
+def _vectors(t):
+    return VI.build(t.embeddings, "vec_id", "embedding")
 
 
 def _candidates(t, k):
     """Queries are each fiftieth vector; candidates share their namespace."""
-    q = t.embeddings.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"))
-    s = t.embeddings.join(q, "label").filter("vec_id <> query_id").select("query_id", F.col("vec_id").alias("match_id"), F.round(VX.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "match_id")
-    return s.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")
+    return VI.top_matches(_vectors(t), t.embeddings.filter("vec_id % 50 = 0"), "vec_id", k, ["label"]).drop("rank")
+
+
+def _topk(t):
+    return _candidates(t, 5)
 
 
 @query(_TOP)
@@ -156,6 +158,15 @@ def cosine_topk(t):
     return _topk(t)
 
 
+@query("SELECT true AS enough")
+def index_recall(t):
+    """Whether the nearest cells alone hold nine tenths of the true matches among all vectors."""
+    index, queries = _vectors(t), t.embeddings.filter("vec_id % 50 = 0")
+    true = VI.top_matches(index, queries, "vec_id", 10)
+    found = VI.top_matches(index, queries, "vec_id", 10, probes=VI.probes_for(index, "vec_id", 10), exact=False)
+    return VI.recall(found, true).select((F.col("recall") >= 0.9).alias("enough"))
+
+
 @query(f"SELECT avg(hit::INT) AS mean, avg(hit::INT) < 0.7 AS fails FROM (SELECT query_id, bool_or(match_id % 2 = 0) AS hit FROM ({_TOP}) GROUP BY 1)", ("mean",))
 def retrieval_hit_rate(t):
     hit = _topk(t).groupBy("query_id").agg(F.bool_or(F.col("match_id") % 2 == 0).alias("hit"))

@@ -8,6 +8,7 @@ from ..functions import vectors as VX
 from ..operators import dedup as D
 from ..operators import pii as P
 from ..operators import product as PR
+from ..operators import vector_index as VI
 from ..streaming import windows as ST
 from .registry import query
 
@@ -203,11 +204,8 @@ def greedy_dedup(t):
     ("similarity",),
 )
 def semantic_dedup(t):
-    """Vectors of one namespace with a dot product of 0.9 or more."""
-    e = t.embeddings
-    a = e.select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("x"))
-    b = e.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("y"))
-    return a.join(b, "label").filter("a < b").select("a", "b", VX.dot(F.col("x"), F.col("y")).alias("similarity")).filter("similarity >= 0.9")
+    """Vectors of one namespace with a cosine of 0.9 or more; the vectors have unit length."""
+    return VI.pairs_within(VI.build(t.embeddings, "vec_id", "embedding"), "vec_id", 0.9, ["label"])
 
 
 # streams: run to the end of the table and compared with SQL over it
