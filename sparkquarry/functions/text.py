@@ -17,7 +17,7 @@ def let(value: Column, body) -> Column:
 
 def words(text: Column) -> Column:
     """Lower-case words between white space; no empty ones."""
-    return F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(text), r"\s+"), "")
 
 
 def stripped(text: Column) -> Column:

@@ -1,57 +1,191 @@
-"""Duplicates among chunks by token sets: exact pairs, MinHash candidates, greedy resolution."""
+"""Duplicates among chunks by token sets: exact pairs, MinHash groups, greedy resolution.
+
+A token counts as its 64-bit hash.  Chunks with the same tokens are one set,
+known by the smallest key; pairs are sought among sets, and a chunk belongs
+to its set by :func:`memberships`, so a thousand copies make a thousand rows
+and not half a million pairs.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from ..sources.shared import shared_path
+
+#: A token is frequent if one set in so many has it; there are at most so many times the mean set's tokens of them.
+ONE_IN = 500
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: its lineage ends here."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
-def token_rows(chunks: DataFrame, key: str = "doc_id", text: str = "text", extra: Column | None = None) -> DataFrame:
-    """key, token: the distinct words of a chunk and, if given, one more token."""
-    w = F.array_distinct(words(F.col(text)))
-    return chunks.select(key, F.explode(w if extra is None else F.array_append(w, extra)).alias("token"))
+def token_sets(chunks: DataFrame, key: str = "doc_id", text: str = "text", extra: Column | None = None) -> DataFrame:
+    """key, tokens: the distinct words of a chunk and, if given, one more token, as sorted hashes; chunks without any have none."""
+    w = words(F.coalesce(F.col(text), F.lit("")))
+    w = w if extra is None else F.array_append(w, extra)
+    found = chunks.select(key, F.array_sort(F.array_distinct(F.transform(w, lambda x: F.xxhash64(x)))).alias("tokens"))
+    return found.filter(F.size("tokens") > 0)
 
 
-def with_totals(rows: DataFrame, group: str, totals: dict[str, tuple[Column, str]], spread: str, salts: int = 64) -> DataFrame:
-    """Totals of a group beside each of its rows: name: (partial aggregate, how the parts combine). Rows of a frequent group meet in no one task."""
-    df = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    sub = df.groupBy(group, "_salt").agg(*[c.alias(f"_{n}") for n, (c, _) in totals.items()])
-    all_ = sub.groupBy(group).agg(*[getattr(F, how)(f"_{n}").alias(n) for n, (_, how) in totals.items()], F.collect_list("_salt").alias("_salts"))
-    return df.join(all_.withColumn("_salt", F.explode("_salts")).drop("_salts"), [group, "_salt"]).drop("_salt")
+def totals_beside(rows: DataFrame, group: str, totals: dict[str, Column]) -> DataFrame:
+    """Totals of a group beside each of its rows. They are combined before the shuffle; a frequent group's rows meet one row, which skew handling can repeat."""
+    return rows.join(rows.groupBy(group).agg(*[c.alias(n) for n, c in totals.items()]), group)
 
 
-def similar_pairs(tokens: DataFrame, threshold: float, key: str = "doc_id") -> DataFrame:
-    """a, b, similarity of all pairs (a < b) with a Jaccard similarity of ``threshold`` or more.
+def memberships(sets: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, rep: the smallest key with the same tokens (by a digest of 128 bits)."""
+    digest = F.struct(F.xxhash64("tokens"), F.xxhash64(F.size("tokens"), F.reverse("tokens")))
+    return totals_beside(sets.select(key, digest.alias("_digest")), "_digest", {"rep": F.min(key)}).select(key, "rep")
 
-    Exact, by prefix filtering: tokens are ordered from rare to frequent, and
-    two sets that are similar enough share a token among their first
-    n - ceil(threshold n) + 1. Frequent tokens therefore make no pairs.
+
+def distinct_sets(sets: DataFrame, members: DataFrame, key: str = "doc_id") -> DataFrame:
+    """rep, n, t: each set once, its tokens from rare to frequent (n of them).
+
+    Any order would do for what follows, if it is the same for all sets; only
+    frequent tokens are looked up, the others come first, by hash.
     """
-    ranked = with_totals(tokens, "token", {"df": (F.count("*"), "sum")}, key)
-    n = ranked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
-    n = n.select(key, F.size("t").alias("n"), F.transform("t", lambda x: x["token"]).alias("t"))
-    head = n.select(key, "n", F.explode(F.slice("t", 1, F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1)).alias("token"))
-    a = head.select(F.col(key).alias("a"), F.col("n").alias("na"), "token")
-    b = head.select(F.col(key).alias("b"), F.col("n").alias("nb"), "token")
-    met = a.join(b, "token").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
-    sets = n.select(F.col(key).alias("a"), F.col("t").alias("ta"))
-    full = met.join(sets, "a").join(sets.select(F.col("a").alias("b"), F.col("ta").alias("tb")), "b")
+    first = sets.join(members.filter(F.col(key) == F.col("rep")).select(key), key).select(F.col(key).alias("rep"), "tokens")
+    least = max(2, sets.count() // ONE_IN)
+    # at most ONE_IN times the mean number of tokens: their counts add up to all tokens
+    frequent = {r["t"]: r["n"] for r in sets.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("n")).filter(F.col("n") >= least).collect()}
+    known = np.array(sorted(frequent), np.int64)
+    counts = np.array([frequent[t] for t in known.tolist()], np.int64)
+
+    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("tokens")
+            flat = lists.flatten().to_numpy()
+            n = lists.value_lengths().to_numpy().astype(np.int64)
+            df = np.zeros(len(flat), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                df = np.where(known[at] == flat, counts[at], 0)
+            order = np.lexsort((flat, df, np.repeat(np.arange(len(n)), n)))
+            ends = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(n, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(flat[order]))], ["rep", "n", "t"])
+
+    kind = dict(sets.dtypes)[key]
+    return stored(first.mapInArrow(ordered, f"rep {kind}, n long, t array<long>"), "sets")
+
+
+def _verified(met: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """a, b, similarity of candidate pairs (a, b) that are similar enough."""
+    own = sets.select(F.col("rep").alias("a"), F.col("t").alias("ta"))
+    full = met.join(own, "a").join(own.select(F.col("a").alias("b"), F.col("ta").alias("tb")), "b")
     both = F.size(F.array_intersect("ta", "tb"))
-    j = both / (F.size("ta") + F.size("tb") - both)
-    return full.select("a", "b", j.alias("similarity")).filter(F.col("similarity") >= threshold)
-
-
-def minhash_candidates(tokens: DataFrame, key: str = "doc_id", bands: int = 16, rows: int = 8) -> DataFrame:
-    """a, b: pairs that share a band of ``bands * rows`` minima. Minima are plain aggregates, so they combine before the shuffle."""
-    n = bands * rows
-    sig = tokens.groupBy(key).agg(*[F.min(F.xxhash64("token", F.lit(i))).alias(f"m{i}") for i in range(n)])
-    band = F.posexplode(F.array(*[F.xxhash64(*[f"m{i}" for i in range(b * rows, (b + 1) * rows)]) for b in range(bands)])).alias("band", "bucket")
-    x = sig.select(key, band)
-    a = x.select("band", "bucket", F.col(key).alias("a"))
-    b = x.select("band", "bucket", F.col(key).alias("b"))
-    return a.join(b, ["band", "bucket"]).filter("a < b").select("a", "b").distinct()
+    return full.select("a", "b", (both / (F.size("ta") + F.size("tb") - both)).alias("similarity")).filter(F.col("similarity") >= threshold)
+
+
+def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
+    """a, b, similarity of all pairs of ``sets`` (rep, n, t; a < b) with a Jaccard similarity of ``threshold`` or more.
+
+    Exact, by prefix filtering: two sets that are similar enough share a token
+    among their first n - ceil(threshold n) + 1 from rare to frequent, so
+    frequent tokens make few pairs.
+    """
+    head = sets.select("rep", "n", F.explode(F.slice("t", 1, (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9)).cast("int") + 1)).alias("token"))
+    a = head.select(F.col("rep").alias("a"), F.col("n").alias("na"), "token")
+    b = head.select(F.col("rep").alias("b"), F.col("n").alias("nb"), "token")
+    met = a.join(b, "token").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
+    return _verified(met, sets, threshold)
+
+
+def expanded(pairs: DataFrame, members: DataFrame, key: str = "doc_id") -> DataFrame:
+    """a, b, similarity of all pairs of chunks, from those of sets: as many rows as there are such pairs."""
+    of = members.select(F.col("rep"), F.col(key).alias("k"))
+    across = pairs.join(of.select(F.col("rep").alias("a"), F.col("k").alias("ka")), "a").join(of.select(F.col("rep").alias("b"), F.col("k").alias("kb")), "b")
+    across = across.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "similarity")
+    inside = of.select("rep", F.col("k").alias("a")).join(of.select("rep", F.col("k").alias("b")), "rep").filter("a < b")
+    return across.unionByName(inside.select("a", "b", F.lit(1.0).alias("similarity")))
+
+
+def similar_pairs(sets: DataFrame, threshold: float, key: str = "doc_id") -> DataFrame:
+    """a, b, similarity of all pairs of chunks (a < b) with a Jaccard similarity of ``threshold`` or more."""
+    sets = stored(sets, "tokens")
+    members = stored(memberships(sets, key), "members")
+    return expanded(similar_sets(distinct_sets(sets, members, key), threshold), members, key)
+
+
+def bands_of(sets: DataFrame, bands: int = 32, rows: int = 4, seed: int = 1) -> DataFrame:
+    """rep, band, bucket: ``bands * rows`` minima of permuted tokens, hashed by bands."""
+    r = np.random.default_rng(seed)
+    mult, add = (r.integers(0, 2**64, bands * rows, np.uint64) | np.uint64(odd) for odd in (1, 0))
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("t")
+            x = lists.flatten().to_numpy().view(np.uint64)
+            n = lists.value_lengths().to_numpy().astype(np.int64)  # none is empty
+            starts, out = np.cumsum(n) - n, []
+            with np.errstate(over="ignore"):
+                for b in range(bands):
+                    h = np.full(len(n), np.uint64(b), np.uint64)
+                    for i in range(b * rows, (b + 1) * rows):
+                        y = x * mult[i] + add[i]
+                        y ^= y >> np.uint64(29)
+                        h = (h ^ np.minimum.reduceat(y * mult[i], starts)) * np.uint64(0x9E3779B97F4A7C15) if len(n) else h
+                    out.append(h)
+            rep = batch.column("rep").take(pa.array(np.tile(np.arange(len(n)), bands)))
+            yield pa.RecordBatch.from_arrays([rep, pa.array(np.repeat(np.arange(bands), len(n)), pa.int32()), pa.array(np.concatenate(out).view(np.int64))], ["rep", "band", "bucket"])
+
+    return sets.select("rep", "t").mapInArrow(signed, f"rep {dict(sets.dtypes)['rep']}, band int, bucket long")
+
+
+def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """node, root: the smallest node that is reachable, for nodes of ``edges`` (a, b).
+
+    A node's label is lowered to its neighbours' smallest and then to its
+    label's label, until none falls; each round is a stored table.
+    """
+    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
+    for _ in range(most_rounds):
+        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        lower = labels.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
+        up = labels.select(F.col("node").alias("root"), F.col("root").alias("above"))
+        now = stored(lower.join(up, "root", "left").select("node", "was", F.least("root", F.coalesce("above", "root")).alias("root")), "labels")
+        labels = now.select("node", "root")
+        if now.filter(F.col("was") != F.col("root")).isEmpty():
+            return labels
+    raise RuntimeError("components did not settle")
+
+
+def similar_groups(sets: DataFrame, threshold: float, key: str = "doc_id", bands: int = 32, rows: int = 4) -> DataFrame:
+    """key, group: the smallest key that a chunk is linked to by similar sets, itself included, by MinHash.
+
+    A bucket's sets are first compared with its smallest one.  What is linked
+    by then needs no more comparison; in buckets that still hold several
+    groups, sets outside the largest are compared with those of other groups.
+    So no link among sets that share a bucket is lost, and a bucket of near
+    copies makes as many comparisons as it has sets.  Two sets of similarity
+    0.85 share no bucket with a probability of 6e-11.
+    """
+    sets = stored(sets, "tokens")
+    members = stored(memberships(sets, key), "members")
+    each = distinct_sets(sets, members, key)
+    found = bands_of(each, bands, rows)
+    some = found.groupBy("band", "bucket").agg(F.min("rep").alias("first"), F.count("*").alias("size")).filter("size > 1")
+    buckets = stored(found.join(some, ["band", "bucket"]), "buckets")
+    links = stored(_verified(buckets.filter("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct(), each, threshold).select("a", "b"), "links")
+    grouped = buckets.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    parts = grouped.groupBy("band", "bucket", "root").agg(F.count("*").alias("n"))
+    main = parts.groupBy("band", "bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("groups")).filter("groups > 1")
+    split = stored(grouped.join(main, ["band", "bucket"]).select("band", "bucket", "rep", "root", "main"), "split")
+    asked = split.filter("root <> main").select("band", "bucket", F.col("rep").alias("x"), F.col("root").alias("rx"))
+    met = asked.join(split.select("band", "bucket", F.col("rep").alias("y"), F.col("root").alias("ry")), ["band", "bucket"]).filter("rx <> ry")
+    more = _verified(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), each, threshold).select("a", "b")
+    root = components(links.unionByName(more)).withColumnRenamed("node", "rep")
+    return members.join(root, "rep", "left").select(key, F.coalesce("root", "rep").alias("group"))
 
 
 def greedy(keys: DataFrame, pairs: DataFrame, key: str = "doc_id", most_rounds: int = 50) -> DataFrame:

@@ -193,7 +193,7 @@ def test_similar_pairs_and_greedy(spark):
     ensure_checkpoints(spark)
     texts = ["a b c d e f g h i j", "a b c d e f g h i j k", "a b c d e f g h i k l m", "", "z", None, "a b c d e f g h i j"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
-    pairs = D.similar_pairs(D.token_rows(df), 0.7)
+    pairs = D.similar_pairs(D.token_sets(df), 0.7)
     sets = [set((t or "").split()) for t in texts]
     want = {(i, j) for i in range(7) for j in range(i + 1, 7) if sets[i] and sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.7}
     assert {(r["a"], r["b"]) for r in pairs.collect()} == want
