@@ -9,6 +9,7 @@ extra input columns can't clash with the operators' own names.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
@@ -98,6 +99,16 @@ def discard(*steps: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished rounds.
+
+    It does so when the driver's JVM collects garbage, of its own accord only
+    every half hour; till then a loop's rounds would all stay on the executors' disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def group_totals(
     df: DataFrame,
     keys: Sequence[str],
@@ -174,6 +185,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = star(large).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x"))
         e = written(small.select("x.u", "x.v").filter("u <> v").distinct(), "edges")
         discard(before)
+        release(e.sparkSession)
     else:
         raise RuntimeError("components did not settle")
     found = e.select(F.col("u").alias("node"), F.col("v").alias("root"))

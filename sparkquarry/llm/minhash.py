@@ -42,12 +42,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, discard, group_totals, id_out, keyed, spread_join, written
+from .common import components, discard, group_totals, id_out, keyed, release, spread_join, written
 
 #: A pair at similarity 0.85 shares no band with probability (1 - 0.85^4)^24 = 2e-8, at 0.8 with 4e-6.
 BANDS, ROWS = 24, 4
 #: Members of a bucket that are compared with each other.
 FEW = 64
+#: Rounds halve what is unresolved and more; so many are none that end.
+MOST_ROUNDS = 200
 _R = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xD6E8FEB86659FD93)
 
@@ -388,7 +390,9 @@ def near_groups(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, d
 
     # a pair is settled in the group of the home that both have; members of a first round's home are on its side from then on
     label = F.when(F.col("home") == F.col("c"), F.col("x")).otherwise(F.col("home"))
-    while not pairs.isEmpty():
+    for _ in range(MOST_ROUNDS):
+        if pairs.isEmpty():
+            break
         tests = tested(pairs.select(F.xxhash64("g", "c").alias("g"), "c", "x", F.coalesce("side", label).alias("side"), label.alias("label")))
         discard(pairs)
         settle()
@@ -400,6 +404,9 @@ def near_groups(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, d
         discard(close)
         pairs = around_centres(left.filter(F.col("members") > FEW).select("g", "bucket", "x", "side", "apart", "root"), rooted=True)
         discard(left)
+        release(spark)
+    else:
+        raise RuntimeError("near duplicates did not settle")
     settle()
     discard(pairs, sets)
     least = full.groupBy("node").agg(F.min("rid").alias("least"))
