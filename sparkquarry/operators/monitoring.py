@@ -28,6 +28,31 @@ def exposition(samples: DataFrame, metric: str, labels: Sequence[str], value: st
     return samples.select(F.concat(F.lit(metric), label_text({c: F.col(c) for c in labels}), F.lit(" "), F.col(value).cast("string")).alias("line"))
 
 
+def histogram_exposition(samples: DataFrame, metric: str, help_text: str, labels: Sequence[str], bounds: Sequence[float], value: str = "value") -> DataFrame:
+    """position, line: a histogram's lines as a scraper reads them, ordered by ``position``.
+
+    HELP and TYPE come first, then for each series (in the order of its labels)
+    a line for every bound with the samples at or below it, one for +Inf, the
+    sum to six places and the count.  Null values are no samples.
+    """
+    known = samples.filter(F.col(value).isNotNull())
+    at = [F.count_if(F.col(value) <= b).alias(f"_b{i}") for i, b in enumerate(bounds)]
+    # decimals add up to the same whatever their order
+    series = known.groupBy(*labels).agg(*at, F.sum(F.col(value).cast("decimal(38,6)")).cast("decimal(38,6)").alias("_sum"), F.count("*").alias("_n"))
+    own = {c: F.col(c) for c in labels}
+
+    def line(suffix: str, number: Column, le: str | None = None) -> Column:
+        said = label_text(own if le is None else own | {"le": F.lit(le)})
+        return F.concat(F.lit(metric + suffix), said, F.lit(" "), number.cast("string"))
+
+    buckets = [line("_bucket", F.col(f"_b{i}"), f"{b:g}") for i, b in enumerate(bounds)]
+    lines = series.select(*labels, F.posexplode(F.array(*buckets, line("_bucket", F.col("_n"), "+Inf"), line("_sum", F.col("_sum")), line("_count", F.col("_n")))).alias("_k", "line"))
+    # a row for each series and bound: the size of a scrape
+    body = lines.withColumn("position", F.row_number().over(Window.orderBy(*labels, "_k")) + 2).select("position", "line")
+    head = samples.sparkSession.createDataFrame([(1, f"# HELP {metric} {help_text}"), (2, f"# TYPE {metric} histogram")], "position int, line string")
+    return head.unionByName(body)
+
+
 def buffered_means(points: DataFrame, keys: Sequence[str], time: str = "ts", value: str = "value", seconds: int = 60) -> DataFrame:
     """What a buffer that is emptied every ``seconds`` sends: the mean of each full or partial interval."""
     start = F.window(F.col(time).cast("timestamp"), f"{seconds} seconds")["start"].cast("timestamp_ntz")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import rounding as R
 from ..functions import text as T
 from ..functions import vectors as VX
 from ..operators import access as AC
@@ -26,6 +27,22 @@ def metrics_exposition(t):
     return M.exposition(n, "events_total", ["outcome", "event_type"])
 
 
+_HIST = (1.0, 5.0, 10.0, 25.0, 50.0)
+_HIST_LINES = " UNION ALL ".join(
+    [f"SELECT event_type, {i} AS k, concat('event_value_bucket{{event_type=\"', event_type, '\",le=\"{b:g}\"}} ', count(*) FILTER (value <= {b})) AS line FROM e GROUP BY event_type" for i, b in enumerate(_HIST)]
+    + [
+        f"SELECT event_type, {len(_HIST)}, concat('event_value_bucket{{event_type=\"', event_type, '\",le=\"+Inf\"}} ', count(*)) FROM e GROUP BY event_type",
+        f"SELECT event_type, {len(_HIST) + 1}, concat('event_value_sum{{event_type=\"', event_type, '\"}} ', sum(value::DECIMAL(38, 6))) FROM e GROUP BY event_type",
+        f"SELECT event_type, {len(_HIST) + 2}, concat('event_value_count{{event_type=\"', event_type, '\"}} ', count(*)) FROM e GROUP BY event_type",
+    ]
+)
+
+
+@query(f"WITH e AS (SELECT * FROM events WHERE value IS NOT NULL), l AS ({_HIST_LINES}) SELECT 1 AS position, '# HELP event_value Values of events' AS line UNION ALL SELECT 2, '# TYPE event_value histogram' UNION ALL SELECT row_number() OVER (ORDER BY event_type, k) + 2, line FROM l")
+def histogram_exposition(t):
+    return M.histogram_exposition(t.events, "event_value", "Values of events", ["event_type"], _HIST)
+
+
 @query("SELECT event_type, to_timestamp(floor(epoch(ts) / 60) * 60)::TIMESTAMP AS flushed, avg(value) AS mean, count(value) AS n FROM events GROUP BY 1, 2", ("mean",))
 def buffered_means(t):
     return M.buffered_means(t.events, ["event_type"])
@@ -319,5 +336,32 @@ def _registered(t):
 
 @query("SELECT lang, count(*) AS n, sum((length(text) > 1000)::INT)::BIGINT AS long FROM documents GROUP BY 1")
 def sql_functions(t):
-    """Functions registered for SQL: one of columns, one over batches."""
+    """An expression registered for SQL."""
     return _registered(t).sql("SELECT lang, count(*) AS n, sum(CAST(n_characters(text) > 1000 AS INT)) AS long FROM documents_for_functions GROUP BY lang")
+
+
+@query("SELECT event_type, fsum(value) AS total FROM events GROUP BY 1", ("total",))
+def sql_aggregate(t):
+    """A typed aggregate registered for SQL: partial sums of 64 parts of a group, then their exact total."""
+    _registered(t)
+    t.events.createOrReplaceTempView("events_for_functions")
+    return t.spark.sql(
+        """SELECT event_type, exact_total(collect_list(part)) AS total FROM (
+          SELECT event_type, exact_partial(value) AS part FROM events_for_functions GROUP BY event_type, pmod(event_id, 64)) GROUP BY event_type"""
+    )
+
+
+@query("SELECT doc_id, count(*) AS n_parts, max(length(p)) AS longest FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), ',')) AS p FROM documents) GROUP BY doc_id")
+def sql_table_function(t):
+    """A table function registered for SQL, joined laterally."""
+    return _registered(t).sql("SELECT doc_id, count(*) AS n_parts, max(length(part)) AS longest FROM documents_for_functions, LATERAL parts(text) GROUP BY doc_id")
+
+
+_ROUNDED = "floor(value * 8) / 8"
+
+
+@query(f"SELECT event_id, printf('%.2f', {_ROUNDED})::DOUBLE AS of_eighths, printf('%.1f', value / 3)::DOUBLE AS one_place, printf('%.2f', value + 0.005)::DOUBLE AS near_ties, printf('%.0f', floor(value) + 0.5)::DOUBLE AS halves FROM events")
+def python_rounding(t):
+    """Doubles rounded by their exact value, ties to even."""
+    v = F.col("value")
+    return t.events.select("event_id", R.round_half_even(F.floor(v * 8) / 8).alias("of_eighths"), R.round_half_even(v / 3, 1).alias("one_place"), R.round_half_even(v + 0.005).alias("near_ties"), R.round_half_even(F.floor(v) + 0.5, 0).alias("halves"))
