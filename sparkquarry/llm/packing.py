@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -65,6 +66,8 @@ class TokenizerParts:
         parts = [tokenizer_json, tuple(t["content"] for t in added), "<u2" if most < 1 << 16 else "<u4"]
         if not model.get("end_of_word_suffix"):
             return TokenizerParts(*parts)
+        if "ByteLevel" not in json.dumps(found["pre_tokenizer"]):
+            return TokenizerParts(*parts)
         # a word of letters is one token to the splitter, and the suffix of its last piece tells where it ends
         ends = np.zeros(most + 1, bool)
         ends[[i for token, i in model["vocab"].items() if token.endswith(model["end_of_word_suffix"])]] = True
@@ -72,12 +75,26 @@ class TokenizerParts:
         return TokenizerParts(*parts, bare, '"Lowercase"' in json.dumps(found["normalizer"]), ends)
 
 
+#: Letters that are composed already, have one lower-case letter below U+0180, and no other form: Latin, without the dotted capital I.
+LATIN = re.compile("[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+
+
+def byte_letters() -> np.ndarray:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones for themselves, the others from U+0100 on; a space stays."""
+    own = np.arange(256, dtype="<u2")
+    others = np.array([b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or 174 <= b)])
+    own[others] = 256 + np.arange(len(others))
+    own[32] = 32
+    return own
+
+
 class WordTokens:
     """Token ids of many texts, by the tokenizers library, each distinct word encoded once.
 
-    Fits tokenizers that split at white space and drop it, and between an
-    ASCII letter and an ASCII sign or digit behind it, and keep letters
-    together.  Texts that hold a special token are encoded whole.
+    Fits tokenizers that split at white space and drop it, and between a
+    Latin letter and an ASCII sign or digit behind it, keep letters
+    together and normalise at most to composed lower case.  Texts that hold a
+    special token are encoded whole.
     """
 
     def __init__(self, parts: TokenizerParts, last: int | None) -> None:
@@ -93,6 +110,11 @@ class WordTokens:
         self.letter[65:91] = self.letter[97:123] = True
         self.sign = ~self.letter & ~self.space
         self.sign[128:] = False
+        # the second byte of U+00C0 to U+00FF, the signs among them left out
+        self.second = np.zeros(256, bool)
+        self.second[128:192] = True
+        self.second[[0x97, 0xB7]] = False
+        self.bytes = byte_letters()
         self._forget()
 
     def _forget(self) -> None:
@@ -101,12 +123,15 @@ class WordTokens:
 
     def _learn(self, words: list[bytes]) -> None:
         """Ids of new words, numbered as they come."""
-        plain = [w for w in words if w.isalpha()] if self.bare else []  # ASCII letters: bytes know no others
-        others = [w for w in words if not w.isalpha()] if self.bare else words
+        plain, others = [], []
+        for w in words:
+            (plain if self.bare and (w.isalpha() or LATIN.fullmatch(w.decode())) else others).append(w)
         flat, sizes = [self.flat], [np.diff(self.starts)]
         for i in range(0, len(plain), WORDS_AT_ONCE):
-            text = b" ".join(plain[i : i + WORDS_AT_ONCE])
-            ids = np.array(self.bare.encode((text.lower() if self.parts.lower else text).decode(), add_special_tokens=False).ids, np.int32)
+            text = b" ".join(plain[i : i + WORDS_AT_ONCE]).decode()
+            raw = np.frombuffer((text.lower() if self.parts.lower else text).encode(), np.uint8)
+            text = self.bytes[raw].tobytes().decode("utf-16-le")
+            ids = np.array(self.bare.encode(text, add_special_tokens=False).ids, np.int32)
             flat.append(ids)
             sizes.append(np.diff(np.flatnonzero(self.parts.ends[ids]), prepend=-1))
         for i in range(0, len(others), WORDS_AT_ONCE):
@@ -126,7 +151,9 @@ class WordTokens:
         cut = np.zeros(len(data) + 1, bool)
         cut[ends] = True
         begins = inside.copy()
-        begins[1:] &= ~inside[:-1] | cut[1:-1] | (self.sign[data[1:]] & self.letter[data[:-1]])
+        letter = self.letter[data]  # the last byte of a letter
+        letter[1:] |= self.second[data[1:]] & (data[:-1] == 0xC3)
+        begins[1:] &= ~inside[:-1] | cut[1:-1] | (self.sign[data[1:]] & letter[:-1])
         place = np.flatnonzero(begins[inside])
         counts = np.diff(np.searchsorted(np.flatnonzero(begins), np.concatenate([[0], ends])))
         offsets = np.concatenate([place, [int(inside.sum())]]).astype(np.int64)

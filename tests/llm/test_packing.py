@@ -29,6 +29,14 @@ def test_ids():
         assert [x.tolist() for x in tokens(pa.array(texts, pa.string()))] == [library(t) for t in texts]
 
 
+def test_ids_of_every_latin_letter():
+    """Each letter of the range, in both cases and beside signs, as the library has it."""
+    words = [chr(c) for c in range(0x20, 0x250)]
+    texts = [" ".join(f + w + e for w in words) for f in ("", "a", "é", ",", "'", "1") for e in ("", "S", "ß,", ".x", "'s", "2")]
+    tokens = packing.WordTokens(packing.TokenizerParts.of(JSON, 2), 2)
+    assert [x.tolist() for x in tokens(pa.array(texts))] == [library(t) for t in texts]
+
+
 def test_ids_of_a_whole_table(spark):
     texts = [r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
     assert [x.tolist() for x in packing.WordTokens(packing.TokenizerParts.of(JSON, 2), 2)(pa.array(texts))] == [library(t) for t in texts]
