@@ -421,7 +421,9 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = K, id_col: str
     found = texts.mapInArrow(_anchor_rows(size, gram), "rid long, h long, anchor long")
     again = group_totals(found, ["anchor"], {"_n": F.count("*")}, {"n": F.sum("_n")}, F.col("rid"), keep=F.col("n") > 1)
     known = again.groupBy("rid", "h").agg(F.collect_set(F.struct("anchor", "n")).alias("known"))
-    runs = texts.hint("shuffle_hash").join(known.hint("shuffle_hash"), ["rid", "h"]).mapInArrow(_run_rows(size, gram), _RUN)
+    # by sorting, so that a task that is run again meets its rows in the same order: the shard of a hot
+    # anchor's places follows from the batch they came in
+    runs = texts.hint("merge").join(known.hint("merge"), ["rid", "h"]).mapInArrow(_run_rows(size, gram), _RUN)
     subs = F.ceil(F.col("n") / LIMIT).cast("int")
     dealt = runs.withColumn("subs", subs).withColumn("sub", F.pmod(F.xxhash64("win", F.get("occ", F.lit(0))["rid"]), F.col("subs")).cast("int"))
     shards = dealt.repartition("anchor", "sub").sortWithinPartitions("anchor", "sub", "win")
