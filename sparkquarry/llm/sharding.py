@@ -46,7 +46,7 @@ def shard_rows(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_
     """doc_id, size, text_crc32, law, shard, slot, grown_shard; one row per input row.
 
     ``slot`` numbers a shard's rows from 0 without gaps: a shard is cut into
-    cells by a hash of the key, cells get offsets from their counts, and rows
+    cells by a hash of key, checksum and size (a repeated key's rows are thus dealt out), cells get offsets from their counts, and rows
     are numbered inside their cell, so no task sees a whole shard.  The cells
     number as the rows do.
 
@@ -61,7 +61,7 @@ def shard_rows(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_
     )
     # ids alone: the count of rows, of a columnar file's footer
     cells = max(8, -(-docs.select(col(docs, id_col)).count() // (n_shards * ROWS_PER_CELL)))
-    placed = base.withColumns({"shard": jump_shard(F.col("rid"), n_shards), "grown_shard": jump_shard(F.col("rid"), n_shards + 1), "cell": F.pmod(F.xxhash64("rid"), F.lit(cells))})
+    placed = base.withColumns({"shard": jump_shard(F.col("rid"), n_shards), "grown_shard": jump_shard(F.col("rid"), n_shards + 1), "cell": F.pmod(F.xxhash64("rid", "text_crc32", "size"), F.lit(cells))})
     per_cell = placed.groupBy("shard", "cell").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_cell.select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
