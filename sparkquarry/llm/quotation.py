@@ -112,8 +112,9 @@ def tree_places(turns: DataFrame) -> DataFrame:
     steps = written(steps.withColumn("root", F.when(F.col("to").isNull(), F.col("at.turn"))), "tour")
     while not steps.filter("to is not null").isEmpty():
         ahead = steps.select("conv", F.col("at").alias("to"), F.col("to").alias("_to"), F.col("w").alias("_w"), F.col("root").alias("_root"))
-        joined = steps.join(ahead, ["conv", "to"], "left")
-        before, steps = steps, written(joined.select("conv", "at", F.col("_to").alias("to"), (F.col("w") + F.coalesce("_w", F.lit(0))).alias("w"), F.coalesce("root", "_root").alias("root")), "tour")
+        # finished steps join nothing: with their null key a conversation's would all meet in one task
+        joined = steps.filter("to is not null").join(ahead, ["conv", "to"], "left").select("conv", "at", F.col("_to").alias("to"), (F.col("w") + F.coalesce("_w", F.lit(0))).alias("w"), F.coalesce("root", "_root").alias("root"))
+        before, steps = steps, written(joined.unionByName(steps.filter("to is null").select(*joined.columns)), "tour")
         discard(before)
     return steps.filter("not at.leaves").select("conv", "at.turn", "root", F.col("w").alias("behind"))
 
