@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, id_out, keyed, written
+from .common import col, id_out, keyed, spread_join, written
 
 #: Fixed by the contract: a word is letters, digits and everything beyond ASCII; this is what lies between words, in lower case.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -43,6 +43,13 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def beside(rows: DataFrame, table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows`` with the columns of ``table``, a written one, by ``term``: broadcast up to ``limit`` rows, else with the rows of a frequent word dealt to several tasks."""
+    if table.limit(limit + 1).count() <= limit:
+        return rows.join(F.broadcast(table), "term")
+    return spread_join(rows, "term", table, F.col("rid"))
+
+
 def windows(benchmark: DataFrame, window: int = 10, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """phrase, terms, item_ids of each distinct window; a null id counts as the text "null"."""
     items = benchmark.select(
@@ -62,7 +69,7 @@ def token_rows(docs: DataFrame) -> DataFrame:
 def index_terms(docs: DataFrame, win: DataFrame) -> DataFrame:
     """wid, phrase, n, k0, t0, k1, t1: windows whose words all occur, with their two rarest words."""
     vocabulary = written(win.select(F.explode("terms").alias("term")).distinct(), "vocabulary")
-    counts = token_rows(docs).select("term").join(small(vocabulary), "term").groupBy("term").agg(F.count("*").alias("cf"))
+    counts = beside(token_rows(docs).select("term", "rid"), vocabulary).groupBy("term").agg(F.count("*").alias("cf"))
     terms = win.select("phrase", F.size("terms").alias("n"), F.posexplode("terms").alias("k", "term"))
     ranked = terms.join(counts, "term", "left").groupBy("phrase", "n").agg(F.array_sort(F.collect_list(F.struct("cf", "k", "term"))).alias("r"))
     ranked = ranked.filter(~F.exists("r", lambda x: x["cf"].isNull()))
@@ -73,12 +80,12 @@ def index_terms(docs: DataFrame, win: DataFrame) -> DataFrame:
 def postings(docs: DataFrame, ranked: DataFrame) -> DataFrame:
     """The index: (term, rid, h, pos) for the words by which windows are looked up."""
     terms = written(ranked.select(F.explode(F.array("t0", "t1")).alias("term")).distinct(), "terms")
-    return token_rows(docs).join(small(terms), "term").select("term", "rid", "h", "pos")
+    return beside(token_rows(docs), terms).select("term", "rid", "h", "pos")
 
 
 def candidates(index: DataFrame, ranked: DataFrame, slop: int = 0) -> DataFrame:
     """rid, h, start, wid, phrase, n where the two rarest words lie at their offsets, or in order with ``slop`` words more between them."""
-    found = index.join(small(ranked), index["term"] == ranked["t0"]).select("rid", "h", (F.col("pos") - F.col("k0")).alias("start"), "wid", "phrase", "n", "k0", "k1", "t1")
+    found = beside(index, ranked.withColumnRenamed("t0", "term")).select("rid", "h", (F.col("pos") - F.col("k0")).alias("start"), "wid", "phrase", "n", "k0", "k1", "t1")
     if not slop:
         found = found.filter("start >= 0")
     at = F.col("start") + F.col("k1")
@@ -107,40 +114,58 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int = 2, wind
     """
     texts = keyed_texts(docs, id_col, text_col)
     ranked = written(index_terms(texts, windows(benchmark, window, item_col, item_text)), "ranked")
-    found = candidates(written(postings(texts, ranked), "postings"), ranked, slop).groupBy("rid", "h").agg(F.collect_set(F.struct("start", "phrase")).alias("found"))
-    both = texts.hint("shuffle_hash").join(found.hint("shuffle_hash"), ["rid", "h"]).select("rid", words(F.col("text")).alias("w"), F.explode("found").alias("x"))
+    found = _starts(candidates(written(postings(texts, ranked), "postings"), ranked, slop))
+    both = texts.hint("shuffle_hash").join(found.hint("shuffle_hash"), ["rid", "h"]).select("rid", words(F.col("text")).alias("w"), "found")
+    return both.select("rid", F.explode(_near("w", slop)).alias("x")).select(id_out().alias("doc_id"), "x.start", "x.phrase").distinct()
+
+
+def _starts(found: DataFrame) -> DataFrame:
+    """rid, h, found: the distinct candidates (start, phrase) of each document."""
+    return found.groupBy("rid", "h").agg(F.collect_set(F.struct("start", "phrase")).alias("found"))
+
+
+def _near(w: str, slop: int) -> Column:
+    """The places (start, phrase) of candidates ``found`` at which a window's words stand in order; a document's words are looked at where they are, for all its candidates."""
     # up to slop other words may stand before the rarest word
-    first = both.select("rid", "w", F.split("x.phrase", " ").alias("terms"), "x.phrase", F.explode(F.sequence(F.greatest(F.col("x.start") - slop, F.lit(0)), F.greatest(F.col("x.start"), F.lit(0)))).alias("start"))
-    return first.filter(_in_order(F.col("w"), F.col("start"), F.col("terms"), slop)).select(id_out().alias("doc_id"), "start", "phrase").distinct()
+    starts = lambda x: F.sequence(F.greatest(x["start"] - slop, F.lit(0)), F.greatest(x["start"], F.lit(0)))
+    tried = F.array_distinct(F.flatten(F.transform("found", lambda x: F.transform(starts(x), lambda s: F.struct(s.alias("start"), x["phrase"].alias("phrase"))))))
+    return F.filter(tried, lambda x: _in_order(F.col(w), x["start"], F.split(x["phrase"], " "), slop))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated; one row per input row.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", slop: int = 2) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near; one row per input row.
 
-    Null and empty texts have no words and hit nothing; items without words
+    ``n_near`` counts the distinct windows whose words all stand in the text
+    in order, with ``slop`` other words between them at most; exact occurrences
+    are among them, and it decides nothing.  Null and empty texts have no words and hit nothing; items without words
     have no window.  Repeated rows each get their result; a null id comes out
     null.  Empty tables give no rows, or no hits.
     """
-    found = hit_documents(docs, benchmark, window, id_col, text_col, item_col, item_text)
-    return found.select(id_out().alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    found = hit_documents(docs, benchmark, window, id_col, text_col, item_col, item_text, slop)
+    return found.select(id_out().alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near")
 
 
-def hit_documents(docs: DataFrame, benchmark: DataFrame, window: int, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """rid, h and what :func:`decontaminate` returns."""
+def hit_documents(docs: DataFrame, benchmark: DataFrame, window: int, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", slop: int | None = None) -> DataFrame:
+    """rid, h and what :func:`decontaminate` returns; ``n_near`` only if there is a ``slop``."""
     texts = keyed_texts(docs, id_col, text_col)
     win = written(windows(benchmark, window, item_col, item_text), "windows")
     ranked = written(index_terms(texts, win), "ranked")
-    found = candidates(written(postings(texts, ranked), "postings"), ranked)
-    starts = written(found.groupBy("rid", "h").agg(F.collect_set(F.struct("start", "wid", "phrase", "n")).alias("found")), "candidates")
-    compared = texts.hint("shuffle_hash").join(starts.hint("shuffle_hash"), ["rid", "h"], "left").select("rid", "h", words(F.col("text")).alias("w"), "found")
-    true = F.filter(F.coalesce("found", F.array()), lambda x: F.array_join(F.slice("w", x["start"] + 1, x["n"]), " ") == x["phrase"])
-    hits = compared.select("rid", "h", F.size("w").cast("long").alias("n_words"), true.alias("hits"))
+    index = written(postings(texts, ranked), "postings")
+    found = candidates(index, ranked)
+    starts = found.groupBy("rid", "h").agg(F.collect_set(F.struct("start", "wid", "phrase", "n")).alias("exact"))
+    if slop is not None:
+        starts = starts.join(_starts(candidates(index, ranked, slop)), ["rid", "h"], "full")
+    starts = written(starts, "candidates")
+    near = [] if slop is None else [F.size(F.array_distinct(F.transform(F.coalesce(_near("w", slop), F.array()), lambda x: x["phrase"]))).cast("long").alias("n_near")]
+    compared = texts.hint("shuffle_hash").join(starts.hint("shuffle_hash"), ["rid", "h"], "left").select("rid", "h", words(F.col("text")).alias("w"), *starts.columns[2:])
+    true = F.filter(F.coalesce("exact", F.array()), lambda x: F.array_join(F.slice("w", x["start"] + 1, x["n"]), " ") == x["phrase"])
+    hits = compared.select("rid", "h", F.size("w").cast("long").alias("n_words"), true.alias("hits"), *near)
     covered = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["start"], x["start"] + x["n"] - 1)))))
-    hits = written(hits.select("rid", "h", "n_words", F.when(F.size("hits") == 0, 0).otherwise(covered).cast("long").alias("n_hit"), F.array_distinct(F.transform("hits", lambda x: x["wid"])).alias("wids")), "hits")
+    hits = written(hits.select("rid", "h", "n_words", F.when(F.size("hits") == 0, 0).otherwise(covered).cast("long").alias("n_hit"), F.array_distinct(F.transform("hits", lambda x: x["wid"])).alias("wids"), *(["n_near"] if near else [])), "hits")
     items = win.select(F.xxhash64("phrase").alias("wid"), F.explode("item_ids").alias("item_id"))
     per_doc = hits.select("rid", "h", F.explode("wids").alias("wid")).join(items, "wid").groupBy("rid", "h").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
     out = hits.join(per_doc, ["rid", "h"], "left").withColumn("item_ids", F.coalesce("item_ids", F.array().cast("array<string>")))
     return out.select(
         "rid", "h", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
-        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), *(["n_near"] if near else []),
     )

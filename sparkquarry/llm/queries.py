@@ -114,7 +114,7 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
   sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
     "op10_decontaminate": f"""
-WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
 win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i+9], ' ') AS p
   FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
@@ -122,10 +122,15 @@ loc AS (SELECT DISTINCT d.doc_id, x.i, x.n, array_to_string(w[x.i:x.i + x.n - 1]
   FROM d, LATERAL (SELECT i, n FROM (SELECT unnest(range(1, len(w) + 1)) AS i), (SELECT DISTINCT n FROM win) WHERE i + n - 1 <= len(w)) x),
 hit AS (SELECT loc.doc_id, loc.i, loc.n, win.item_id FROM loc JOIN win ON loc.p = win.p AND loc.n = win.n),
 pos AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM hit) GROUP BY doc_id),
-it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id)
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id),
+wt AS (SELECT p, n, unnest(range(1, n + 1)) AS k, unnest(string_split(p, ' ')) AS t FROM (SELECT DISTINCT p, n FROM win)),
+wpos AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS t FROM d),
+near AS (SELECT doc_id, j AS s, j AS e, p, n, k FROM wpos JOIN wt ON wpos.t = wt.t AND k = 1
+  UNION ALL SELECT near.doc_id, s, min(j), near.p, near.n, wt.k FROM near JOIN wt ON wt.p = near.p AND wt.k = near.k + 1 JOIN wpos ON wpos.doc_id = near.doc_id AND wpos.t = wt.t AND j > near.e AND j < s + near.n + 2 GROUP BY ALL),
+nearest AS (SELECT doc_id, count(DISTINCT p) AS n_near FROM near WHERE k = n GROUP BY doc_id)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(pos.n_hit, 0)::BIGINT AS n_hit, coalesce(it.n_items, 0)::BIGINT AS n_items,
-  sha256(coalesce(it.items, '')) AS items_sha256, coalesce(pos.n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)""",
+  sha256(coalesce(it.items, '')) AS items_sha256, coalesce(pos.n_hit, 0) > 0 AS contaminated, coalesce(nearest.n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN nearest USING (doc_id)""",
     "op12_merkle_manifest": """
 WITH RECURSIVE b AS (
   SELECT *, hex(encode(doc_id::VARCHAR)) AS x FROM documents),
