@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
 #: Role, resource, action.
 POLICY = (
     ("admin", "confidential", "read"), ("admin", "confidential", "write"), ("admin", "internal", "read"), ("admin", "internal", "write"), ("admin", "public", "read"), ("admin", "public", "write"),
@@ -26,29 +30,48 @@ def parse_policy(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return p, g
 
 
+def _nearest(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("role", "inherits").agg(F.min("steps").alias("steps"))
+
+
+def _reached(spark: SparkSession, edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+    """role, inherits, steps (1 at least): the shortest way between each two roles that are linked; rows number as such pairs, whatever the ways between them."""
+    known = stored(_nearest(edges.select("role", "inherits", F.lit(1).alias("steps"))), "roles")
+    n = known.count()
+    for _ in range(most_rounds):  # ways of up to twice the length each time
+        on = known.select(F.col("role").alias("inherits"), F.col("inherits").alias("_to"), F.col("steps").alias("_more"))
+        longer = known.join(on, "inherits").select("role", F.col("_to").alias("inherits"), (F.col("steps") + F.col("_more")).alias("steps"))
+        # with no new pair no way gets shorter: a shorter one of twice the length would have shown its parts before
+        known = stored(_nearest(known.unionByName(longer)), "roles")
+        before, n = n, known.count()
+        if n == before:
+            return known
+    raise RuntimeError("the role hierarchy did not settle")
+
+
 def role_closure(spark: SparkSession, edges: DataFrame, roles: DataFrame) -> DataFrame:
-    """role, inherits, path: every role reachable, itself included. A path meets no role twice, so cycles end, after as many steps as there are edges."""
-    depth = edges.count() + 1
-    edges.createOrReplaceTempView("_role_edges")
-    roles.createOrReplaceTempView("_roles")
-    return spark.sql(
-        f"""WITH RECURSIVE c(role, inherits, path) MAX RECURSION LEVEL {depth + 1} AS (
-          SELECT role, role, array(role) FROM _roles
-          UNION ALL SELECT c.role, e.inherits, array_append(c.path, e.inherits) FROM c JOIN _role_edges e ON e.role = c.inherits WHERE NOT array_contains(c.path, e.inherits))
-        SELECT role, inherits, array_join(path, '>') AS path FROM c"""
-    )
+    """role, inherits, steps: every role that one of ``roles`` reaches, by the shortest way, itself (0 steps) included; cycles do no harm."""
+    own = roles.select("role", F.col("role").alias("inherits"), F.lit(0).alias("steps"))
+    return _nearest(own.unionByName(_reached(spark, edges).join(roles.select("role").distinct(), "role", "left_semi")))
 
 
 def role_cycles(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """role, cycle: each way that leads from a role back to it."""
-    depth = edges.count() + 1
-    edges.createOrReplaceTempView("_role_edges")
+    """role, cycle: for each role that inherits itself, the shortest way back to it; of several the first by name at each step."""
+    known = _reached(spark, edges)
+    closed = known.filter("role = inherits").select("role", "steps")
+    # the next role on the shortest way from each role ("here") to the one that asks
+    back = known.select(F.col("role").alias("next"), F.col("inherits").alias("role"), F.col("steps").alias("rest")).unionByName(closed.select(F.col("role").alias("next"), "role", F.lit(0).alias("rest")))
+    ahead = edges.select(F.col("role").alias("here"), F.col("inherits").alias("next")).join(back, "next").join(closed.select("role"), "role", "left_semi")
+    ahead = stored(ahead.groupBy("role", "here").agg(F.min(F.struct("rest", "next")).alias("s")).select("role", "here", "s.next"), "roles")
+    names = [f"_{n}_{uuid.uuid4().hex}" for n in ("ahead", "closed")]
+    ahead.createOrReplaceTempView(names[0])
+    stored(closed, "roles").createOrReplaceTempView(names[1])
+    most = closed.agg(F.max("steps")).first()[0] or 0
     return spark.sql(
-        f"""WITH RECURSIVE c(role, at, path, closed) MAX RECURSION LEVEL {depth + 1} AS (
-          SELECT role, inherits, array(role, inherits), role = inherits FROM _role_edges
-          UNION ALL SELECT c.role, e.inherits, array_append(c.path, e.inherits), e.inherits = c.role FROM c JOIN _role_edges e ON e.role = c.at
-            WHERE NOT c.closed AND (e.inherits = c.role OR NOT array_contains(c.path, e.inherits)))
-        SELECT role, array_join(path, '>') AS cycle FROM c WHERE closed"""
+        f"""WITH RECURSIVE c(role, here, path) MAX RECURSION LEVEL {most + 2} AS (
+          SELECT c.role, a.next, array(c.role, a.next) FROM {names[1]} c JOIN {names[0]} a ON a.role = c.role AND a.here = c.role
+          UNION ALL SELECT c.role, a.next, array_append(c.path, a.next) FROM c JOIN {names[0]} a ON a.role = c.role AND a.here = c.here WHERE c.here <> c.role)
+        SELECT role, array_join(path, '>') AS cycle FROM c WHERE here = role"""
     )
 
 
@@ -63,5 +86,37 @@ def visible(documents: DataFrame, level: str, permissions: DataFrame, role: Colu
     return documents.join(levels, level, "left_semi")
 
 
+def metadata_filter(spec: dict | None) -> Column:
+    """A filter of metadata as a column: ``{k: v}``, ``{k: {"$eq": v}}``, ``{k: {"$in": [...]}}``, ``{"$and": [...]}``; several keys all count, null is no match, nothing lets all pass."""
+    found = F.lit(True)
+    for name, want in (spec or {}).items():
+        if name == "$and":
+            one = F.lit(True)
+            for part in want:
+                one = one & metadata_filter(part)
+        elif isinstance(want, dict):
+            if len(want) != 1 or next(iter(want)) not in ("$eq", "$in"):
+                raise ValueError(f"unknown filter of {name}: {want}")
+            (how, value), = want.items()
+            one = F.col(f"`{name}`") == value if how == "$eq" else F.col(f"`{name}`").isin(*value)
+        elif name.startswith("$"):
+            raise ValueError(f"unknown filter {name}")
+        else:
+            one = F.col(f"`{name}`") == want
+        found = found & F.coalesce(one, F.lit(False))
+    return found
+
+
+def secured(rows: DataFrame, server: dict, client: dict | None) -> DataFrame:
+    """Rows that pass the server's filter and the caller's: a caller can narrow what they see, whatever they write."""
+    return rows.filter(metadata_filter(server) & metadata_filter(client))
+
+
+def key_owners(requests: DataFrame, users: DataFrame, key: str, key_hash: str, active: str) -> DataFrame:
+    """``requests`` with the columns of the active user whose stored hash is that of the request's key; keys themselves are stored nowhere."""
+    known = users.filter(F.col(active)).drop(active)
+    return requests.withColumn(key_hash, F.sha2(F.col(key), 256)).drop(key).join(known, key_hash, "left").drop(key_hash)
+
+
 def abac(user_dept: Column, doc_dept: Column, clearance: Column, sensitivity: Column) -> Column:
     return F.coalesce((user_dept == doc_dept) & (clearance >= sensitivity), F.lit(False))

@@ -66,12 +66,28 @@ def in_context(df: DataFrame, ts: str, traffic: Column) -> DataFrame:
     return df.groupBy(ts).agg(F.when(both, "critical").when(F.bool_or("a"), "info").otherwise("none").alias("severity"))
 
 
+def merged_windows(windows: DataFrame) -> DataFrame:
+    """day, start_at, end_at: ``windows`` (start_at, end_at) without overlaps, cut at midnight; ends are exclusive, empty ones are left out."""
+    w = Window.partitionBy("day").orderBy("start_at", "end_at")
+    day = F.col("day").cast("timestamp_ntz")
+    cut = windows.filter("start_at < end_at").select(F.col("start_at").cast("timestamp_ntz").alias("a"), F.col("end_at").cast("timestamp_ntz").alias("b"))
+    # an end at midnight doesn't touch the next day
+    cut = cut.withColumn("day", F.explode(F.sequence(F.to_date("a"), F.to_date(F.col("b") - F.expr("interval 1 microsecond")))))
+    cut = cut.select("day", F.greatest("a", day).alias("start_at"), F.least("b", day + F.expr("interval 1 day")).alias("end_at"))
+    begins = F.coalesce(F.max("end_at").over(w.rowsBetween(Window.unboundedPreceding, -1)) < F.col("start_at"), F.lit(True))
+    run = F.sum(F.col("_b").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return cut.withColumn("_b", begins).withColumn("_run", run).groupBy("day", "_run").agg(F.min("start_at").alias("start_at"), F.max("end_at").alias("end_at")).drop("_run")
+
+
 def with_exclusions(df: DataFrame, windows: DataFrame, ts: str, usual: float, inside: float) -> DataFrame:
-    """Adds ``is_anomaly`` with a higher bound inside known events. ``windows`` (start_at, end_at) is a rule table, joined by semi join."""
-    keyed = df.withColumn("_k", F.monotonically_increasing_id())
-    known = keyed.join(windows, (F.col(ts) >= F.col("start_at")) & (F.col(ts) < F.col("end_at")), "left_semi").withColumn("_in", F.lit(True))
-    rest = keyed.join(windows, (F.col(ts) >= F.col("start_at")) & (F.col(ts) < F.col("end_at")), "left_anti").withColumn("_in", F.lit(False))
-    return known.unionByName(rest).withColumn("is_anomaly", F.col("severity") >= F.when(F.col("_in"), inside).otherwise(usual)).drop("_k", "_in")
+    """Adds ``is_anomaly`` with a higher bound inside known events, ``windows`` (start_at, end_at; any number, they may overlap).
+
+    One left join by day: a point lies in one of the merged windows at most.
+    """
+    w = merged_windows(windows).withColumnsRenamed({"day": "_day", "start_at": "_a", "end_at": "_b"})
+    at = F.col(ts).cast("timestamp_ntz")
+    found = df.join(w, (F.to_date(at) == F.col("_day")) & (at >= F.col("_a")) & (at < F.col("_b")), "left")
+    return found.withColumn("is_anomaly", F.col("severity") >= F.when(F.col("_day").isNotNull(), inside).otherwise(usual)).drop("_day", "_a", "_b")
 
 
 def incidents(alerts: DataFrame, seconds: int) -> DataFrame:

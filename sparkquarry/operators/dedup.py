@@ -16,19 +16,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
-from ..sources.shared import shared_path
+from ..sources.shared import stored
 
 #: A token is frequent if one set in so many has it; there are at most so many times the mean set's tokens of them.
 ONE_IN = 500
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: its lineage ends here."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def token_sets(chunks: DataFrame, key: str = "doc_id", text: str = "text", extra: Column | None = None) -> DataFrame:
     """key, tokens: the distinct words of a chunk and, if given, one more token, as sorted hashes; chunks without any have none."""
     w = words(F.coalesce(F.col(text), F.lit("")))

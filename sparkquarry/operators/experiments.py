@@ -110,7 +110,7 @@ def recommendation(won: Column, n_control: Column, n_treatment: Column, least: i
     return F.when((n_control < least) | (n_treatment < least), "keep_running").when(won == "inconclusive", "no_difference").when(won == "treatment", "roll_out").otherwise("keep_control")
 
 
-def required_sample_size(effect: Column, sigma: float, z_alpha: float = 1.959963984540054, z_power: float = 0.8416212335729143) -> Column:
+def required_sample_size(effect: Column, sigma: Column | float, z_alpha: float = 1.959963984540054, z_power: float = 0.8416212335729143) -> Column:
     """Rows per arm for a two-sided test of two means."""
     return F.ceil(2 * F.pow((z_alpha + z_power) * sigma / effect, 2))
 

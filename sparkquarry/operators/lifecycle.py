@@ -51,7 +51,7 @@ def role_state(events: DataFrame) -> DataFrame:
 def check_log(requests: DataFrame, permissions: DataFrame) -> DataFrame:
     """One row for each check, granted or not: ``requests`` (any columns with role, resource, action)."""
     ok = permissions.select("role", "resource", "action").distinct().withColumn("granted", F.lit(True))
-    return requests.join(F.broadcast(ok), ["role", "resource", "action"], "left").withColumn("granted", F.coalesce("granted", F.lit(False)))
+    return requests.join(ok, ["role", "resource", "action"], "left").withColumn("granted", F.coalesce("granted", F.lit(False)))
 
 
 def retention(copies: DataFrame, as_of: Column, hours: Column) -> DataFrame:

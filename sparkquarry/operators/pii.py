@@ -38,16 +38,32 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", min_score:
     return docs.select(key, F.explode(F.flatten(F.array(*each))).alias("x")).select(key, "x.*")
 
 
+#: Matches whose places are added up in one go: a list is copied for each place that is added to it, so long ones are added up block by block.
+BLOCK = 128
+
+
+def _starts(gaps: Column, found: Column) -> Column:
+    """Where each match stands, from the lengths of the gaps (one more than matches) and the matches."""
+    steps = F.transform(F.sequence(F.lit(0), F.size(found) - 1), lambda i: F.struct(F.get(gaps, i).alias("gap"), F.length(F.get(found, i)).alias("n")))
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    inside = lambda acc, x: F.struct((acc["at"] + x["gap"] + x["n"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + x["gap"])).alias("starts"))
+    blocks = lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / BLOCK).cast("int")), lambda b: F.aggregate(F.slice(all_, b * BLOCK + 1, BLOCK), first, inside))
+    none = F.array().cast("array<struct<at:int,starts:array<int>>>")
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    shifted = lambda acc, b: F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), b["starts"].alias("starts")))).alias("out"))
+    done = F.aggregate(let(steps, blocks), start, shifted, lambda acc: F.flatten(F.transform(acc["out"], lambda b: F.transform(b["starts"], lambda s: b["at"] + s))))
+    return F.when(F.size(found) > 0, done).otherwise(F.array().cast("array<int>"))
+
+
 def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", entities: tuple[str, ...] | None = None) -> DataFrame:
     """key, entity, start_at, end_at, score, match: where each match stands, in code points, end exclusive."""
 
     def of(entity: str, pattern: str, score: float) -> Column:
-        pieces = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("m")))
-        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-        # places first, as sums of lengths; matches are put beside them afterwards
-        ends = F.aggregate(pieces, first, lambda acc, z: F.struct((acc["at"] + z["gap"] + F.coalesce(F.length(z["m"]), F.lit(0))).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + z["gap"])).alias("starts")), lambda acc: acc["starts"])
-        found = F.zip_with(ends, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda s, m: F.struct(F.lit(entity).alias("entity"), s.cast("long").alias("start_at"), (s + F.length(m)).cast("long").alias("end_at"), F.lit(score).alias("score"), m.alias("match")))
-        return F.filter(found, lambda x: x["match"].isNotNull())
+        gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
+        return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: let(_starts(gaps, found), lambda at: F.zip_with(found, at, put(entity, score))))
+
+    def put(entity: str, score: float):
+        return lambda m, s: F.struct(F.lit(entity).alias("entity"), s.cast("long").alias("start_at"), (s + F.length(m)).cast("long").alias("end_at"), F.lit(score).alias("score"), m.alias("match"))
 
     each = [of(e, p, s) for e, p, s in PATTERNS if entities is None or e in entities]
     return docs.select(key, F.explode(F.flatten(F.array(*each))).alias("x")).select(key, "x.*")

@@ -92,9 +92,12 @@ def bh_fdr(t):
     return X.benjamini_hochberg(_tests(t))
 
 
-@query("SELECT d AS effect, ceil(2 * ((1.959963984540054 + 0.8416212335729143) * 0.1 / d) ^ 2)::BIGINT AS n FROM (SELECT unnest([0.01, 0.02, 0.03, 0.05, 0.1]::DOUBLE[]) AS d)")
+@query("SELECT event_type, share, ceil(2 * ((1.959963984540054 + 0.8416212335729143) * round(sd, 6) / (share * round(mean, 6))) ^ 2)::BIGINT AS n FROM (SELECT event_type, avg(value) AS mean, stddev_samp(value) AS sd, count(DISTINCT user_id) AS users FROM events GROUP BY 1), (SELECT unnest([0.01, 0.02, 0.05]::DOUBLE[]) AS share)")
 def required_sample_size(t):
-    return t.spark.sql("SELECT explode(array(0.01D, 0.02D, 0.03D, 0.05D, 0.1D)) AS effect").withColumn("n", X.required_sample_size(F.col("effect"), 0.1))
+    """Rows per arm to see a change of one, two or five in a hundred of each event type's mean."""
+    s = t.events.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("sd"))
+    s = s.withColumn("share", F.explode(F.array(F.lit(0.01), F.lit(0.02), F.lit(0.05))))
+    return s.select("event_type", "share", X.required_sample_size(F.col("share") * F.col("mean"), F.col("sd")).alias("n"))
 
 
 _PLAN = "(VALUES (0, 0.1::DOUBLE), (2, 0.25), (4, 0.5), (7, 1.0)) s(day, traffic)"

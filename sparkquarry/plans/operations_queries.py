@@ -125,11 +125,14 @@ def recent_days(t):
     return t.events.filter(L.days_back(F.col("ts"), F.lit("2024-01-25 13:00:00").cast("timestamp_ntz"), 7)).groupBy("user_id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(text, '(?:^|[^0-9A-Za-z_])[0-9]{3}-[0-9]{2}-[0-9]{4}(?:[^0-9A-Za-z_]|$)') OR regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}') THEN 'confidential' ELSE 'internal' END AS level FROM documents")
+_ANY = " OR ".join(f"regexp_matches(coalesce(text, ''), '{p}')" for _, p, _ in P.PATTERNS)
+
+
+@query(f"SELECT doc_id, CASE WHEN {_ANY} THEN 'confidential' ELSE 'internal' END AS level FROM documents")
 def pii_access_level(t):
-    """Documents with an address or a social security number are confidential."""
-    found = F.col("text").rlike(r"(?<![0-9A-Za-z_])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z_])") | F.col("text").rlike(dict((e, p) for e, p, _ in P.PATTERNS)["EMAIL_ADDRESS"])
-    return t.documents.select("doc_id", F.when(F.coalesce(found, F.lit(False)), "confidential").otherwise("internal").alias("level"))
+    """Documents with personal data of any kind are confidential."""
+    found = P.detect(t.documents).select("doc_id").distinct().withColumn("level", F.lit("confidential"))
+    return t.documents.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("level", F.lit("internal")).alias("level"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN true ELSE length(text) BETWEEN 200 AND 5000 END AS accepted FROM documents")
@@ -173,7 +176,7 @@ def experiment_state(t):
     e = t.events.select((F.col("event_id") % 40).alias("experiment_id"), F.col("event_id").alias("seq"), "event_type", (F.col("event_id") % 100 / F.lit(100.0)).alias("split"), F.col("ts").alias("at"))
     first = e.groupBy("experiment_id").agg(F.min("seq").alias("first"))
     action = F.when(F.col("seq") == F.col("first"), "create").when(F.col("event_type") == "purchase", "stop").otherwise("update")
-    return L.experiment_state(e.join(F.broadcast(first), "experiment_id").withColumn("action", action))
+    return L.experiment_state(e.join(first, "experiment_id").withColumn("action", action))
 
 
 _RE = "SELECT user_id, ['viewer', 'editor', 'admin'][1 + event_id % 3] AS role, event_id AS seq, CASE WHEN event_type = 'error' THEN 'revoke' ELSE 'assign' END AS action FROM events"
@@ -320,9 +323,15 @@ def pii_first_email(t):
     return found.groupBy("doc_id", "entity").agg(F.min(F.struct("start_at", "end_at")).alias("s")).select("doc_id", "entity", "s.*")
 
 
-@query()
+_SPANS = " UNION ALL ".join(
+    f"SELECT doc_id, '{e}' AS entity, {s}::DOUBLE AS score, unnest(string_split_regex(text, '{p}')) AS gap, unnest(list_append(regexp_extract_all(text, '{p}'), NULL)) AS match, unnest(range(len(regexp_extract_all(text, '{p}')) + 1)) AS i, {k} AS k FROM documents"
+    for k, (e, p, s) in enumerate(P.PATTERNS)
+)
+
+
+@query(f"SELECT doc_id, entity, (upto - length(match))::BIGINT AS start_at, upto::BIGINT AS end_at, score, match FROM (SELECT *, sum(length(gap) + coalesce(length(match), 0)) OVER (PARTITION BY doc_id, k ORDER BY i) AS upto FROM ({_SPANS})) WHERE match IS NOT NULL")
 def pii_spans(t):
-    """Every entity with its place; tests hold it against plain patterns."""
+    """Every entity with its place, code points, end exclusive."""
     return P.spans(t.documents)
 
 
@@ -365,3 +374,65 @@ def python_rounding(t):
     """Doubles rounded by their exact value, ties to even."""
     v = F.col("value")
     return t.events.select("event_id", R.round_half_even(F.floor(v * 8) / 8).alias("of_eighths"), R.round_half_even(v / 3, 1).alias("one_place"), R.round_half_even(v + 0.005).alias("near_ties"), R.round_half_even(F.floor(v) + 0.5, 0).alias("halves"))
+
+
+# requests and filters
+@query("SELECT o_orderkey, CASE WHEN c_acctbal > 0 THEN c_custkey END AS user_id, CASE WHEN c_acctbal > 0 THEN c_mktsegment END AS segment FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
+def api_key_lookup(t):
+    """Whose key a request carries: users are known by the hash of their key, and only active ones count."""
+    key = lambda c: F.concat(F.lit("key-"), F.col(c).cast("string"))
+    users = t.customer.select(F.sha2(key("c_custkey"), 256).alias("key_hash"), F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("segment"), (F.col("c_acctbal") > 0).alias("active"))
+    return AC.key_owners(t.orders.select("o_orderkey", key("o_custkey").alias("key")), users, "key", "key_hash", "active")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE ['public', 'internal', 'confidential'][1 + doc_id % 3] IN ('public', 'internal') AND lang IN ('en', 'de') AND source = 'src1'")
+def secured_filter(t):
+    """A caller who asks for all levels sees those that the server allows."""
+    level = F.get(F.array(F.lit("public"), F.lit("internal"), F.lit("confidential")), (F.col("doc_id") % 3).cast("int"))
+    client = {"$and": [{"level": {"$in": ["public", "internal", "confidential"]}}, {"lang": {"$in": ["en", "de"]}}], "source": {"$eq": "src1"}}
+    return AC.secured(t.documents.withColumn("level", level), {"level": {"$in": ["public", "internal"]}}, client).select("doc_id", "lang")
+
+
+_LINES = "SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS chunk_index FROM documents"
+
+
+@query(f"SELECT l.doc_id, l.chunk_index, d.n IS NOT NULL AS has_pii, coalesce(d.n, 0) AS pii_count, coalesce(d.types, '') AS pii_types FROM ({_LINES}) l LEFT JOIN (SELECT doc_id, count(match) AS n, string_agg(DISTINCT entity, ',' ORDER BY entity) AS types FROM ({_SPANS}) WHERE match IS NOT NULL GROUP BY 1) d USING (doc_id)")
+def chunk_pii_flags(t):
+    """Each line of a document carries what was found in the whole of it."""
+    found = P.detect(t.documents).groupBy("doc_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("entity")), ",").alias("types"))
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("chunk_index", "line")).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"))
+    return lines.join(found, "doc_id", "left").select("doc_id", "chunk_index", F.col("n").isNotNull().alias("has_pii"), F.coalesce("n", F.lit(0)).alias("pii_count"), F.coalesce("types", F.lit("")).alias("pii_types"))
+
+
+# counts, samples, latest
+@query("SELECT ts::DATE AS day, count(*) FILTER (event_type <> 'error') AS succeeded, count(*) FILTER (event_type = 'error') AS failed, coalesce(avg(value) FILTER (event_type <> 'error'), 0) AS mean_duration, count(DISTINCT user_id) AS documents FROM events GROUP BY 1", ("mean_duration",))
+def pipeline_metrics(t):
+    """Runs of a day: successes, failures, mean duration of the successful ones (0 if there were none), documents touched."""
+    good = F.col("event_type") != "error"
+    return t.events.groupBy(F.to_date("ts").alias("day")).agg(F.count_if(good).alias("succeeded"), F.count_if(~good).alias("failed"), F.coalesce(F.avg(F.when(good, F.col("value"))), F.lit(0.0)).alias("mean_duration"), F.count_distinct("user_id").alias("documents"))
+
+
+@query("SELECT count(DISTINCT label) AS clusters, count(DISTINCT conv_id) AS queries, count(DISTINCT role) AS annotators FROM (SELECT label, NULL AS conv_id, NULL AS role FROM embeddings UNION ALL SELECT NULL, conv_id, role FROM conversations)")
+def coverage_counts(t):
+    """Clusters, queries and annotators that are covered."""
+    e = t.embeddings.agg(F.count_distinct("label").alias("clusters"))
+    return e.join(t.conversations.agg(F.count_distinct("conv_id").alias("queries"), F.count_distinct("role").alias("annotators")))
+
+
+@query("SELECT event_id, user_id FROM events ORDER BY md5(concat(event_id, '-review-7')), event_id LIMIT 50")
+def review_sample(t):
+    """Fifty rows at random: the first by a seeded hash, the same whenever it is drawn."""
+    return t.events.orderBy(F.md5(F.concat(F.col("event_id").cast("string"), F.lit("-review-7"))), "event_id").limit(50).select("event_id", "user_id")
+
+
+@query("SELECT event_type, max_by(props, (ts, event_id)) AS config, max(ts) AS set_at FROM events WHERE ts < TIMESTAMP '2024-01-15 00:00:00' GROUP BY 1")
+def config_before_rollout(t):
+    """Each variant's newest configuration from before the rollout, to go back to."""
+    return t.events.filter("ts < timestamp_ntz'2024-01-15 00:00:00'").groupBy("event_type").agg(F.max_by("props", F.struct("ts", "event_id")).alias("config"), F.max("ts").alias("set_at"))
+
+
+@query("SELECT d.doc_id, e.label, c.c_name FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id LEFT JOIN customer c ON c.c_custkey = d.doc_id AND c.c_acctbal > 0 ORDER BY d.doc_id DESC LIMIT 10")
+def newest_with_owner(t):
+    """Documents that have a vector, newest first, with their owner if there is one."""
+    owner = t.customer.filter("c_acctbal > 0").select(F.col("c_custkey").alias("doc_id"), "c_name")
+    return t.documents.select("doc_id").join(t.embeddings.select(F.col("vec_id").alias("doc_id"), "label"), "doc_id").join(owner, "doc_id", "left").orderBy(F.desc("doc_id")).limit(10).select("doc_id", "label", "c_name")

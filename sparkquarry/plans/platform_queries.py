@@ -111,13 +111,19 @@ def storage_cost(t):
     return n.withColumns({"gb": gb, "dollars": dollars})
 
 
-_STRAT = "(VALUES ('daily', 1, 30), ('weekly', 7, 90), ('monthly', 30, 365), ('hourly', 1, 7)) s(name, every_days, retention_days)"
+_GB = "count(*) * max(len(embedding)) * 4 * 1.2 / 1024 ^ 3"
 
 
-@query(f"SELECT name, 500 * retention_days::DOUBLE / every_days / 5 * 0.023 AS dollars FROM {_STRAT} ORDER BY dollars", ("dollars",))
+@query(f"SELECT label, r_name AS strategy, gb / 5 * ((30 * (r_regionkey + 1))::DOUBLE / (1 + 3 * r_regionkey)) * 0.023 * 1e6 AS micro_dollars, (row_number() OVER (PARTITION BY label ORDER BY (r_regionkey + 1)::DOUBLE / (1 + 3 * r_regionkey), r_name))::INT AS place FROM (SELECT label, {_GB} AS gb FROM embeddings GROUP BY 1) CROSS JOIN region", ("micro_dollars",))
 def strategy_compare(t):
-    s = t.spark.createDataFrame([("daily", 1, 30), ("weekly", 7, 90), ("monthly", 30, 365), ("hourly", 1, 7)], "name string, every_days int, retention_days int")
-    return s.select("name", IX.backup_cost(F.lit(500.0), F.col("every_days"), F.col("retention_days")).alias("dollars")).orderBy("dollars")
+    """The grid of namespaces and backup strategies, cheapest first; a strategy (as many as regions) has its interval and retention from the region's key."""
+    days = t.region.select(F.struct((F.col("r_regionkey") * 3 + 1).alias("every"), (30 * (F.col("r_regionkey") + 1)).alias("kept"), F.col("r_name").alias("strategy")).alias("s"))
+    n = t.embeddings.groupBy("label").agg(F.count("*").alias("n"), F.max(F.size("embedding")).cast("long").alias("dim"))
+    # a strategy is a few numbers: their list goes to each namespace
+    grid = n.join(days.agg(F.collect_list("s").alias("all"))).select("label", "n", "dim", F.explode("all").alias("s"))
+    gb, _ = IX.storage_cost(F.col("n"), F.col("dim"))
+    cost = grid.select("label", "s.strategy", (IX.backup_cost(gb, F.col("s.every"), F.col("s.kept")) * 1e6).alias("micro_dollars"), (F.col("s.kept") / 30 / F.col("s.every")).alias("_factor"))
+    return cost.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("_factor", "strategy"))).drop("_factor")
 
 
 @query("SELECT vec_id, len(embedding) <> 64 AS wrong_dim, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS norm, list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) = 0 AS is_zero FROM embeddings", ("norm",))
@@ -212,22 +218,40 @@ def _permissions(t):
     return AC.effective_permissions(_closure(t), AC.policy(t.spark))
 
 
-@query(_CLOSE)
+_ROLES = "SELECT n_name AS role, r_name AS inherits FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT r_name, 'WORLD' FROM region UNION ALL SELECT n_name, 'TRADER' FROM nation WHERE n_nationkey % 4 = 0 UNION ALL SELECT 'TRADER', 'WORLD'"
+
+
+def _nations(t):
+    """Nations inherit their region, regions the world, some nations a role beside."""
+    lands = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    one = t.nation.filter("n_nationkey % 4 = 0").select(F.col("n_name").alias("role"), F.lit("TRADER").alias("inherits"))
+    return lands.select(F.col("n_name").alias("role"), F.col("r_name").alias("inherits")).unionByName(t.region.select(F.col("r_name").alias("role"), F.lit("WORLD").alias("inherits"))).unionByName(one).unionByName(one.select("inherits").distinct().select(F.col("inherits").alias("role"), F.lit("WORLD").alias("inherits")))
+
+
+@query(f"WITH RECURSIVE e AS ({_ROLES}), c AS (SELECT n_name AS role, n_name AS inherits, 0 AS steps FROM nation UNION SELECT c.role, e.inherits, c.steps + 1 FROM c JOIN e ON e.role = c.inherits) SELECT role, inherits, min(steps)::INT AS steps FROM c GROUP BY 1, 2")
 def role_closure(t):
-    return _closure(t)
+    """What each nation's role inherits, and how far."""
+    return AC.role_closure(t.spark, _nations(t), t.nation.select(F.col("n_name").alias("role")))
 
 
-_CYC = "(VALUES ('admin', 'editor'), ('editor', 'viewer'), ('viewer', 'admin'), ('guest', 'viewer')) e(role, inherits)"
+_RING = "SELECT a.n_name AS role, b.n_name AS inherits FROM nation a JOIN nation b ON b.n_nationkey = (a.n_nationkey * 2 + 1) % (SELECT count(*) FROM nation)"
 
 
-@query(f"WITH RECURSIVE c AS (SELECT role, inherits AS at, [role, inherits] AS path, role = inherits AS closed FROM {_CYC} UNION ALL SELECT c.role, e.inherits, list_append(c.path, e.inherits), e.inherits = c.role FROM c JOIN {_CYC} ON e.role = c.at WHERE NOT c.closed AND (e.inherits = c.role OR NOT list_contains(c.path, e.inherits))) SELECT role, array_to_string(path, '>') AS cycle FROM c WHERE closed")
+@query(f"WITH RECURSIVE e AS ({_RING}), c AS (SELECT role, inherits AS cur, [role, inherits] AS path FROM e UNION ALL SELECT c.role, e.inherits, list_append(path, e.inherits) FROM c JOIN e ON e.role = c.cur WHERE c.cur <> c.role AND len(path) < 99) SELECT role, array_to_string(path, '>') AS cycle FROM c WHERE cur = role")
 def role_cycles(t):
-    return AC.role_cycles(t.spark, _edges(t, (("admin", "editor"), ("editor", "viewer"), ("viewer", "admin"), ("guest", "viewer"))))
+    """Nations that inherit each other in rings, and some that only lead into one."""
+    n = t.nation.count()
+    b = t.nation.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("inherits"))
+    edges = t.nation.select(F.col("n_name").alias("role"), ((F.col("n_nationkey") * 2 + 1) % n).alias("k")).join(b, "k").select("role", "inherits")
+    return AC.role_cycles(t.spark, edges)
 
 
-@query(f"SELECT role, string_agg(resource, ',' ORDER BY resource) AS levels FROM ({PERMS}) WHERE action = 'read' GROUP BY 1")
+@query(f"SELECT c_custkey, string_agg(resource, ',' ORDER BY resource) AS levels FROM customer JOIN ({PERMS}) p ON p.role = ['viewer', 'editor', 'admin'][(c_custkey % 3)::INT + 1] WHERE action = 'read' GROUP BY 1")
 def accessible_levels(t):
-    return _permissions(t).filter("action = 'read'").groupBy("role").agg(F.array_join(F.array_sort(F.collect_set("resource")), ",").alias("levels"))
+    """The levels each customer may read by their role."""
+    levels = _permissions(t).filter("action = 'read'").groupBy("role").agg(F.array_join(F.array_sort(F.collect_set("resource")), ",").alias("levels"))
+    role = F.get(F.array(F.lit("viewer"), F.lit("editor"), F.lit("admin")), (F.col("c_custkey") % 3).cast("int"))
+    return t.customer.select("c_custkey", role.alias("role")).join(levels, "role").select("c_custkey", "levels")
 
 
 _LEVEL = "CASE WHEN contains(lower({p}), 'confidential') OR contains(lower({c}), 'confidential') THEN 'confidential' WHEN contains(lower({p}), 'internal') THEN 'internal' ELSE 'public' END"
@@ -342,6 +366,22 @@ def access_export(t):
     return _audit(t).filter("user_id % 9 = 0").groupBy("user_id").agg(F.count("*").alias("events"), F.count_if(F.col("kind") == "document.query").alias("queries"), F.count_distinct("resource_id").alias("documents"), F.min("ts").alias("first_seen"))
 
 
+@query(
+    f"""WITH a AS (SELECT * FROM ({AUDIT}) WHERE user_id % 9 = 0)
+    SELECT user_id, 'audit' AS section, count(*) AS n, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS since FROM a GROUP BY 1
+    UNION ALL SELECT c_custkey, 'profile', 1, c_mktsegment FROM customer WHERE c_custkey IN (SELECT user_id FROM a)
+    UNION ALL SELECT user_id, 'documents', count(DISTINCT resource_id), strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') FROM a WHERE kind = 'document.access' GROUP BY 1
+    UNION ALL SELECT user_id, 'queries', count(*), strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') FROM a WHERE kind = 'document.query' GROUP BY 1"""
+)
+def access_report(t):
+    """What is held of each person who asked, by section: audit trail, profile, documents, queries."""
+    a = _audit(t).filter("user_id % 9 = 0")
+    first = F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    section = lambda rows, name, n: rows.groupBy("user_id").agg(n.alias("n"), first.alias("since")).select("user_id", F.lit(name).alias("section"), "n", "since")
+    profile = t.customer.select(F.col("c_custkey").alias("user_id"), F.lit("profile").alias("section"), F.lit(1).cast("long").alias("n"), F.col("c_mktsegment").alias("since")).join(a.select("user_id").distinct(), "user_id", "left_semi")
+    return section(a, "audit", F.count("*")).unionByName(profile).unionByName(section(a.filter("kind = 'document.access'"), "documents", F.count_distinct("resource_id"))).unionByName(section(a.filter("kind = 'document.query'"), "queries", F.count("*")))
+
+
 @query(f"SELECT date_trunc('hour', ts) AS hour, user_id, count(*) AS n FROM ({AUDIT}) WHERE kind = 'document.access' GROUP BY 1, 2")
 def audit_heatmap(t):
     return _audit(t).filter("kind = 'document.access'").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), "user_id").agg(F.count("*").alias("n"))

@@ -126,7 +126,15 @@ def pii_redact_mask(t):
     return t.documents.select("doc_id", P.redact(F.col("text"), "mask").alias("text"))
 
 
-@query()
+def _hashed_sql():
+    sql = "SELECT doc_id, text FROM documents"
+    for entity, p, _ in P.PATTERNS:
+        pieces = f"list_zip(string_split_regex(text, '{p}'), list_append(regexp_extract_all(text, '{p}'), NULL))"
+        sql = f"SELECT doc_id, array_to_string(list_transform({pieces}, lambda z: concat(z[1], CASE WHEN z[2] IS NULL THEN '' ELSE concat('<{entity}_', substr(md5(z[2]), 1, 6), '>') END)), '') AS text FROM ({sql})"
+    return sql
+
+
+@query(_hashed_sql())
 def pii_redact_hash(t):
     return t.documents.select("doc_id", P.redact(F.col("text"), "hash").alias("text"))
 
