@@ -121,3 +121,63 @@ def test_partial_quotations(spark):
     assert [got[c, 1]["reply_to"] for c in range(len(quotes) + len(never))] == [0] * len(quotes) + [None] * len(never)
     assert all(r["n_linked"] == (r["n_quotes"] if r["reply_to"] is not None else 0) for r in got.values())
     assert got[99, 2]["reply_to"] == 1 and got[99, 3]["reply_to"] == 0
+
+
+def test_values_of_the_others(spark, docs, labels):
+    """Suffixes, toxicity, personal data and language on the same rows: what each comes out as."""
+    texts = {i: t or "" for i, t in ROWS if i is not None}
+    got = suffix_dedup.remove_repeats(docs, size=20, gram=8).collect()
+    for r in got:
+        raw = r["kept_bytes"]
+        assert r["n_bytes"] - r["n_removed"] == len(raw) and r["kept_sha256"] == hashlib.sha256(raw).hexdigest()
+        if r["doc_id"] is not None:
+            assert r["n_bytes"] == len(texts[r["doc_id"]].encode())
+    by = {r["doc_id"]: r for r in got if r["doc_id"] is not None}
+    assert by[2]["n_spans"] == by[3]["n_spans"] == by[1]["n_removed"] == 0  # "a b c d e" is shorter than a string
+    assert by[4]["n_removed"] == by[4]["n_bytes"] and by[7]["n_removed"] == by[7]["n_bytes"] and by[8]["n_removed"] == 0
+    got = toxicity.toxicity(docs, labels).collect()
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in got)
+    assert {r["held_out"] for r in got if r["doc_id"] is not None} == {True, False} and not any(r["held_out"] for r in got if r["doc_id"] is None)
+    for r in got:
+        if r["doc_id"] is not None:
+            assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+    empty = {round(r["score"], 12) for r in got if r["doc_id"] in (2, 3)}
+    assert len(empty) == 1  # null and empty texts have the bias alone
+    none = hashlib.sha256(b"").hexdigest()
+    for r in pii.find_pii(docs).collect():
+        assert (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["base_sha256"], r["spans"]) == (0, 0, 0, 0, none, "")
+    got = {(r["rid"], r["h"]): r for r in language.document_languages(docs, language.train_language(docs)).collect()}
+    accepted = {i for (i, _), r in got.items() if r["accepted"]}
+    assert not accepted & {2, 3} and {r["lang"] for r in got.values()} == {"en"}
+
+
+def test_pages(spark, docs):
+    """Null and empty pages and addresses, repeated rows, clashing names."""
+    model = language.train_language(spark.createDataFrame([("the and of to in that it is was for on are", "en"), ("le la les des une est dans pour que qui", "fr")] * 20, "text string, lang string"))
+    page = "<html lang='fr-CA'><body>the and of that is for the</body></html>"
+    rows = [(1, "http://a.example.fr/x", "<p>les des une est dans pour</p>"), (2, None, None), (3, "", ""), (4, "no address", page), (5, "https://u:p@B.Example.UK:8080/?q", "the and of that is"), (5, "https://u:p@B.Example.UK:8080/?q", "the and of that is"), (None, "http://a.example.fr/", "<p>la les des</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("clash") for c in ("h", "e", "rid", "host", "suffix", "declared", "text", "lang", "log", "fit", "grams")})
+    got = language.page_languages(df, model).collect()
+    by = {r["page_id"]: r for r in got if r["page_id"] is not None}
+    assert len(got) == len(rows) and sum(r["page_id"] is None for r in got) == 1 and sum(r["page_id"] == 5 for r in got) == 2
+    assert (by[1]["suffix"], by[1]["lang"], by[1]["declared"]) == ("fr", "fr", None) and (by[5]["suffix"], by[5]["lang"]) == ("uk", "en")
+    assert by[4]["declared"] == "fr" and by[4]["suffix"] == "" and by[4]["text_lang"] == "en"
+    for i in (2, 3):
+        assert by[i]["text_lang"] is None and not by[i]["accepted"] and by[i]["suffix"] == ""
+    assert language.page_languages(df.filter("false"), model).collect() == []
+
+
+def test_proximity_edges(spark, docs, bench):
+    got = {(r["doc_id"], r["start"], r["phrase"]) for r in decontaminate.proximity_matches(docs, bench, slop=2).collect()}
+    assert {(1, 1, "b c d"), (6, 1, "b c d"), (None, 0, "x y")} <= got and not any(d in (2, 3) for d, _, _ in got)
+    assert decontaminate.proximity_matches(docs.filter("false"), bench).collect() == [] and decontaminate.proximity_matches(docs, bench.filter("false")).collect() == []
+    near = {r["doc_id"]: r["n_near"] for r in decontaminate.decontaminate(docs, bench).collect() if r["doc_id"] is not None}
+    assert near[6] == 1 and near[2] == near[3] == 0 and near[4] >= 1
+
+
+def test_frequent_words_beyond_the_broadcast(spark, docs, bench):
+    """The same answer whether a table is broadcast or its rows are dealt out."""
+    table = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3), ("z", 4)], "term string, v int")
+    rows = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(60)], "rid long, term string")
+    same = [sorted(map(tuple, decontaminate.beside(rows, table, limit).select("rid", "term", "v").collect())) for limit in (100, 1)]
+    assert same[0] == same[1] and len(same[0]) == 20 + 2 * 20
