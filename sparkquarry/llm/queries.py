@@ -96,6 +96,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _crc_table() -> list[int]:
+    """What each byte does to a crc32, by its polynomial."""
+    table = list(range(256))
+    for _ in range(8):
+        table = [n >> 1 ^ (0xEDB88320 if n & 1 else 0) for n in table]
+    return table
+
+
 ORACLE = {
     "op7_minmax_neardup": f"""
 WITH RECURSIVE w AS (
@@ -131,6 +141,22 @@ nearest AS (SELECT doc_id, count(DISTINCT p) AS n_near FROM near WHERE k = n GRO
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(pos.n_hit, 0)::BIGINT AS n_hit, coalesce(it.n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(it.items, '')) AS items_sha256, coalesce(pos.n_hit, 0) > 0 AS contaminated, coalesce(nearest.n_near, 0)::BIGINT AS n_near
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN nearest USING (doc_id)""",
+    "op11_importance_resample": f"""
+WITH w AS (SELECT 0 AS k, doc_id AS id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+  UNION ALL SELECT 1, item_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') FROM benchmark),
+f AS (SELECT k, id, f, count(*) AS c FROM (SELECT k, id, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS f FROM w, (SELECT unnest([1, 2, 3]) AS n) WHERE len(w) >= n) GROUP BY ALL),
+x AS (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM f)),
+b AS (SELECT f, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(len(x) // 2), lambda i: ('0x' || x[2 * i + 1 : 2 * i + 2])::BIGINT)),
+  lambda s, v: xor(s >> 8, ({_crc_table()}::BIGINT[])[xor(s & 255, v) + 1]))) % 10000 AS b FROM x),
+n AS (SELECT k, id, b, sum(c)::BIGINT AS c FROM f JOIN b USING (f) GROUP BY ALL),
+g AS (SELECT coalesce(s.b, t.b) AS b, coalesce(s.c, 0) AS s, coalesce(t.c, 0) AS t, (SELECT coalesce(sum(c), 0) FROM n WHERE k = 0)::DOUBLE AS all_s, (SELECT coalesce(sum(c), 0) FROM n WHERE k = 1)::DOUBLE AS all_t
+  FROM (SELECT b, sum(c) AS c FROM n WHERE k = 0 GROUP BY b) s FULL JOIN (SELECT b, sum(c) AS c FROM n WHERE k = 1 GROUP BY b) t ON s.b = t.b),
+gain AS (SELECT b, floor(1000 * ln(((t + 1)::DOUBLE * (all_s + 10000)) / ((s + 1)::DOUBLE * (all_t + 10000))))::BIGINT AS gain FROM g),
+d AS (SELECT id, sum(c)::BIGINT AS n_features, sum(c * gain)::BIGINT AS weight FROM n JOIN gain USING (b) WHERE k = 0 GROUP BY id),
+z AS (SELECT w.id AS doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  floor(-1000 * ln(-ln((('0x' || substr(sha256(concat('42:', w.id::VARCHAR)), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS noise FROM w LEFT JOIN d ON d.id = w.id WHERE k = 0),
+r AS (SELECT *, weight + noise AS score, CASE WHEN n_words >= 20 THEN row_number() OVER (PARTITION BY n_words >= 20 ORDER BY weight + noise DESC, doc_id) END AS place, 5 * (count(*) FILTER (n_words >= 20) OVER ()) // 100 AS most FROM z)
+SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, score::BIGINT AS score, CASE WHEN place <= most THEN place END::BIGINT AS rank FROM r""",
     "op12_merkle_manifest": """
 WITH RECURSIVE b AS (
   SELECT *, hex(encode(doc_id::VARCHAR)) AS x FROM documents),
