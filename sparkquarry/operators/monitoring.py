@@ -103,12 +103,13 @@ def routed(alerts: DataFrame, group: Sequence[str], time: str = "ts", wait: int
     one notice.  Grouping is by slots from the group's first alert of the day,
     which needs no fold over the alerts.
     """
-    first = Window.partitionBy(*group, F.to_date(time))
-    at = F.unix_seconds(F.col(time).cast("timestamp"))
-    rows = alerts.withColumn("_first", F.min(at).over(first))
-    slot = F.when(at - F.col("_first") <= wait, F.lit(0)).otherwise(F.ceil((at - F.col("_first") - wait) / interval)).cast("long")
+    # alerts of one second are one row from here on
+    seconds = alerts.groupBy(*group, F.to_date(time).alias("_day"), F.unix_seconds(F.col(time).cast("timestamp")).alias("_at")).agg(F.count("*").alias("_n"))
+    rows = seconds.join(seconds.groupBy(*group, "_day").agg(F.min("_at").alias("_first")), [*group, "_day"])
+    late = F.col("_at") - F.col("_first")
+    slot = F.when(late <= wait, F.lit(0)).otherwise(F.ceil((late - wait) / interval)).cast("long")
     rows = rows.withColumn("slot", slot).withColumn("sent", F.timestamp_seconds(F.col("_first") + wait + slot * interval).cast("timestamp_ntz"))
-    return rows.groupBy(*group, "slot", "sent").agg(F.count("*").alias("n_alerts"))
+    return rows.groupBy(*group, "slot", "sent").agg(F.sum("_n").alias("n_alerts"))
 
 
 def repeats(firing: DataFrame, group: Sequence[str], start: str = "start_at", end: str = "end_at", every: int = REPEAT_INTERVAL) -> DataFrame:
