@@ -42,7 +42,8 @@ def ngrams(w: Column, n: int) -> Column:
 
 
 def ascii_ratio(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, r"[^\x00-\x7F]", "")) / F.length(text)
+    """Null for an empty text."""
+    return F.try_divide(F.length(F.regexp_replace(text, r"[^\x00-\x7F]", "")), F.length(text))
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 100.0) -> Column:
@@ -62,18 +63,20 @@ def density_score(text: Column) -> Column:
 
 def completeness_score(text: Column) -> Column:
     """0 without a sentence of more than ten characters; else 100, less 25 for each broken end, 10 more for two sentences, 100 at most."""
-    n = F.size(sentences(text, 10))
     score = 100.0 - F.when(text.rlike(r"^\p{Ll}"), 25.0).otherwise(0.0) - F.when(F.right(text, F.lit(1)).isin(".", "!", "?"), 0.0).otherwise(25.0)
-    return F.when(n == 0, 0.0).otherwise(F.least(F.lit(100.0), score + F.when(n >= 2, 10.0).otherwise(0.0)))
+    of = lambda n: F.when(n == 0, 0.0).otherwise(F.least(F.lit(100.0), score + F.when(n >= 2, 10.0).otherwise(0.0)))
+    return let(F.size(sentences(text, 10)), of)
 
 
 def readability_score(text: Column) -> Column:
     """Mean of a sentence length score and an encoding score; 0 without sentences."""
-    n = F.size(sentences(text))
-    mean = F.size(words(text)) / F.nullif(n, F.lit(0))
-    by_length = F.when((mean >= 15) & (mean <= 25), 100.0).when(mean < 15, 80.0).otherwise(F.greatest(F.lit(0.0), 100 - (mean - 25) * 2))
-    share = ascii_ratio(text)
-    return F.when(n == 0, 0.0).otherwise((by_length + F.when(share > 0.95, 100.0).otherwise(share * 100)) / 2)
+
+    def score(x: Column) -> Column:
+        mean = x["words"] / F.nullif(x["n"], F.lit(0))
+        by_length = F.when((mean >= 15) & (mean <= 25), 100.0).when(mean < 15, 80.0).otherwise(F.greatest(F.lit(0.0), 100 - (mean - 25) * 2))
+        return F.when(x["n"] == 0, 0.0).otherwise((by_length + F.when(x["share"] > 0.95, 100.0).otherwise(x["share"] * 100)) / 2)
+
+    return let(F.struct(F.size(sentences(text)).alias("n"), F.size(words(text)).alias("words"), ascii_ratio(text).alias("share")), score)
 
 
 def metadata_score(required: list[Column], optional: list[Column]) -> Column:

@@ -60,3 +60,13 @@ def test_places_of_many_matches(spark):
     patterns = [(e, p) for e, p, _ in P.PATTERNS if e in ("EMPLOYEE_ID", "EMAIL_ADDRESS")]
     assert got == sorted((d, e, m.start(), m.end(), m.group()) for d, t in rows for e, p in patterns for m in re.finditer(p, t or "", re.ASCII))
     assert len(got) > 1400
+
+
+def test_scores_of_empty_texts(spark):
+    from sparkquarry.functions import text as T
+
+    rows = [("",), ("   ",), (None,), ("One two three.",), ("é è.",)]
+    df = spark.createDataFrame(rows, "t string")
+    got = df.select("t", T.readability_score(F.col("t")).alias("r"), T.completeness_score(F.col("t")).alias("c"), T.density_score(F.col("t")).alias("d")).collect()
+    by = {r["t"]: r for r in got}
+    assert by[""]["r"] == by["   "]["r"] == 0.0 and by[""]["c"] == 0.0 and by["One two three."]["r"] == 90.0 and by["é è."]["r"] == (80 + 50) / 2
