@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import group_totals, id_out, keyed, written
+from .common import group_totals, id_out, keyed, release, written
 from .minhash import buffers
 
 SIZE, K = 400, 128
@@ -428,6 +428,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = K, id_col: str
     dealt = runs.withColumn("subs", subs).withColumn("sub", F.pmod(F.xxhash64("win", F.get("occ", F.lit(0))["rid"]), F.col("subs")).cast("int"))
     shards = dealt.repartition("anchor", "sub").sortWithinPartitions("anchor", "sub", "win")
     out = written(shards.mapInArrow(_shard(size), "rid long, h long, first long, last long, d1 long, d2 long"), "shards")
+    release(docs.sparkSession)  # the texts are shuffled once more below
     within = out.filter("d1 is null").select("rid", "h", "first", "last")
     digests = out.filter("d1 is not null").repartition("d1", "d2").sortWithinPartitions("d1", "d2")
     across = digests.mapInArrow(_merged, "rid long, h long, first long, last long")
