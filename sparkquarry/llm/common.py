@@ -185,7 +185,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = star(large).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x"))
         e = written(small.select("x.u", "x.v").filter("u <> v").distinct(), "edges")
         discard(before)
-        release(e.sparkSession)
     else:
         raise RuntimeError("components did not settle")
     found = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
